@@ -114,13 +114,20 @@ def near_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays (of repeated rows, one).
+    """docs without near copies: of each component the row with the smallest doc_id stays, of rows that share that id one.
 
-    Texts are read twice and never shuffled: what is shuffled are ids and fingerprints.
+    Documents without an id stay and represent no group. Texts are read again rather
+    than shuffled: the ids that go are written first, so Spark knows their size when
+    it chooses the join; only rows that share an id are sorted out in windows.
     """
     marked = materialise(with_fingerprints(docs.select(F.col(id_column).alias("doc_id"), text), text=text))
-    keep = classes(marked).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_column).eqNullSafe(F.col("_keep")), "left_semi")
-    # Rows that share the kept id: one stays. Ids are unique elsewhere, so these windows hold one row.
-    order = W.partitionBy(id_column).orderBy(*[F.col(c) for c in docs.columns if c != id_column and dict(docs.dtypes)[c] in ("string", "bigint", "int", "double")])
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    classed = marked.join(materialise(classes(marked)), "fp")
+    gone = materialise(classed.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    shared = materialise(marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_shared")))
+    kept = docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    if shared.isEmpty():
+        return kept
+    same = F.col(id_column) == F.col("_shared")
+    order = W.partitionBy(id_column).orderBy(F.xxhash64(*docs.columns), text)
+    one = kept.join(shared, same, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return kept.join(shared, same, "left_anti").unionByName(one)
