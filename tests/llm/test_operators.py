@@ -347,7 +347,7 @@ def test_lm_base_and_score(sample, docs, empty):
         c = collections.Counter(x for i, t in toks if not held(i) for x in t)
         n, v = sum(c.values()), len(c)
         want = sorted((repr(i), held(i), len(t), sum(c[x] > 0 for x in t), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 4)) for i, t in toks)
-        for head in (lm.HEAD, 5):
+        for head in (5, lm.HEAD):
             got = rows_of(lm.score(df, head=head))
             assert want == sorted((repr(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got)
         out = [r for r in got if not r["held_out"]]  # on 200 documents a quarter of the held-out words are new
