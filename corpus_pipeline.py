@@ -48,7 +48,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Expectation-maximisation, 64-bit fingerprints and hypergeometric draws have no SQL form; tests hold run() against a plain version.
+#: Expectation-maximisation, 64-bit fingerprints and hypergeometric draws have no SQL form. The operators are tested one by one; run() itself has no plain counterpart yet.
 ORACLE_SQL = None
 
 
