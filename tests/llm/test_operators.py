@@ -366,6 +366,10 @@ def test_lm_is_a_distribution(spark):
         total = sum(tree.share(s, x) for x in known) + (lm.SYMBOLS - len(known)) * tree.share(s, "q")
         assert total == pytest.approx(1)
     assert len(tree.contexts) > 3 and tree.token("ab") > tree.token("ba")
+    asked = ["ab", "ba", "", "abab" * 20, "q", "\U0001f600b", None]
+    for t in (tree, lm.Tree({})):
+        assert np.allclose(lm.Speller(t).logs(asked), [t.token(w) for w in asked], rtol=1e-12)
+    assert not len(lm.Speller(tree).logs([]))
 
 
 # ---------------------------------------------------------------- paragraphs
