@@ -123,6 +123,20 @@ def test_mixed_documents(sample, empty):
     assert max(r["count"] for r in rows_of(out.groupBy("doc_id", "text").count())) <= 3 * 2
 
 
+def test_mixing_meets_small_targets(spark):
+    """16 slots stand for a large input: a block has more words than a small source."""
+    rows = [(k, "w " * 50, "en", f"big{k % 2}", 0) for k in range(400)] + [(1000 + k, "w " * 10, "en", f"small{k % 10}", 0) for k in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = plain_targets({"big0": 10_000, "big1": 10_000} | {f"small{k}": 100 for k in range(10)})
+    taken, whole = collections.Counter(), collections.Counter()
+    for r in rows_of(mixing.mix(df, slots=16)):
+        taken[r["source"]] += r["taken"]
+    for r in rows_of(mixing.mix_documents(df, slots=16)):
+        whole[r["source"]] += len(r["text"].split())
+    for s, w in want.items():
+        assert abs(taken[s] - w) <= 0.5 and abs(whole[s] - w) <= 50
+
+
 # ---------------------------------------------------------------- sharding
 
 
