@@ -150,9 +150,10 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """docs without those that hold an item; rows that share a doc_id go together, rows without one stay.
+    """docs without those that hold an item; rows that share a doc_id go together, rows without one by a hash of their text.
 
     The leaks' ids are written first, so Spark knows their size when it chooses the join.
     """
-    leaks = materialise(find(docs.select(id_column, text), items, text, id_column, least).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, F.col(id_column) == F.col("_leak"), "left_anti")
+    key = F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text))
+    leaks = materialise(find(docs.select(key.alias(id_column), text), items, text, id_column, least).select(F.col("doc_id").alias("_leak")).distinct())
+    return docs.join(leaks, key == F.col("_leak"), "left_anti")

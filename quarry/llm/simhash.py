@@ -97,13 +97,18 @@ def links(fps: DataFrame) -> DataFrame:
     return meeting.mapInArrow(_meet, "a long, b long").distinct()
 
 
-def classes(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) for every fingerprint of marked (doc_id, fp); component_id is the smallest doc_id that links reach."""
+def _rooted(marked: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for every fingerprint of marked (doc_id, fp); root is the smallest fingerprint of its component."""
     own = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(own.select("fp")))
     joined = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return joined.join(lowest, "root").select("fp", "component_id")
+    return joined.join(lowest, "root").select("fp", "root", "component_id")
+
+
+def classes(marked: DataFrame) -> DataFrame:
+    """(fp, component_id) for every fingerprint of marked (doc_id, fp); component_id is the smallest doc_id that links reach."""
+    return _rooted(marked).select("fp", "component_id")
 
 
 def near_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -116,15 +121,21 @@ def near_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
 def deduplicate(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays, of rows that share that id one.
 
-    Documents without an id stay and represent no group. Texts are read again rather
+    Documents without an id stay only where their whole component has none, one of each. Texts are read again rather
     than shuffled: the ids that go are written first, so Spark knows their size when
     it chooses the join; only rows that share an id are sorted out in windows.
     """
     marked = materialise(with_fingerprints(docs.select(F.col(id_column).alias("doc_id"), text), text=text))
-    classed = marked.join(materialise(classes(marked)), "fp")
+    rooted = materialise(_rooted(marked))
+    classed = marked.join(rooted, "fp")
     gone = materialise(classed.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     shared = materialise(marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_shared")))
     kept = docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    if not marked.where("doc_id IS NULL").isEmpty():
+        without = docs.where(F.col(id_column).isNull()).select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_t"))
+        alone = with_fingerprints(without, ("_doc",), "_t").join(rooted.where("component_id IS NULL"), "fp")
+        single = alone.groupBy("root").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc.*")
+        kept = kept.where(F.col(id_column).isNotNull()).unionByName(single)
     if shared.isEmpty():
         return kept
     same = F.col(id_column) == F.col("_shared")

@@ -226,6 +226,15 @@ def test_simhash(docs, sample, empty, spark):
         assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({w[2] for w in want if w[2] is not None})
 
 
+def test_dedup_without_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choices([f"w{k}" for k in range(900)], k=200)) for _ in range(3))
+    rows = [(1, a), (None, a), (None, a), (None, b), (None, b), (None, b), (None, c), (2, c + " more"), (2, c + " more")]
+    kept = rows_of(simhash.deduplicate(spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], SCHEMA)))
+    linked = (plain_fingerprint(c) ^ plain_fingerprint(c + " more")).bit_count() <= 3
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (0, b), (2, c + " more")] + [(0, c)] * (not linked))
+
+
 def test_simhash_finds_all_links(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -275,6 +284,13 @@ def test_decontamination(sample, docs, empty, spark):
     assert decontaminate.find(empty, items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == docs.count()
 
 
+def test_clean_without_ids(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    rows = [(None, "x y a b c d e f g h z"), (None, "x y z"), (None, None), (3, "a b c d e f g h"), (4, "q")]
+    kept = rows_of(decontaminate.clean(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA), items))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "x y z"), (4, "q")]
+
+
 # ---------------------------------------------------------------- tokens
 
 
