@@ -7,9 +7,10 @@ them; the matrix has a few hundred entries a partition, whatever a row weighs. E
 partition then deals its rows in a random order along its row of the matrix, the
 cells are exchanged and each is permuted again. Shard sizes differ by one row at most.
 
-Random orders come from seeded hashes of the row's id and text, so reruns agree and a
-lost task is redone alike. Nulls: a null text has no bytes; null ids hash as null.
-Repeated rows are dealt one by one. Empty tables give an empty result.
+Random orders come from seeded hashes of the row's id and text and of its number among
+the rows that are equal in both, so reruns agree, a lost task is redone alike and
+repeated rows fall apart as any others. Nulls: a null text has no bytes; null ids hash
+as null. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -44,14 +45,17 @@ def assign(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text: s
     (rows / partition_rows) ** 2 entries or the least.
     """
     docs = docs.drop("shard", "slot")
-    salt = lambda k: F.xxhash64(F.lit(seed + k), F.col(id_column), F.col(text))
-    partition, first, second = salt(0), salt(1), salt(2)
+    content = F.xxhash64(F.col(id_column), F.col(text))
+    salt = lambda k: F.xxhash64(F.lit(seed + k), F.col("_content"), F.col("_copy"))
+    first, second = salt(1), salt(2)
 
     def part(n: int) -> Column:
-        return F.pmod(partition, F.lit(n)).cast("int")
+        return F.pmod(salt(0), F.lit(n)).cast("int")
 
     fine = 1 << 16
-    counts = docs.groupBy(part(fine).alias("p")).count().toPandas()
+    # Numbers from 1 for each content: the rows themselves needn't meet to be counted.
+    copies = docs.select(content.alias("_content")).groupBy("_content").count().select("_content", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("_copy"))
+    counts = copies.groupBy(part(fine).alias("p")).count().toPandas()
     rows = int(counts["count"].sum())
     n = max(least_partitions, 1 << max(0, (rows // partition_rows)).bit_length())
     k = max(least_cells, -(-rows // (shards * partition_rows)))
@@ -61,12 +65,14 @@ def assign(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text: s
     offsets = (np.cumsum(cells.reshape(shards, k), axis=1) - cells.reshape(shards, k)).ravel()
     spark = docs.sparkSession
     deal = spark.createDataFrame([(p, x.tolist()) for p, x in enumerate(ends)], "_p int, _ends array<bigint>")
-    ties = [id_column, text]
-    d = docs.withColumn("_p", part(n)).withColumn("_second", second).withColumn("_at", F.row_number().over(W.partitionBy("_p").orderBy(first, *ties)))
+    ties = [id_column, text, "_copy"]
+    copy = F.row_number().over(W.partitionBy("_content").orderBy(F.xxhash64(*docs.columns)))
+    d = docs.withColumn("_content", content).withColumn("_copy", copy.cast("long"))
+    d = d.withColumn("_p", part(n)).withColumn("_second", second).withColumn("_at", F.row_number().over(W.partitionBy("_p").orderBy(first, *ties)))
     d = d.join(deal, "_p").withColumn("_cell", F.size(F.filter("_ends", lambda e: e < F.col("_at")))).drop("_ends", "_p", "_at")
     before = F.element_at(F.lit(offsets.tolist()).cast("array<bigint>"), F.col("_cell") + 1)
     slot = before + F.row_number().over(W.partitionBy("_cell").orderBy("_second", *ties)) - 1
-    return d.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("_cell") / k).cast("int")).drop("_cell", "_second")
+    return d.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("_cell") / k).cast("int")).drop("_cell", "_second", "_content", "_copy")
 
 
 def size(text: Column) -> Column:

@@ -162,6 +162,14 @@ def test_sharding_is_uniform(spark, empty):
     assert m.sum(axis=1).tolist() == [5, 0, 7] and m.sum(axis=0).tolist() == [4, 4, 4]
 
 
+def test_sharding_parts_equal_rows(spark):
+    df = spark.range(6000).select((F.col("id") % 2000).alias("doc_id"), F.lit("t").alias("text"))
+    shards = collections.defaultdict(list)
+    for r in rows_of(sharding.assign(df, shards=8)):
+        shards[r["doc_id"]].append(r["shard"])
+    assert sum(len(set(s)) == 1 for s in shards.values()) < 60  # a uniform shuffle leaves 31 of 2000 whole
+
+
 # ---------------------------------------------------------------- urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
