@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +22,30 @@ SHINGLE = 5
 SIMILARITY = 0.8
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+@cache
+def _own_folder(spark: SparkSession) -> str:
+    """A subfolder of spark.checkpoint.dir for this session's tables; it goes when Python ends."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="quarry-"))
+    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/quarry-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files, quiet = path.getFileSystem(sc._jsc.hadoopConfiguration()), contextlib.suppress(Exception)
+
+    def remove() -> None:
+        with quiet:  # the JVM may have ended before
+            files.delete(path, True)
+
+    atexit.register(remove)
+    return folder
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Where driver and executors share tables: under spark.checkpoint.dir, which a cluster must have set."""
+    return _own_folder(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -83,6 +104,36 @@ def minhash_multipliers(n: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+# ---------------------------------------------------------------- bitmaps of hashes
+
+LEAST_BITS, MOST_BITS = 18, 27
+
+
+def bits_for(n: int) -> int:
+    """Size of a bitmap for n hashes, as an exponent: 8 to 16 slots a hash, 32 KB at least and 16 MB at most."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+
+
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """Which of 2 ** bits slots (their top bits) the longs of the first column fall in.
+
+    Executors build it in pieces of 4 KB, of which 2 ** (bits - 15) reach the driver.
+    A bitmap only spares rows a shuffle: what passes is joined exactly, so a full one costs time, not results.
+    """
+    slot = F.shiftrightunsigned(values.columns[0], 64 - bits)
+    pieces = values.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(32767))).alias("marks"))
+    out = np.zeros((1 << bits) // 32768, "V4096")
+    for piece, marks in pieces.collect():
+        out[piece] = np.void(bytes(marks))
+    return out.view(np.uint8)
+
+
+def in_bitmap(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bits = (8 * len(marks)).bit_length() - 1
+    slot = values.view(np.uint64) >> np.uint64(64 - bits)
+    return (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 # ---------------------------------------------------------------- runs of equal keys in sorted partitions
 
 
@@ -133,7 +184,7 @@ def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = 0) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edge table: root is the smallest node of its component.
 
     Each round sends every node to its smallest neighbour, follows that pointer

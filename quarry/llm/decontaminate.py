@@ -1,16 +1,16 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are short and documents long, so MinHash of whole documents would find
-nothing. Items are partitioned by size (powers of two of their distinct 5-word
-shingles); for each size class present, documents are cut into overlapping windows
+nothing. Items are partitioned by size (powers of two of their 5-word shingles, repeats
+counted, as windows count them); for each size class present, documents are cut into overlapping windows
 of 1.25 times the class's upper bound, in steps of a quarter, so that an item
 anywhere in a document lies in a window of like size. An item and a window are
 candidates if they agree on one of 48 minimum hashes: a window that holds 0.8 of an
 item is missed with a probability of about 5e-8, an exact copy with less. Candidates
 are verified by exact containment of the item's shingles in the whole document.
 
-Windows' minima are first held against a bitmap of the items' minima (2 MB at any
-number of items: more items only make it less selective), then joined exactly. A
+Windows' minima are first held against a bitmap of the items' minima (16 MB at most:
+beyond some ten million minima it gets less selective), then joined exactly. A
 document that passes sends those of its shingles that pass a like bitmap.
 
 Shingles are compared by 64-bit hashes of lower-cased (A-Z) words; a text of fewer
@@ -30,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, arrow_texts, materialise, minhash_multipliers, mixed, shingle_hashes, word_hashes
+from .common import SIMILARITY, arrow_texts, bitmap, bits_for, in_bitmap, materialise, minhash_multipliers, mixed, shingle_hashes, word_hashes
 
 HASHES = 48
-BITS = 24
 LEAST_CLASS = 2
 
 
@@ -75,9 +74,10 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items, shingles, keys, classes, rows = [], [], [], [], []
         for row, item, text in zip(batch.column("_item_row").to_pylist(), batch.column("item_id").to_pylist(), arrow_texts(batch), strict=True):
-            s = np.unique(_shingles(text))
+            s = _shingles(text)
             if len(s):
                 cls = size_class(len(s))
+                s = np.unique(s)
                 rows.append(row)
                 items.append(item)
                 classes.append(cls)
@@ -87,19 +87,6 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {"item_row": pa.array(rows, pa.int64()), "item_id": pa.array(items, pa.int64()), "cls": pa.array(classes, pa.int32()), "item_shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
 
-def _bitmap(values: DataFrame) -> np.ndarray:
-    """Which of 2 ** BITS slots the values fall in; at most that many numbers reach the driver."""
-    slots = values.select(F.shiftrightunsigned(values.columns[0], 64 - BITS).cast("int").alias("slot")).distinct().toPandas()["slot"]
-    marks = np.zeros(1 << BITS, bool)
-    marks[slots.to_numpy(np.int64)] = True
-    return np.packbits(marks)
-
-
-def _hit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values >> np.uint64(64 - BITS)
-    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
-
-
 def candidates(docs: DataFrame, items: DataFrame, text: str, id_column: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(items with shingles and keys; documents (doc_row, doc_id, hits, shingles) of which a window meets an item)."""
     spark = docs.sparkSession
@@ -108,7 +95,8 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, id_column: str, lea
     classes = sorted(r[0] for r in index.select("cls").distinct().collect())
     smallest = index.agg(F.min(F.size("item_shingles"))).first()[0] or 1
     need = math.ceil(least * smallest - 1e-9)  # no item is held by fewer shingles
-    sent = spark.sparkContext.broadcast((_bitmap(index.select(F.explode("keys"))), _bitmap(index.select(F.explode("item_shingles")))))
+    total = lambda c: index.agg(F.sum(F.size(c))).first()[0] or 0
+    sent = spark.sparkContext.broadcast(tuple(bitmap(index.select(F.explode(c)), bits_for(total(c))) for c in ("keys", "item_shingles")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_map, shingle_map = sent.value
@@ -118,13 +106,13 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, id_column: str, lea
                 s = _shingles(t)
                 if not len(s):
                     continue
-                known = _hit(shingle_map, s)
+                known = in_bitmap(shingle_map, s)
                 if known.sum() < need:
                     continue
                 found = []
                 for cls in classes:
                     keys = _tagged(_minima(s, cls), cls).ravel()
-                    found.append(keys[_hit(keys_map, keys)])
+                    found.append(keys[in_bitmap(keys_map, keys)])
                 hits = np.unique(np.concatenate(found))
                 if len(hits):
                     out.append((row, doc, hits.view(np.int64), np.unique(s[known]).view(np.int64)))

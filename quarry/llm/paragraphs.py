@@ -1,47 +1,60 @@
 """Substring dedup by paragraph MinHash banding.
 
-Web texts mostly lack blank lines and repeated passages begin anywhere in a line, so
-paragraphs are cut by content: of every ``REACH`` neighbouring 5-word shingles, that of
-the smallest hash begins a paragraph of ``LENGTH`` words (winnowing). Two texts that
-share REACH + LENGTH - 1 words in a row, 50 here, share a paragraph, however the words
-around differ. Each paragraph has BANDS bands of ROWS minimum hashes of its shingles:
-a paragraph of similarity 0.8 collides in some band with a probability of 0.95, an
-equal one always, and passages hold several paragraphs.
-
-Equal paragraphs collapse to one content first. Contents that collide in a band are
-compared by exact Jaccard similarity of their shingles; in a band's bucket only pairs
-that aren't connected yet are compared and a spanning forest is emitted, so buckets
-yield no pair lists. Contents join into components; a component that occurs in two
-documents or more is a repeat: its first occurrence (by doc_id, place) stays and the
-others are removals.
+Paragraphs are of two kinds.
+
+- Written ones: lines of LEAST words or more, and whole texts of up to TEXT words,
+  however short. Each has BANDS bands of ROWS minimum hashes of its 5-word shingles; at
+  a Jaccard similarity of 0.8 two paragraphs collide in some band with a probability of
+  0.98, by which BANDS and ROWS are chosen. Paragraphs that collide are compared
+  by exact Jaccard similarity, and those of 0.8 or more link.
+- Cut ones: passages often begin in the middle of a line, so windows of LENGTH words
+  begin where the 5-word shingle has the smallest hash of REACH neighbours (winnowing).
+  Texts that share REACH + LENGTH - 1 words in a row, 50 here, share a window, however
+  the words around differ. Windows are too short for an edit at a similarity of 0.8, so
+  only equal ones link: an edited passage is found in the stretches between the edits.
+
+Equal paragraphs collapse to one content before anything meets by a band. In a bucket,
+only pairs that aren't connected yet are compared and a spanning forest is emitted. A
+bucket of more than HOT contents (lines that hold one common passage, for instance) is
+dealt anew by FINE_BANDS bands of FINE_ROWS minima each, again 0.98 at 0.8, which
+lines of lower similarity seldom share. Linked contents join into components; a
+component found in two documents or more is a repeat, of which the first place (by
+doc_id, place) stays and the others are removals. Removals of a document that overlap or
+adjoin merge to spans.
 
 Texts are read twice: once for paragraphs, once for the shingles of those contents
-that share a bucket with another one (found through a bitmap of 2 MB, then joined).
+that share a bucket (found through a bitmap of 16 MB at most, then joined exactly).
 
 Words are lower-cased (A-Z); white space between them doesn't count. Nulls: a null
-text has no paragraphs, nor have texts under LENGTH words; a null doc_id sorts first.
-Repeated rows are documents of their own. Empty tables give empty results.
+text has no paragraphs; a null doc_id sorts first. Repeated rows are documents of their
+own. Empty tables give empty results. Lines under LEAST words in longer texts are no
+paragraphs: they are as short as common phrases.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, arrow_texts, components, forest, materialise, minhash_multipliers, mixed, runs, shingle_hashes, word_hashes
-from .decontaminate import _bitmap, _hit
+from .common import SHINGLE, SIMILARITY, arrow_texts, bitmap, bits_for, components, forest, in_bitmap, materialise, minhash_multipliers, mixed, runs, shingle_hashes, word_hashes
 
-LENGTH = 20
-REACH = 31
-BANDS = 3
-ROWS = 2
-BLOCK = 20_000
+LEAST, TEXT = 20, 100
+LENGTH, REACH = 26, 25
+BANDS, ROWS = 6, 3
+HOT, FINE_BANDS, FINE_ROWS = 256, 24, 8
+BLOCK = 200_000
 _WORD = re.compile(rb"[^ \t-\r]+")
+_ONE = np.zeros(1, np.uint64)
+
+
+# ---------------------------------------------------------------- paragraphs of a text
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,36 +78,67 @@ def anchors(shingles: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero(most == shingles)
 
 
-def paragraphs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, shingles of shape (paragraphs, LENGTH - 4)) of a text."""
-    n = len(words)
-    if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros((0, LENGTH - SHINGLE + 1), np.uint64)
-    s = shingle_hashes(word_hashes(words))
-    at = anchors(s)
-    at = at[at + LENGTH <= n]
-    return at, s[at[:, None] + np.arange(LENGTH - SHINGLE + 1)]
+def _placed(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each word and its place in the paragraph; their sum stands for the words in order."""
+    return mixed(hashes ^ mixed(place.astype(np.uint64) + np.uint64(1)))
+
+
+def _written(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, shingles, first words, lengths, contents) of a text's written paragraphs."""
+    lines = [x.split() for x in text.lower().split(b"\n")]
+    hashes = word_hashes(list(chain.from_iterable(lines)))
+    n, shingles = len(hashes), shingle_hashes(hashes)
+    if not n:
+        return hashes, shingles, *[np.zeros(0, np.int64)] * 2, hashes
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = np.cumsum(size) - size
+    long = (size >= LEAST) & ((size < n) | (n > TEXT))
+    inside = np.append(_placed(hashes, np.arange(n) - np.repeat(first, size)), np.uint64(0))
+    start, length = first[long], size[long]
+    content = np.add.reduceat(inside, np.ravel(np.column_stack((start, start + length))))[::2] if len(start) else _ONE[:0]
+    if n <= TEXT:
+        start, length, content = np.append(0, start), np.append(n, length), np.append(_placed(hashes, np.arange(n)).sum(dtype=np.uint64), content)
+    return hashes, shingles, start, length, mixed(content)
+
+
+def _windows(hashes: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, contents) of the cut paragraphs."""
+    if len(hashes) < LENGTH:
+        return np.zeros(0, np.int64), _ONE[:0]
+    at, inside = anchors(shingles), np.arange(LENGTH)
+    at = at[at + LENGTH <= len(hashes)]
+    return at, ~mixed(_placed(hashes[at[:, None] + inside], inside).sum(axis=1, dtype=np.uint64))
+
+
+def _minima(shingles: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> Iterator[np.ndarray]:
+    """n minimum hashes for paragraphs, whose shingles lie between bounds[2k] and bounds[2k + 1]; shingles has one more at its end."""
+    for m in minhash_multipliers(n, seed):
+        h = shingles * m
+        yield np.minimum.reduceat(h ^ (h >> np.uint64(31)), bounds)[::2]
+
+
+def bands(shingles: np.ndarray, bounds: np.ndarray, n: int = BANDS, rows: int = ROWS, seed: int = 11) -> np.ndarray:
+    """(paragraphs, n) band keys."""
+    if not len(bounds):
+        return np.zeros((0, n), np.uint64)
+    keys = []
+    for k, low in enumerate(_minima(np.append(shingles, np.uint64(0)), bounds, n * rows, seed)):
+        if k % rows == 0:
+            keys.append(np.full(len(low), np.uint64(k + 1)))
+        keys[-1] = mixed(keys[-1] ^ low)
+    return np.stack(keys, axis=1)
 
 
-def _contents(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each paragraph's shingles in order."""
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        out = mixed(out ^ rows[:, k]) + np.uint64(k)
-    return out
+def _bounds(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Where the shingles of paragraphs begin and end; under five words make one shingle."""
+    return np.ravel(np.column_stack((start, start + np.maximum(1, length - SHINGLE + 1))))
 
 
-def bands(rows: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) keys."""
-    m = minhash_multipliers(BANDS * ROWS, seed=11)
-    keys = np.zeros((len(rows), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(rows), np.uint64(b + 1))
-        for r in range(ROWS):
-            h = rows * m[b * ROWS + r]
-            key = mixed(key ^ (h ^ (h >> np.uint64(31))).min(axis=1, initial=np.uint64(2**64 - 1)))
-        keys[:, b] = key
-    return keys
+# ---------------------------------------------------------------- scans
+
+
+def _read(docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +146,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for row, doc, text in zip(batch.column("_row").to_pylist(), batch.column("_id").to_pylist(), arrow_texts(batch, "_text"), strict=True):
-            at, rows = paragraphs(text.lower().split())
-            if len(at):
-                held.append((row, doc, at, rows))
-                size += len(at)
+            hashes, shingles, start, length, content = _written(text)
+            at, cut = _windows(hashes, shingles)
+            if len(start) + len(at):
+                held.append((row, doc, shingles, start, length, content, at, cut))
+                size += len(hashes)
             if size > BLOCK:
                 yield _found(held)
                 held, size = [], 0
@@ -114,114 +159,164 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(held: list[tuple]) -> pa.RecordBatch:
-    counts = [len(h[2]) for h in held]
-    rows = np.concatenate([h[3] for h in held])
-    keys = bands(rows).view(np.int64)
+    rows, docs, shingles, start, length, content, at, cut = zip(*held, strict=True)
+    offset = np.cumsum([0, *(len(s) + 1 for s in shingles)])[:-1]
+    joined = np.concatenate([x for s in shingles for x in (s, _ONE)])  # a place at each end, so that bounds lie inside
+    keys = bands(joined, np.concatenate([_bounds(s, n) + o for s, n, o in zip(start, length, offset, strict=True)])).view(np.int64)
+    written, windows = [len(s) for s in start], [len(a) for a in at]
     lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-    docs = pa.array([d for h, k in zip(held, counts, strict=True) for d in [h[1]] * k], pa.int64())
-    cols = [pa.array(np.repeat([h[0] for h in held], counts)), docs, pa.array(np.concatenate([h[2] for h in held]).astype(np.int32)), pa.array(_contents(rows).view(np.int64)), lists]
-    return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "place", "content", "keys"])
+    keys = pa.concat_arrays([lists, pa.nulls(sum(windows), pa.list_(pa.int64()))])
+    spread = lambda x: [v for counts in (written, windows) for v, n in zip(x, counts, strict=True) for _ in range(n)]
+    n_words = np.concatenate([*length, np.full(sum(windows), LENGTH)])
+    cols = [pa.array(spread(rows), pa.int64()), pa.array(spread(docs), pa.int64()), pa.array(np.concatenate([*start, *at]).astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(np.concatenate([*content, *cut]).view(np.int64)), keys]
+    return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "place", "n", "content", "keys"])
+
+
+def _shingles_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(content, shingles) of the wanted contents of written paragraphs; shingles are sorted, different ones, 8 bytes each."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(bitmap(wanted, bits_for(wanted.count())))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, seen = sent.value, set()
+        for batch in batches:
+            out: list[tuple[int, bytes]] = []
+            for t in arrow_texts(batch, "_text"):
+                _, shingles, start, length, content = _written(t)
+                bounds = _bounds(start, length)
+                for k in np.flatnonzero(in_bitmap(marks, content)):
+                    c = int(content[k : k + 1].view(np.int64)[0])
+                    if c not in seen:
+                        seen.add(c)
+                        out.append((c, np.unique(shingles[bounds[2 * k] : bounds[2 * k + 1]]).tobytes()))
+                if len(seen) >= 500_000:
+                    seen.clear()  # only spares repeats
+            cols = list(zip(*out, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.binary())], ["content", "shingles"])
 
+    texts = docs.select(F.col(text).alias("_text")).mapInArrow(again, "content long, shingles binary")
+    return materialise(texts.groupBy("content").agg(F.max("shingles").alias("shingles")))
 
-def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of a and b (sorted shingles; b may be one row) have a Jaccard similarity of SIMILARITY."""
-    new = lambda x: np.concatenate((np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]), axis=1)
-    first = new(a)
-    shared = ((a[:, :, None] == b[:, None, :]).any(axis=2) & first).sum(axis=1)
-    return shared >= SIMILARITY * (first.sum(axis=1) + new(b).sum(axis=1) - shared) - 1e-9
+
+# ---------------------------------------------------------------- links
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, starts in runs(batches, "key"):
-        content = table.column("content").to_numpy()
-        shingles = np.sort(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64).reshape(len(content), -1), axis=1)
-        size = np.diff(starts)
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        two = starts[:-1][size == 2]  # most buckets: compared all at once
-        for k in range(0, len(two), BLOCK):
-            at = two[k : k + BLOCK]
-            at = at[_similar(shingles[at], shingles[at + 1])]
-            a.append(content[at])
-            b.append(content[at + 1])
-        for k in np.flatnonzero(size > 2):
-            c, s = content[starts[k] : starts[k + 1]], shingles[starts[k] : starts[k + 1]]
-            edges = np.array(forest(len(c), lambda i, others, s=s: _similar(s[others], s[i : i + 1])), np.int64).reshape(-1, 2)
-            a.append(c[edges[:, 0]])
-            b.append(c[edges[:, 1]])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        content, shingles = table.column("content").to_numpy(), table.column("shingles").to_pylist()
+        edges: list[tuple[int, int]] = []
+        for k in np.flatnonzero(np.diff(starts) > 1):
+            base = int(starts[k])
+            sets = [np.frombuffer(x, np.uint64) for x in shingles[base : starts[k + 1]]]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+
+            def linked(i: int, others: np.ndarray, sets=sets, size=size) -> np.ndarray:
+                out = np.zeros(len(others), bool)
+                like = np.minimum(size[others], size[i]) >= SIMILARITY * np.maximum(size[others], size[i])
+                for j in np.flatnonzero(like):
+                    out[j] = similarity(sets[i], sets[others[j]]) >= SIMILARITY - 1e-9
+                return out
+
+            edges += [(base + i, base + j) for i, j in forest(len(sets), linked)]
+        if edges:
+            pairs = np.array(edges, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(content[pairs[:, 0]]), pa.array(content[pairs[:, 1]])], ["a", "b"])
+
+
+def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+        end = np.cumsum([len(s) + 1 for s in sets])
+        bounds = np.ravel(np.column_stack((end - [len(s) + 1 for s in sets], end - 1)))
+        keys = bands(np.concatenate([x for s in sets for x in (s, _ONE)]), bounds, FINE_BANDS, FINE_ROWS, seed=13)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("content").to_numpy(), FINE_BANDS))], ["key", "content"])
 
 
-def _read(docs: DataFrame, text: str, id_column: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
+def _buckets(members: DataFrame) -> DataFrame:
+    """(key, content, size) of the keys that several contents have."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return materialise(members.join(sizes, "key"))
 
 
-def near_contents(docs: DataFrame, contents: DataFrame, text: str, id_column: str) -> DataFrame:
+def near_contents(docs: DataFrame, contents: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     """Edges (a, b) that connect different contents of like shingles; contents has one row (content, keys) for each."""
-    # Distinct contents of each band's bucket; those alone in theirs go.
-    members = contents.select("content", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least < most").select("key")
-    buckets = materialise(members.join(shared, "key"))
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(buckets.select("content")))
+    buckets = _buckets(contents.select("content", F.explode("keys").alias("key")))
+    texts = _shingles_of(docs, buckets.select("content").distinct(), text)
+    meet = lambda b: b.select("key", "content").join(texts, "content").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, "a long, b long")
+    edges = meet(buckets.where(F.col("size") <= hot))
+    large = buckets.where(F.col("size") > hot).select("content").distinct()
+    if not large.isEmpty():
+        edges = edges.unionByName(meet(_buckets(large.join(texts, "content").mapInArrow(_fine_keys, "key long, content long"))))
+    return edges.distinct()
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, seen = wanted.value, set()
-
-        def chosen(held: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.concatenate([*held, np.zeros((0, LENGTH - SHINGLE + 1), np.uint64)])
-            content = _contents(rows)
-            hit = _hit(marks, content)
-            content, first = np.unique(content[hit], return_index=True)
-            rows = rows[hit][first]
-            new = np.array([c not in seen for c in content.tolist()], bool)
-            if len(seen) >= 500_000:
-                seen.clear()
-            seen.update(content[new].tolist())
-            return pa.RecordBatch.from_arrays([pa.array(content[new].view(np.int64)), pa.array([r.tobytes() for r in rows[new]], pa.binary())], ["content", "shingles"])
 
+# ---------------------------------------------------------------- repeats
+
+
+def paragraphs(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """(row, doc_id, place, n, content, component, removed), one row for each place of a paragraph that repeats across documents.
+
+    row numbers documents, place and n count words, component is the smallest content
+    (a signed hash) of the component, of which one place isn't removed.
+    """
+    found = materialise(_read(docs, text, id_column).mapInArrow(_scan, "row long, doc_id long, place int, n int, content long, keys array<bigint>"))
+    first = F.min(F.struct("doc_id", "row", "place")).alias("first")
+    spread = [first, F.min("row").alias("low"), F.max("row").alias("high")]
+
+    # Windows: hashes alone are shuffled to see which repeat; the rest of the rows goes only for those.
+    cut = found.where("keys IS NULL").drop("keys")
+    twice = materialise(cut.groupBy("content").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("content"))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(twice, bits_for(twice.count())))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[np.ndarray] = []
-            size = 0
-            for t in arrow_texts(batch, "_text"):
-                rows = paragraphs(t.lower().split())[1]
-                held.append(rows)
-                size += len(rows)
-                if size > BLOCK:
-                    yield chosen(held)
-                    held, size = [], 0
-            yield chosen(held)
+            yield batch.filter(pa.array(in_bitmap(sent.value, batch.column("content").to_numpy())))
 
-    texts = _read(docs, text, id_column).mapInArrow(again, "content long, shingles binary").groupBy("content").agg(F.max("shingles").alias("shingles"))
-    filled = buckets.join(texts, "content").select("key", "content", "shingles")
-    return filled.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, "a long, b long").distinct()
+    cut = cut.mapInArrow(repeated, cut.schema)
+    cut_classes = cut.groupBy("content").agg(*spread).where("low < high").select("content", F.col("content").alias("component"), "first")
+
+    # Written paragraphs: one row for each content before any meet by key, so a common line is no heavier there.
+    contents = materialise(found.where("keys IS NOT NULL").groupBy("content").agg(*spread, F.first("keys").alias("keys")))
+    roots = components(near_contents(docs, contents, text))
+    named = contents.drop("keys").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("root", "content"))
+    classes = named.groupBy("component").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("component", "first")
+    line_classes = named.select("content", "component").join(classes, "component").select("content", "component", "first")
+
+    places = cut.unionByName(found.where("keys IS NOT NULL").drop("keys"))
+    out = places.join(materialise(cut_classes.unionByName(line_classes)), "content")
+    kept = (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place"))
+    return out.select("row", "doc_id", "place", "n", "content", "component", (~kept).alias("removed"))
 
 
 def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, first_word, n_words, component, removed), one row for each paragraph that repeats across documents.
+    """(doc_id, first_word, n_words, removed, n_paragraphs, component): spans of the documents that repeat.
 
-    component is the smallest content of the component, as a signed hash; places count
-    words from 0. Paragraphs of one document may overlap where anchors are close.
+    A span merges the removed paragraphs, or those that stay, that overlap or adjoin; component is its
+    smallest. Spans of one document that stay may overlap some that go.
     """
-    found = materialise(_read(docs, text, id_column).mapInArrow(_scan, "row long, doc_id long, place int, content long, keys array<bigint>"))
-    # One row for each content before any meet by key: a passage that many texts hold is no heavier there.
-    first = F.min(F.struct("doc_id", "row", "place")).alias("first")
-    contents = materialise(found.groupBy("content").agg(first, F.min("row").alias("low"), F.max("row").alias("high"), F.first("keys").alias("keys")))
-    roots = components(near_contents(docs, contents, text, id_column))
-    contents = contents.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("root", "content"))
-    classes = contents.groupBy("component").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("component", "first")
-    chosen = materialise(contents.select("content", "component").join(classes, "component"))
-    out = found.drop("keys").join(chosen, "content")
-    kept = (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place"))
-    return out.select("doc_id", F.col("place").alias("first_word"), F.lit(LENGTH).alias("n_words"), "component", (~kept).alias("removed"))
+    own = W.partitionBy("row", "removed").orderBy("place", "n")
+    end = F.col("place") + F.col("n")
+    begins = F.coalesce(F.max(end).over(own.rowsBetween(W.unboundedPreceding, -1)) < F.col("place"), F.lit(True))
+    spans = paragraphs(docs, text, id_column).withColumn("_new", begins.cast("int")).withColumn("_span", F.sum("_new").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    merged = spans.groupBy("row", "removed", "_span").agg(
+        F.first("doc_id").alias("doc_id"), F.min("place").alias("first_word"), (F.max(end) - F.min("place")).alias("n_words"), F.count("*").alias("n_paragraphs"), F.min("component").alias("component"))
+    return merged.select("doc_id", "first_word", "n_words", "removed", "n_paragraphs", "component")
 
 
-def spans(text: str, first_words: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
-    """UTF-8 byte spans that removals of these places cover in a text, merged."""
+def byte_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """UTF-8 byte spans of a text's spans (first_word, n_words), merged."""
     at = [m.span() for m in _WORD.finditer(text.encode())]
     out: list[list[int]] = []
-    for w in sorted(first_words):
-        a, b = at[w][0], at[w + length - 1][1]
+    for first, n in sorted(spans):
+        a, b = at[first][0], at[first + n - 1][1]
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:

@@ -413,36 +413,99 @@ def test_lm_is_a_distribution(spark):
 # ---------------------------------------------------------------- paragraphs
 
 
-def long_repeats(texts, least):
-    """Indices of texts that share ``least`` words in a row with another text."""
+def shared_runs(texts, least):
+    """For each text, the places of words that lie in ``least`` words in a row that another text has."""
     where = collections.defaultdict(set)
-    for k, t in enumerate(texts):
-        w = (t or "").lower().split()
+    words = [(t or "").lower().split() for t in texts]
+    for k, w in enumerate(words):
         for i in range(len(w) - least + 1):
-            where[tuple(w[i : i + least])].add(k)
-    return {k for ks in where.values() if len(ks) > 1 for k in ks}
+            where[tuple(w[i : i + least])].add((k, i))
+    out = collections.defaultdict(set)
+    for at in where.values():
+        if len({k for k, _ in at}) > 1:
+            for k, i in at:
+                out[k] |= set(range(i, i + least))
+    return out
 
 
-def test_paragraphs(sample, docs, empty, spark):
+def test_paragraphs_find_passages(sample, docs, empty, spark):
     rng = random.Random(4)
     words = [f"v{k}" for k in range(3000)]
     passage = rng.choices(words, k=52)
     planted = [(20_000 + k, " ".join(rng.choices(words, k=rng.randint(0, 400)) + passage + rng.choices(words, k=rng.randint(0, 400))), "en", "a", 0) for k in range(30)]
-    planted.append((30_000, " ".join(rng.choices(words, k=500)), "en", "a", 0))
+    planted += [(30_000, " ".join(rng.choices(words, k=500)), "en", "a", 0), (30_001, "one", "en", "a", 0), (30_002, " ".join(words[:19]), "en", "a", 0), (30_003, "\n".join(words[:19]), "en", "a", 0)]
     df = sample.unionByName(docs.select(*sample.columns)).unionByName(spark.createDataFrame(planted, SCHEMA))
     rows = rows_of(df)
     got = rows_of(paragraphs.repeats(df))
     texts = [r["text"] for r in rows]
-    must = {rows[k]["doc_id"] for k in long_repeats(texts, 50)}
-    may = {rows[k]["doc_id"] for k in long_repeats(texts, 12)}
     found = {r["doc_id"] for r in got}
-    assert must <= found <= may and 30_000 not in found
+    must = {rows[k]["doc_id"] for k in shared_runs(texts, 50)}
+    assert must <= found and {7, 30_001, 30_002, 30_003} <= found and 30_000 not in found
+    # Nothing is found that isn't shared: spans lie in runs of equal words or in lines of like shingles.
+    alike = collections.Counter(tuple((t or "").lower().split()) for t in texts)
+    loose = {rows[k]["doc_id"] for k in shared_runs(texts, 5)} | {r["doc_id"] for r in rows if alike[tuple((r["text"] or "").lower().split())] > 1}
+    assert found <= loose
+    units = rows_of(paragraphs.paragraphs(df))
     by = collections.defaultdict(list)
-    for r in got:
+    for r in units:
         by[r["component"]].append(r)
-    assert all(sum(not r["removed"] for r in rs) == 1 for rs in by.values())
+    assert all(len({r["row"] for r in rs}) > 1 and len({(r["row"], r["place"]) for r in rs if not r["removed"]}) == 1 for rs in by.values())
+    # Spans of removals are the union of the removed paragraphs.
+    cover = lambda rs, a, n: collections.Counter((r["doc_id"], w) for r in rs if r["removed"] and r["doc_id"] != 2 and r["doc_id"] is not None for w in range(r[a], r[a] + r[n]))
+    assert set(cover(units, "place", "n")) == set(cover(got, "first_word", "n_words")) and max(cover(got, "first_word", "n_words").values()) == 1
     assert paragraphs.repeats(empty).count() == 0
-    assert paragraphs.spans(" a b  c d", [1], 2) == [(3, 7)]
+    assert paragraphs.byte_spans(" a b  c d", [(1, 2)]) == [(3, 7)]
+
+
+@pytest.mark.parametrize("hot", [paragraphs.HOT, 1])
+def test_paragraphs_near_recall(sample, spark, hot, monkeypatch):
+    """Against brute force: lines of a Jaccard similarity of 0.8 or more come into one component, at 0.95 of the pairs or more, and no others."""
+    rng, words = random.Random(11), [f"v{k}" for k in range(5000)]
+    common = rng.choices(words, k=30)
+    planted = []
+    for k in range(150):
+        w = rng.choices(words, k=rng.randint(20, 160))
+        w = common + w if k % 3 == 0 else w
+        v = list(w)
+        for _ in range(rng.randint(0, 1 + len(w) // 60)):
+            v[rng.randrange(len(v))] = "edit"
+        for n, x in enumerate((w, v)):
+            planted.append((40_000 + 2 * k + n, f"Title {k} {n}\n" + " ".join(x) + "\n" + " ".join(rng.choices(words, k=19)), "en", "a", 0))
+    df = sample.unionByName(spark.createDataFrame(planted, SCHEMA))
+    real = paragraphs.near_contents
+    monkeypatch.setattr(paragraphs, "near_contents", lambda d, c, t: real(d, c, t, hot))
+    got = collections.defaultdict(set)
+    for r in rows_of(paragraphs.paragraphs(df)):
+        got[r["doc_id"], r["place"], r["n"]].add(r["component"])
+    units = []
+    for r in rows_of(df):
+        at = 0
+        whole = (r["text"] or "").lower().split()
+        if whole and len(whole) <= paragraphs.TEXT:
+            units.append((r["doc_id"], 0, whole))
+        for line in (r["text"] or "").lower().split("\n"):
+            w = line.split()
+            if len(w) >= paragraphs.LEAST and (len(w) < len(whole) or len(whole) > paragraphs.TEXT):
+                units.append((r["doc_id"], at, w))
+            at += len(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, _, w in units]
+    of, pairs = collections.defaultdict(set), set()
+    for k, s in enumerate(sets):
+        for x in s:
+            pairs |= {(j, k) for j in of[x] if units[j][0] != units[k][0]}
+            of[x].add(k)
+    near = [(j, k) for j, k in pairs if len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]) - 1e-9]
+    known = lambda k: got.get((units[k][0], units[k][1], len(units[k][2])), set())
+    different = [(j, k) for j, k in near if units[j][2] != units[k][2]]
+    assert len(different) > 80
+    assert sum(bool(known(j) & known(k)) for j, k in near) >= 0.99 * len(near) and sum(bool(known(j) & known(k)) for j, k in different) >= 0.95 * len(different)
+    label = plain_components(len(units), lambda j, k: (k, j) in set_near) if (set_near := set(near)) and len(units) < 3000 else None
+    if label:
+        roots = collections.defaultdict(set)
+        for k in range(len(units)):
+            for c in known(k):
+                roots[c].add(label[k])
+        assert all(len(x) == 1 for x in roots.values())
 
 
 def test_components(spark):
