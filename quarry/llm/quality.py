@@ -1,15 +1,21 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-Every rule looks at a few counts of a text and votes good (1), bad (-1) or
-abstains (0). Only the counts of vote patterns leave the cluster (at most
-3 ** rules of them, whatever the input's size); expectation-maximisation on
-them estimates each rule's accuracy without labels, and a document is kept if
-the posterior probability of good quality is at least ``threshold``.
+Every rule looks at a share in a text and votes good (1), bad (-1) or abstains (0). The
+rules overlap: junk of one kind mostly meets several of them, and a clean text may meet
+one (a table has many symbols, a poem repeats lines). Only the counts of vote patterns
+leave the cluster (at most 3 ** rules of them, whatever the input's size).
+Expectation-maximisation on them estimates, without labels, how often each rule votes
+good, bad or abstains on good and on bad documents; nothing but a few pseudo-votes holds
+these rates. A document is kept if the posterior probability of good quality is at least
+``threshold``, so several good votes can outweigh a bad one.
 
 Nulls: a null text has no words and all counts zero; it fails the base rules.
-Empty tables: the rules keep their first accuracies. Repeated rows are judged
-alike and all returned. Columns of the input other than the text are carried
-unread; those named like a result column are replaced by it.
+Empty tables: the rules keep their first rates. Repeated rows are judged alike and all
+returned. Columns of the input other than the text are carried unread; those named like
+a result column are replaced by it. Repeated words are found by hashes of 64 bits less
+those that number the text's words: exact but where hashes of different windows are equal and
+lie between equal windows, which at ten million words (40 bits left) is about one window in a
+text of a hundred, at 30,000 words practically none.
 """
 
 from __future__ import annotations
@@ -18,37 +24,48 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialise
+from .common import materialise
 
 SYMBOLS = "[#*$%&|<>]"
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+PUNCTUATION = r"[^\p{L}\p{M}\p{N}_\s]"
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punctuation", "n_single", "n_distinct", "n_ended")
+ENDS = (".", "!", "?", ":", "\u3002", "\uff01", "\uff1f")
+ALL = 1e9
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes good up to ``good`` and bad from ``bad`` of a share; abstains in between or where nothing can be said."""
+    """Votes good where a share lies within ``good``, bad where it lies outside ``fair``, and abstains in between or where nothing can be said."""
 
     name: str
     part: str
     whole: str
-    good: float
-    bad: float
+    good: tuple[float, float]
+    fair: tuple[float, float]
 
     def vote(self) -> Column:
         share = F.col(self.part) / F.when(F.col(self.whole) > 0, F.col(self.whole))
-        return F.when(share <= self.good, 1).when(share >= self.bad, -1).otherwise(0).cast("int")
+        return F.when(share.between(*self.good), 1).when(~share.between(*self.fair), -1).otherwise(0).cast("int")
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 0.02, 0.10),
-    Rule("repeats", "n_repeat_words", "n_words", 0.10, 0.30),
-    Rule("lines", "n_dup_lines", "n_lines", 0.05, 0.50),
-    Rule("shouting", "n_upper", "word_chars", 0.10, 0.30),
-    Rule("shortness", "n_words", "word_chars", 0.33, 0.50),
+    Rule("symbols", "n_symbols", "n_words", (0, 0.02), (0, 0.10)),
+    Rule("punctuation", "n_punctuation", "word_chars", (0, 0.07), (0, 0.10)),
+    Rule("single", "n_single", "n_words", (0, 0.10), (0, 0.25)),
+    Rule("length", "n_words", "word_chars", (0.155, 0.23), (0.14, 0.235)),
+    Rule("repeats", "n_repeat_words", "n_words", (0, 0.10), (0, 0.30)),
+    Rule("lines", "n_dup_lines", "n_lines", (0, 0.05), (0, 0.50)),
+    Rule("shouting", "n_upper", "word_chars", (0, 0.10), (0, 0.30)),
+    Rule("variety", "n_distinct", "n_words", (0.50, ALL), (0.30, ALL)),
+    Rule("sentences", "n_ended", "n_lines", (0.90, ALL), (0.50, ALL)),
 )
+#: Rates of bad votes, abstentions and good votes from which estimation starts, on bad and on good documents.
+START = np.array([[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]])
+PSEUDO = 2.0
 
 
 def _each(text: Column, chars: str, by: str) -> Column:
@@ -95,49 +112,41 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\f\r"))) > 0)
     words = F.array_remove(F.split(_each(t, "\t\n\x0b\f\r", " "), " ", -1), "")
+    ended = F.filter("_l", lambda x: F.right(F.rtrim(x, F.lit(" \t\x0b\f\r")), F.lit(1)).isin(*ENDS))
     out = docs.withColumns({"_w": words, "_l": lines, "_found": F.struct(
         F.length(_each(t, " \t\n\x0b\f\r", "")).alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
-        count("[A-Z]").alias("n_upper"))})
+        count("[A-Z]").alias("n_upper"), count(PUNCTUATION).alias("n_punctuation"))})
     out = _with_repeats(out, "_w")
     named = {"n_words": F.size("_w"), "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": F.col("_repeats"), "n_lines": F.size("_l")}
-    named |= {c: F.col(f"_found.{c}") for c in ("word_chars", "n_symbols", "n_upper")}
+    named |= {"n_single": F.size(F.filter("_w", lambda x: F.length(x) == 1)), "n_distinct": F.size(F.array_distinct("_w")), "n_ended": F.size(ended)}
+    named |= {c: F.col(f"_found.{c}") for c in ("word_chars", "n_symbols", "n_upper", "n_punctuation")}
     return out.withColumns({c: named[c].cast("long") for c in FEATURES}).drop("_w", "_l", "_found", "_repeats")
 
 
-def expectation_maximisation(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60, prior: float = 0.8) -> tuple[float, list[tuple[float, float]]]:
-    """(share of good documents, each rule's accuracies on good and on bad ones) from counts of vote patterns.
+def expectation_maximisation(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, prior: float = 0.8) -> tuple[float, np.ndarray]:
+    """(share of good documents, rates) from counts of vote patterns; rates[q, j, v + 1]: how often rule j votes v on documents of quality q.
 
-    Given the quality, rules vote independently; a rule that votes is right with its
-    accuracy on good documents or with that on bad ones. The first stays within
-    [0.999, 0.9999] (thresholds are set so that a bad vote hits one good document in a thousand at most) and the second within [0.05, 0.99], so a good vote never speaks for
-    bad quality and good and bad can't change places; two pseudo-votes keep rare rules finite.
+    Given the quality, rules vote independently. Estimation starts from rules that are
+    better than chance, so good and bad can't change places, and adds PSEUDO votes of
+    that kind to each rule, which keeps rare rules finite.
     """
-    acc = [(0.999, 0.5)] * n_rules
-    total = sum(c for _, c in patterns)
-    for _ in range(rounds if total else 0):
-        good = 0.0
-        right, voted = [[0.999 * 2, 0.5 * 2] for _ in acc], [[2.0, 2.0] for _ in acc]
-        for votes, count in patterns:
-            p = 1 / (1 + math.exp(-_log_odds(votes, prior, acc)))
-            good += p * count
-            for j, v in enumerate(votes):
-                if v:
-                    voted[j][0] += count * p
-                    voted[j][1] += count * (1 - p)
-                    right[j][v < 0] += count * (p if v > 0 else 1 - p)
-        prior = min(0.98, max(0.02, good / total))
-        acc = [(min(0.9999, max(0.999, r[0] / n[0])), min(0.99, max(0.05, r[1] / n[1]))) for r, n in zip(right, voted, strict=True)]
-    return prior, acc
-
-
-def weights(accuracies: tuple[float, float]) -> tuple[float, float]:
-    """Log odds of good quality that a good and a bad vote add."""
-    good, bad = accuracies
-    return math.log(good / (1 - bad)), math.log((1 - good) / bad)
-
-
-def _log_odds(votes: Sequence[int], prior: float, acc: Sequence[tuple[float, float]]) -> float:
-    return math.log(prior / (1 - prior)) + sum(weights(a)[v < 0] for v, a in zip(votes, acc, strict=True) if v)
+    rates = np.repeat(START[:, None, :], n_rules, axis=1)
+    if not sum(c for _, c in patterns):
+        return prior, rates
+    votes, counts = np.array([v for v, _ in patterns]), np.array([c for _, c in patterns], np.float64)
+    for _ in range(rounds):
+        good = 1 / (1 + np.exp(-np.clip([log_odds(v, prior, rates) for v in votes], -700, 700)))
+        prior = float(np.clip((good * counts).sum() / counts.sum(), 0.02, 0.98))
+        for q, share in enumerate((1 - good, good)):
+            for v in (-1, 0, 1):
+                rates[q, :, v + 1] = PSEUDO * START[q, v + 1] + ((votes == v) * (share * counts)[:, None]).sum(axis=0)
+        rates /= rates.sum(axis=2, keepdims=True)
+    return prior, rates
+
+
+def log_odds(votes: Sequence[int], prior: float, rates: np.ndarray) -> float:
+    """Of good quality, given one document's votes."""
+    return math.log(prior / (1 - prior)) + sum(math.log(rates[1, j, v + 1] / rates[0, j, v + 1]) for j, v in enumerate(votes))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, min_words: int = 50, max_repeat_percent: int = 50, threshold: float = 0.5, carry: Sequence[str] | None = None) -> DataFrame:
@@ -153,10 +162,9 @@ def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, mi
     voted = materialise(counted.withColumns({f"vote_{r.name}": r.vote() for r in rules}))
     names = [f"vote_{r.name}" for r in rules]
     patterns = sorted((tuple(row[:-1]), row[-1]) for row in voted.groupBy(*names).count().collect())
-    prior, acc = expectation_maximisation(patterns, len(rules))
+    prior, rates = expectation_maximisation(patterns, len(rules))
     odds = F.lit(math.log(prior / (1 - prior)))
-    for name, a in zip(names, acc, strict=True):
-        for_good, for_bad = weights(a)
-        odds = odds + F.when(F.col(name) > 0, for_good).when(F.col(name) < 0, for_bad).otherwise(0.0)
+    for name, weight in zip(names, np.log(rates[1] / rates[0]).tolist(), strict=True):
+        odds = odds + F.when(F.col(name) > 0, weight[2]).when(F.col(name) < 0, weight[0]).otherwise(weight[1])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= threshold))

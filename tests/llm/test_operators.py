@@ -81,6 +81,47 @@ def test_quality_verdicts(docs, sample, empty, spark):
     assert right >= 0.97 * len(met)
 
 
+def plain_vote(share, rule):
+    if share is None:
+        return 0
+    return 1 if rule.good[0] <= share <= rule.good[1] else 0 if rule.fair[0] <= share <= rule.fair[1] else -1
+
+
+def test_quality_posterior(sample):
+    """kept and quality from the counts, by the plain formula on the same patterns."""
+    judged = rows_of(quality.judge(sample))
+    votes = [tuple(plain_vote(r[q.part] / r[q.whole] if r[q.whole] else None, q) for q in quality.RULES) for r in judged]
+    prior, rates = quality.expectation_maximisation(sorted(collections.Counter(votes).items()), len(quality.RULES))
+    for r, v in zip(judged, votes):
+        p = [share * math.prod(rates[q, j, x + 1] for j, x in enumerate(v)) for q, share in enumerate((1 - prior, prior))]
+        assert r["quality"] == pytest.approx(p[1] / sum(p), rel=1e-6)
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert r["base_failed"] == failed and r["kept"] == (not failed and r["quality"] >= 0.5)
+
+
+def test_quality_estimates_rates():
+    """Planted rates come back without labels, and one bad vote of a weak rule is outvoted."""
+    rng = np.random.default_rng(5)
+    real = np.array([[[0.6, 0.3, 0.1], [0.5, 0.2, 0.3], [0.7, 0.1, 0.2], [0.3, 0.4, 0.3]], [[0.05, 0.15, 0.8], [0.02, 0.28, 0.7], [0.1, 0.2, 0.7], [0.2, 0.2, 0.6]]])
+    truth = rng.random(40_000) < 0.7
+    votes = [tuple(int(rng.choice((-1, 0, 1), p=real[int(q), j])) for j in range(4)) for q in truth]
+    prior, rates = quality.expectation_maximisation(sorted(collections.Counter(votes).items()), 4, rounds=300)
+    assert abs(prior - 0.7) < 0.05 and np.abs(rates - real).max() < 0.08
+    assert quality.log_odds((1, 1, 1, -1), prior, rates) > 0 > quality.log_odds((-1, -1, 0, 1), prior, rates)
+
+
+def test_one_bad_vote_is_outvoted(sample, spark):
+    """A clean text in which every eighth word holds a symbol stays; junk with symbols everywhere goes."""
+    rng = random.Random(1)
+    words = [w for r in rows_of(sample.where("lang = 'en'").limit(40)) for w in r["text"].split() if w.isalpha()]
+    clean = lambda k: "\n".join(" ".join(rng.choices(words, k=20)) + "." for _ in range(k))
+    table = " ".join("$" + w if n % 8 == 0 else w for n, w in enumerate(clean(12).split(" ")))
+    junk = " ".join(w + "$%&" for w in clean(12).split(" "))
+    rows = [(90_000, table, "en", "a", 0), (90_001, junk, "en", "a", 0), (90_002, clean(12), "en", "a", 0)]
+    got = {r["doc_id"]: r for r in rows_of(quality.judge(sample.unionByName(spark.createDataFrame(rows, SCHEMA))).where("doc_id >= 90000"))}
+    assert got[90_000]["vote_symbols"] == -1 and got[90_000]["kept"] and got[90_002]["kept"] and not got[90_001]["kept"]
+
+
 # ---------------------------------------------------------------- mixing
 
 
