@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 ARTEFACTS = (("10II", "10^-9"), ("10\u25a0\u25a0", "10^-9"), ("\u03b5=", "epsilon="), ("\u025b=", "epsilon="), ("\x00", ""), ("\xa0", " "))
 #: Marker tokens of models that never belong in a chunk.
 MARKERS = ("<EOS>", "<pad>", "<unk>", "<s>", "</s>", "<mask>")
-#: Words by which a question names a scope.
+#: Words by which a question names a scope; alternatives that another one covers are left out.
 SCOPES = {
     "has_video": r"(?i)\b(video|presenter)\b",
     "has_image": r"(?i)\b(diagram|figure|image|what (does|is) (shown|labeled|depicted) in)\b",
@@ -20,7 +20,11 @@ SCOPES = {
 }
 #: What error messages of a bad request and of a passing failure hold.
 CONFIG_ERRORS = ("401", "403", "api key", "permission denied", "400", "invalid argument", "bad request")
-RETRYABLE_ERRORS = ("429", "quota", "rate limit", "503", "service unavailable", "deadline exceeded", "timeout")
+#: Characters of a snippet, of a passage for reranking and of a clip's summary there, of a judge's output in an error.
+SNIPPET, PASSAGE, CLIP_PASSAGE, RAW = 100, 400, 300, 200
+#: What ``token_count`` counts: words and single punctuation marks.
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]"
+_LARGEST = (1 << 63) - 1
 
 
 def clean(text: Column) -> Column:
@@ -47,7 +51,7 @@ def tokens(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Offline counter: words and single punctuation marks."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
 
 
 def embed_input(title: Column, heading: Column, text: Column) -> Column:
@@ -59,9 +63,20 @@ def mime(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 4)) == "89504E47", "image/png").otherwise("image/jpeg")
 
 
+def _numbers(marks: Column) -> Column:
+    """Different numbers of an array of digits, ascending; those beyond 64 bits count as the largest, so they are invented ones."""
+    return F.array_sort(F.array_distinct(F.transform(marks, lambda x: F.coalesce(x.try_cast("long"), F.lit(_LARGEST)))))
+
+
 def citations(answer: Column) -> Column:
     """Different numbers of [n] marks, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
+    return _numbers(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)))
+
+
+def grouped_citations(answer: Column) -> Column:
+    """Different numbers of [n] and [n, m] marks, ascending."""
+    groups = F.regexp_extract_all(answer, F.lit(r"\[(\d+(?:,\s*\d+)*)\]"), F.lit(1))
+    return _numbers(F.flatten(F.transform(groups, lambda g: F.split(g, r",\s*"))))
 
 
 def invented(cited: Column, n: Column) -> Column:
@@ -79,6 +94,94 @@ def error_class(message: Column) -> Column:
     return F.when(low.rlike("|".join(CONFIG_ERRORS)), "config").otherwise("retryable")
 
 
+def http_status(stage: Column, error: Column) -> Column:
+    """Status of a failed request by stage (upload, embedding, store, retrieval, generation) and error kind; 200 without error."""
+    given = {("generation", "config"): 500, ("generation", "retryable"): 503, ("generation", "other"): 502, ("upload", "format"): 400, ("upload", "size"): 413, ("upload", "content"): 422}
+    status = F.lit(None).cast("int")
+    for (s, e), code in given.items():
+        status = F.when((stage == s) & (error == e), code).otherwise(status)
+    by_stage = F.when(stage == "empty", 400).when(stage.isin("embedding", "store", "upload", "generation"), 503).otherwise(502)
+    return F.when(error.isNull(), 200).otherwise(F.coalesce(status, by_stage))
+
+
+def snippet(text: Column) -> Column:
+    return F.substring(F.coalesce(text, F.lit("")), 1, SNIPPET)
+
+
+def header(n: Column, source: Column, page: Column, text: Column, modality: Column, uri: Column) -> Column:
+    """A chunk as it stands in the context: number, where it comes from in the wording of its modality, text."""
+    start = F.concat(F.lit("["), n.cast("string"), F.lit("] Source: "), F.coalesce(source, F.lit("unknown")))
+    body = F.coalesce(text, F.lit(""))
+    page = F.coalesce(page, F.lit(0)).cast("string")
+    return (
+        F.when(is_image(modality), F.concat(start, F.lit(" (image)\nCaption: "), body))
+        .when((modality == "video_clip") & has_uri(uri), F.concat(start, F.lit(" (video clip)\n"), body))
+        .otherwise(F.concat(start, F.lit(", Page: "), page, F.lit("\n"), body))
+    )
+
+
+def is_image(modality: Column) -> Column:
+    return F.coalesce(modality.isin("image_global", "image_local"), F.lit(False))
+
+
+def has_uri(uri: Column) -> Column:
+    return F.coalesce(uri, F.lit("")) != ""
+
+
+def passage(text: Column, modality: Column, uri: Column, fetched: Column) -> Column:
+    """A candidate's text for the reranker; empty where its picture is sent alone, a clip's summary beside its frame."""
+    media = has_uri(uri) & F.coalesce(fetched, F.lit(False))
+    body = F.coalesce(text, F.lit(""))
+    clip = F.concat(F.lit("[Video segment] Summary: "), F.substring(body, 1, CLIP_PASSAGE), F.lit("\nFrame: "))
+    return F.when(is_image(modality) & media, "").when((modality == "video_clip") & media, clip).otherwise(F.substring(body, 1, PASSAGE))
+
+
+def degraded(modality: Column, uri: Column, fetched: Column) -> Column:
+    """Whether a chunk's picture or frame should be there and could not be fetched."""
+    return (is_image(modality) | F.coalesce(modality == "video_clip", F.lit(False))) & has_uri(uri) & ~F.coalesce(fetched, F.lit(False))
+
+
+# ---------------------------------------------------------------- outputs of models
+
+
+def fenced_block(raw: Column) -> Column:
+    """What stands in the first code fence of an output that begins with one, without its json mark; else all."""
+    raw = stripped(raw)
+    return F.when(raw.startswith("```"), F.regexp_replace(F.get(F.split(raw, "```", -1), F.lit(1)), "^json", "")).otherwise(raw)
+
+
+def without_fence_lines(raw: Column) -> Column:
+    """An output without its first line if that opens a fence and without its last if that closes one."""
+    raw = stripped(raw)
+    return F.when(raw.startswith("```"), stripped(F.regexp_replace(F.regexp_replace(raw, r"^[^\n]*(\n|$)", ""), r"(^|\n)[ \t]*```[ \t]*$", ""))).otherwise(raw)
+
+
+def without_fences(raw: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(stripped(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+
+
+def rerank_scores(raw: Column) -> Column:
+    """Array of (id, score) of a reranker's output; null if it can't be read as a whole."""
+    items = F.from_json(fenced_block(raw), "array<struct<id:string,score:string>>")
+    read = F.transform(items, lambda x: F.struct(x["id"].try_cast("int").alias("id"), x["score"].try_cast("double").alias("score")))
+    return F.when(~F.exists(read, lambda x: x["id"].isNull() | x["score"].isNull()), read)
+
+
+def judged(raw: Column, field: str, most: float) -> Column:
+    """Struct (score, reasoning) of a judge's output: the score within 0 to most, or 0 and the output's start if it can't be read."""
+    clean = without_fence_lines(raw)
+    data = F.from_json(clean, f"struct<{field}:string,reasoning:string>")
+    score = data[field].try_cast("double")
+    good = score.isNotNull() & data["reasoning"].isNotNull()
+    failed = F.concat(F.lit("parse_error: "), F.substring(F.coalesce(clean, F.lit("")), 1, RAW))
+    return F.struct(F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), score))).otherwise(0.0).alias("score"), F.when(good, data["reasoning"]).otherwise(failed).alias("reasoning"))
+
+
+def caption(text: Column) -> Column:
+    """A model's caption without its labels."""
+    return stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)(transcription|description)\s*:\s*", ""))
+
+
 # ---------------------------------------------------------------- stems (Porter, 1980)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKERS, has_marker
+from ..functions.text import TOKEN, has_marker, token_count
+from .retrieval import number
 
 MOST, OVERLAP = 800, 100
 SCENE, BACK = 120.0, 5.0
@@ -40,55 +45,66 @@ def scene_segments(start: Column, stop: Column, most: float = SCENE, back: float
     return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((start + i * step).alias("start"), F.least(start + i * step + most, stop).alias("stop"), (length > most).alias("forced")))
 
 
-def fold_chunks(paragraphs: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, chunk_index, page, heading, text) from paragraphs (doc_id, para_no, page, heading, text, n_tokens).
+_TOKEN = regex.compile(TOKEN)
+
 
-    The greedy fold of a document: a new heading or an overflow flushes the buffer and
-    keeps the overlap (relabelled by a new heading); a paragraph above ``most`` flushes
-    and is cut into word windows of its own. Marker chunks go but use up an index.
+def chunk_bounds(sizes: list[int], headings: list[str], most: int = MOST, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
+    """Chunks of a document as ranges of its paragraphs with the heading of their first.
+
+    A chunk is always a range, since what is carried over is the end of the one before:
+    the longest suffix of at most ``overlap`` tokens, found in the running sums. At a new
+    heading all that is carried takes that heading. A paragraph above ``most`` is a range
+    of its own, before and after which nothing is carried.
     """
+    total, label = [0, *accumulate(sizes)], list(headings)
+    out: list[tuple[int, int, str]] = []
+    first = 0  # the open chunk is first to here
+
+    def close(here: int) -> int:
+        out.append((first, here, label[first]))
+        return max(first, bisect_left(total, total[here] - overlap, 0, here + 1))
+
+    for here, size in enumerate(sizes):
+        if here and headings[here] != headings[here - 1] and first < here:
+            first = close(here)
+            label[first:here] = [headings[here]] * (here - first)
+        if size > most:
+            if first < here:
+                close(here)
+            out.append((here, here + 1, headings[here]))
+            first = here + 1
+        elif first < here and total[here + 1] - total[first] > most:
+            first = close(here)
+    if first < len(sizes):
+        close(len(sizes))
+    return out
+
+
+def window_texts(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
+    """A long text in windows of ``most`` tokens; what stands between tokens stays as it is."""
+    at = [m.span() for m in _TOKEN.finditer(text)]
+    starts = range(0, max(1, len(at) - overlap), most - overlap)
+    return [text[at[s][0] : at[min(s + most, len(at)) - 1][1]] for s in starts]
 
-    def tail(buffer: list) -> list:
-        kept, total = [], 0
-        for p in reversed(buffer):
-            if total + p[3] > overlap:
-                break
-            kept.insert(0, p)
-            total += p[3]
-        return kept
+
+def fold_chunks(paragraphs: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, chunk_index, page, heading, text) from paragraphs (doc_id, para_no, page, heading, text).
+
+    Documents fold one by one. Chunks that hold a marker go but use up an index.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, buffer, before = [], [], None
-        emit = lambda page, heading, text: out.append((page, heading, text))
-        flush = lambda: emit(buffer[0][0], buffer[0][1], "\n\n".join(p[2] for p in buffer)) if buffer else None
-        for page, heading, text, n in pdf.sort_values("para_no")[["page", "heading", "text", "n_tokens"]].itertuples(index=False):
-            if before is not None and heading != before and buffer:
-                flush()
-                buffer = [(p[0], heading, *p[2:]) for p in tail(buffer)]
-            before = heading
-            if n > most:
-                flush()
-                buffer = []
-                words = text.split()
-                s = 0
-                while s < len(words):
-                    emit(page, heading, " ".join(words[s : s + most]))
-                    if s + most >= len(words):
-                        break
-                    s += most - overlap
-                continue
-            if buffer and sum(p[3] for p in buffer) + n > most:
-                flush()
-                buffer = tail(buffer)
-            buffer.append((page, heading, text, n))
-        flush()
-        frame = pd.DataFrame(out, columns=["page", "heading", "text"])
-        frame.insert(0, "chunk_index", range(len(frame)))
-        frame.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return frame
-
-    chunks = paragraphs.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, page int, heading string, text string")
-    return chunks.where(~has_marker(F.col("text"))) if MARKERS else chunks
+        pdf = pdf.sort_values("para_no")
+        texts, sizes, pages = pdf["text"].tolist(), pdf["n_tokens"].tolist(), pdf["page"].tolist()
+        out = []
+        for a, b, heading in chunk_bounds(sizes, pdf["heading"].tolist(), most, overlap):
+            parts = window_texts(texts[a], most, overlap) if sizes[a] > most else ["\n\n".join(texts[a:b])]
+            out += [(pdf["doc_id"].iloc[0], len(out) + k, pages[a], heading, t) for k, t in enumerate(parts)]
+        return pd.DataFrame(out, columns=["doc_id", "chunk_index", "page", "heading", "text"])
+
+    counted = paragraphs.select("doc_id", "para_no", "page", "heading", "text", token_count(F.col("text")).alias("n_tokens"))
+    chunks = counted.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, page int, heading string, text string")
+    return chunks.where(~has_marker(F.col("text")))
 
 
 def clamp_box(box: list[Column], width: Column, height: Column, least: int = 10) -> Column:
@@ -124,6 +140,9 @@ def first_regions(regions: DataFrame) -> DataFrame:
 
 def batches(chunks: DataFrame) -> DataFrame:
     """Chunks (doc_id, type) with batch and place by the type's batch size; unknown types are left out."""
-    size = F.create_map(*[x for t, n in BATCHES.items() for x in (F.lit(t), F.lit(n))])[F.col("type")]
-    at = F.row_number().over(W.partitionBy("type").orderBy("doc_id")) - 1
-    return chunks.withColumn("_s", size).where("_s IS NOT NULL").withColumn("_i", at).select("doc_id", "type", F.floor(F.col("_i") / F.col("_s")).alias("batch"), (F.col("_i") % F.col("_s")).alias("place"))
+    out = None
+    for kind, size in BATCHES.items():
+        own = number(chunks.where(F.col("type") == kind).select("doc_id", "type"), "doc_id")
+        own = own.select("doc_id", "type", F.floor(F.col("n") / size).cast("long").alias("batch"), (F.col("n") % size).cast("long").alias("place"))
+        out = own if out is None else out.unionByName(own)
+    return out

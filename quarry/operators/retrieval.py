@@ -2,71 +2,241 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import SCOPES, stemmed, tokens
+from ..functions.text import SCOPES, stem, tokens
+from ..sources.scratch import materialise
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
-BROADCAST_ROWS = 100_000
+#: A question's terms are broadcast up to so many rows (some 16 MB), and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
+#: Bytes of the query vectors that are sent to the executors at once.
+BLOCK_BYTES = 32 << 20
+
+
+# ---------------------------------------------------------------- keyword search
+
+
+class Index(NamedTuple):
+    """Term tables of a corpus: postings (doc_id, dl, term, tf), terms (term, df, idf), one row of stats (n, avgdl) and all doc_ids."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    docs: DataFrame
+
 
+@pandas_udf(ArrayType(StringType()))
+def _stems(words):
+    known: dict[str, str] = {}
+    return words.map(lambda ws: [known.setdefault(w, known.get(w) or stem(w)) for w in ws])
 
-def terms(docs: DataFrame, id_column: str, stems: bool = False) -> DataFrame:
-    """(id, term), one row for each token."""
-    out = docs.select(F.col(id_column), F.explode(tokens(F.col("text"))).alias("term"))
-    return out.withColumn("term", stemmed("term")) if stems else out
 
+def searchable(chunks: DataFrame) -> DataFrame:
+    """Chunks (modality, ...) that keyword search covers: all but clips, whose text their summaries repeat."""
+    return chunks.where(F.coalesce(F.col("modality") != "video_clip", F.lit(True)))
 
-def postings(docs: DataFrame, stems: bool = False) -> DataFrame:
-    return terms(docs, "doc_id", stems).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
+def _tokens(docs: DataFrame, id_column: str, stems: bool) -> DataFrame:
+    words = tokens(F.col("text"))
+    return docs.select(F.col(id_column), (_stems(words) if stems else words).alias("_t"))
 
-def term_stats(docs: DataFrame, posting: DataFrame) -> DataFrame:
-    """(term, df, idf): negative idf is raised to FLOOR times the mean idf."""
-    df = posting.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+def term_counts(docs: DataFrame, id_column: str = "doc_id", stems: bool = False) -> DataFrame:
+    """(id, dl, term, tf) with dl tokens in the row."""
+    t = _tokens(docs, id_column, stems).select(id_column, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    return t.groupBy(id_column, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores is dealt out; larger ones are read as they lie."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def index(docs: DataFrame, stems: bool = False) -> Index:
+    """Of documents (doc_id, text). The counts of documents a term are written at once, the rest is lazy; ``sources.stores`` keeps all of it."""
+    docs = _spread(docs)
+    postings = term_counts(docs, stems=stems)
+    different = _tokens(docs, "doc_id", stems).select(F.explode(F.array_distinct("_t")).alias("term"))
+    words = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(words).alias("avgdl"))
+    df = materialise(different.groupBy("term").agg(F.count("*").alias("df")))
+    raw = df.join(F.broadcast(stats.select("n"))).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return Index(postings, terms, stats, docs.select("doc_id"))
+
 
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-def bm25(docs: DataFrame, questions: DataFrame, top: int = 20, stems: bool = False) -> DataFrame:
+
+def bm25(own: Index, questions: DataFrame, top: int = 20, stems: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank): every question's best documents; those without a common term score 0 and still rank.
 
-    Only postings of the questions' terms are scored. Zero-score documents are needed
-    for a question only if fewer than ``top`` match: its list is then filled from the
-    ``top`` + matches smallest ids, never from all pairs.
+    Tokens meet the questions' terms where they are read, so only those that score are ever shuffled.
     """
-    posting = postings(docs, stems)
-    length = posting.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    size = docs.select("doc_id").join(length, "doc_id", "left").agg(F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
-    asked = terms(questions, "qid", stems).groupBy("qid", "term").agg(F.count("*").alias("qn"))
-    weighted = posting.join(length, "doc_id").join(F.broadcast(size)).join(term_stats(docs, posting), "term")
+    asked = term_counts(questions, "qid", stems).select("qid", "term", F.col("tf").alias("qn"))
+    asked = _few(asked, BROADCAST_ROWS)
+    weight = _few(own.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf"), BROADCAST_ROWS)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = weighted.withColumn("part", part).join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qn") * F.col("part")), 9).alias("score"))
-    # Fillers: the first ids, of which a question's own matches are taken out.
+    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that it isn't made smaller: the join multiplies rows
+    # The semi-join is pushed below the counting; all of a document then meets in one partition, so its hits are summed without a further shuffle.
+    met = own.postings.join(weight.select("term"), "term", "left_semi").repartition(parts, "doc_id").join(weight, "term")
+    weighed = met.join(F.broadcast(own.stats.select("avgdl"))).select("doc_id", "term", part.alias("part"))
+    hits = weighed.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qn") * F.col("part")), 9).alias("score"))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    first = docs.select("doc_id").orderBy("doc_id").limit(2 * top)
-    fill = questions.select("qid").join(F.broadcast(first)).join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    fill = fill.select("qid", "doc_id", F.lit(0.0).alias("score"))
-    both = best.drop("rank").unionByName(fill)
+    best = materialise(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
+    short = questions.select("qid").distinct().join(best.where("score > 0").groupBy("qid").count(), "qid", "left").where(F.coalesce("count", F.lit(0)) < top).select("qid")
+    if short.isEmpty():
+        return best
+    both = best.drop("rank").unionByName(_unmatched(own.docs, hits, materialise(short), top))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def _unmatched(docs: DataFrame, hits: DataFrame, questions: DataFrame, top: int) -> DataFrame:
+    """(qid, doc_id, 0.0): the first ``top`` documents that each question doesn't match.
+
+    Documents are numbered by id. A matched document with number r is the k-th of its
+    question, so r - k unmatched ones precede it; unmatched document j has the number j plus
+    the matched ones with r - k <= j. No pair of question and document is tried.
+    """
+    numbered = number(docs.distinct(), "doc_id")
+    matched = hits.join(questions, "qid", "left_semi").join(numbered, "doc_id").select("qid", "n")
+    gap = F.col("n") - F.row_number().over(W.partitionBy("qid").orderBy("n")) + 1
+    near = matched.withColumn("gap", gap).where(F.col("gap") < top)
+    counts = near.groupBy("qid").agg(*[F.count(F.when(F.col("gap") <= j, 1)).alias(f"c{j}") for j in range(top)])
+    slots = F.array(*[(F.coalesce(f"c{j}", F.lit(0)) + j).cast("long") for j in range(top)])
+    free = questions.join(counts, "qid", "left").select("qid", F.explode(slots).alias("n"))
+    return free.join(numbered, "n").select("qid", "doc_id", F.lit(0.0).alias("score"))
+
+
+def number(rows: DataFrame, column: str, ranges: int = 4096) -> DataFrame:
+    """rows with n, counting from 0 in the order of a column of different integers.
+
+    The column's span is cut into ranges, which are counted and numbered one by one; no window holds all rows.
+    """
+    ends = rows.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    cell = F.floor((F.col(column) - F.col("_lo")) / F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(ranges))))
+    placed = rows.join(F.broadcast(ends)).withColumn("_cell", cell).drop("_lo", "_hi")
+    counts = placed.groupBy("_cell").agg(F.count("*").alias("_in"))
+    counts = counts.withColumn("_before", F.sum("_in").over(W.partitionBy(F.lit(1)).orderBy("_cell")) - F.col("_in"))  # one row a range
+    inside = F.row_number().over(W.partitionBy("_cell").orderBy(column)) - 1
+    return placed.withColumn("_k", inside).join(F.broadcast(counts), "_cell").withColumn("n", F.col("_before") + F.col("_k")).drop("_cell", "_k", "_in", "_before")
+
+
+def bm25_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked documents in the shape of a keyword hit: (qid, doc_id, rank, text, score, metadata)."""
+    met = ranked.join(chunks, "doc_id")
+    return met.select("qid", "doc_id", "rank", "text", "score", F.struct("source", "chunk_index", "page", "modality", "gcs_uri").alias("metadata"))
+
+
+def normalised_keyword(hits: DataFrame) -> DataFrame:
+    """Keyword hits (text, score, metadata, ...) flat, with defaults."""
+    m = lambda c, default: F.coalesce(F.col(f"metadata.{c}"), F.lit(default)).alias(c)
+    rest = [c for c in hits.columns if c not in ("text", "score", "metadata")]
+    return hits.select(*rest, F.coalesce("text", F.lit("")).alias("text"), m("source", ""), m("page", 0), m("chunk_index", 0), m("modality", "text"), F.coalesce("score", F.lit(0.0)).alias("orig_score"), m("gcs_uri", ""))
+
+
+def normalised_vector(hits: DataFrame) -> DataFrame:
+    """Vector hits (text, source, page, chunk_index, type, modality, gcs_uri, score, ...) with defaults; an empty modality is the type."""
+    d = lambda c, default: F.coalesce(c, F.lit(default)).alias(c)
+    rest = [c for c in hits.columns if c not in ("text", "source", "page", "chunk_index", "type", "modality", "gcs_uri", "score")]
+    kind = F.coalesce(F.nullif(F.col("modality"), F.lit("")), F.col("type"), F.lit("")).alias("modality")
+    return hits.select(*rest, d("text", ""), d("source", ""), d("page", 0), d("chunk_index", 0), kind, F.coalesce("score", F.lit(0.0)).alias("orig_score"), d("gcs_uri", ""))
+
+
+# ---------------------------------------------------------------- vector search
+
+
 def cosine(a: Column, b: Column) -> Column:
+    """Of two arrays; 0 if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    width = max((len(r) for r in rows if r is not None), default=0)
+    return np.array([r if r is not None and len(r) == width else [0.0] * width for r in rows], np.float64).reshape(len(rows), width)
+
+
+def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, top: int) -> DataFrame:
+    """(qid, vec_id, score): the best of each partition's rows for one block of queries."""
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, _unit(queries)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, unit = sent.value
+        held_id = np.zeros((len(qids), 0), np.int64)
+        held = np.zeros((len(qids), 0))
+        for batch in batches:
+            own = _matrix(batch.column("embedding"))
+            if not len(own):
+                continue
+            score = unit @ _unit(own).T if own.shape[1] == unit.shape[1] else np.zeros((len(qids), len(own)))
+            held_id = np.concatenate([held_id, np.broadcast_to(batch.column("vec_id").to_numpy(), score.shape)], axis=1)
+            held = np.concatenate([held, np.round(score, 6)], axis=1)
+            order = np.lexsort((held_id, -held), axis=1)[:, :top]
+            held, held_id = np.take_along_axis(held, order, 1), np.take_along_axis(held_id, order, 1)
+        cols = [pa.array(np.repeat(qids, held.shape[1])), pa.array(held_id.ravel()), pa.array(held.ravel())]
+        yield pa.RecordBatch.from_arrays(cols, ["qid", "vec_id", "score"])
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.mapInArrow(best, "qid long, vec_id long, score double")
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
-    """(qid, vec_id, score, rank) by exact cosine. The stated queries are held against all vectors in blocks; ties by id."""
-    met = vectors.select("vec_id", "embedding").join(F.broadcast(queries.select("qid", F.col("embedding").alias("q")))) if queries.count() <= BROADCAST_ROWS else vectors.join(queries.select("qid", F.col("embedding").alias("q")))
-    scored = met.select("qid", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    """(qid, vec_id, score, rank) by exact cosine; ties by id. A vector without length, or of another width, scores 0.
+
+    The stated queries are held against all vectors in blocks of BLOCK_BYTES: each block is
+    a matrix that executors multiply with their rows, of which the best go on.
+    """
+    stream = queries.select(F.col("qid").cast("long").alias("qid"), "embedding").where("embedding IS NOT NULL").toLocalIterator()
+    out, first = None, next(stream, None)
+    while first is not None:
+        rows = [first, *islice(stream, max(0, BLOCK_BYTES // (8 * max(1, len(first["embedding"]))) - 1))]
+        first = next(stream, None)
+        block = _nearest(vectors, np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64), top)
+        out = block if out is None else out.unionByName(block)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "qid long, vec_id long, score double, rank int")
     order = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def with_expansion(questions: DataFrame, expansions: DataFrame) -> DataFrame:
+    """Questions (qid, embedding) with the expansion's (qid, embedding) where there is one: a failed expansion leaves the question itself."""
+    e = expansions.select("qid", F.col("embedding").alias("_e"))
+    return questions.join(e, "qid", "left").withColumn("embedding", F.coalesce("_e", "embedding")).drop("_e")
+
+
+def rank_changes(raw: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(qid, vec_id, change, raw_rank, hyde_rank) of two ranked lists (qid, vec_id, rank): new, dropped, up, down or same."""
+    a, b = raw.select("qid", "vec_id", F.col("rank").alias("raw_rank")), expanded.select("qid", "vec_id", F.col("rank").alias("hyde_rank"))
+    change = F.when(F.col("raw_rank").isNull(), "new").when(F.col("hyde_rank").isNull(), "dropped")
+    change = change.when(F.col("hyde_rank") < F.col("raw_rank"), "up").when(F.col("hyde_rank") > F.col("raw_rank"), "down").otherwise("same")
+    return a.join(b, ["qid", "vec_id"], "full_outer").withColumn("change", change)
+
+
+# ---------------------------------------------------------------- fusion, routing, reranking
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, top: int = 20, k: int = RRF_K) -> DataFrame:
@@ -97,17 +267,21 @@ def route(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_keep", keep).withColumn("_any", F.max("_keep").over(W.partitionBy("qid"))).where("_keep OR NOT _any").drop("_keep", "_any")
 
 
+def with_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """Candidates (qid, pos, ...) with model_score of scores (qid, pos, given, model_score): 0 if missing, of repeated ones the last given."""
+    last = scores.groupBy("qid", "pos").agg(F.max_by("model_score", "given").alias("model_score"))
+    return candidates.join(last, ["qid", "pos"], "left").withColumn("model_score", F.coalesce("model_score", F.lit(0.0)))
+
+
 def rerank(candidates: DataFrame, scores: DataFrame, top: int = 5, threshold: float = 0.25, fallback: int = 3) -> DataFrame:
     """Candidates (qid, pos, score, ...) with scores (qid, pos, given, model_score): top by model score, those under the threshold dropped, three kept if all are.
 
-    Missing scores are 0, of repeated ones the last given counts; a single candidate
-    keeps its fused score; without any scores the fused order stays, unthresholded.
+    A single candidate keeps its fused score; without any scores the fused order stays, unthresholded.
     """
-    last = scores.groupBy("qid", "pos").agg(F.max_by("model_score", "given").alias("model_score"))
     answered = scores.select("qid").distinct().withColumn("answered", F.lit(True))
-    c = candidates.withColumn("n", F.count("*").over(W.partitionBy("qid"))).join(last, ["qid", "pos"], "left").join(answered, "qid", "left")
+    c = with_scores(candidates.withColumn("n", F.count("*").over(W.partitionBy("qid"))), scores).join(answered, "qid", "left")
     used = F.coalesce("answered", F.lit(False)) & (F.col("n") > 1)
-    c = c.withColumn("used", used).withColumn("rerank_score", F.when(used, F.coalesce("model_score", F.lit(0.0))).otherwise(F.col("score")))
+    c = c.withColumn("used", used).withColumn("rerank_score", F.when(used, F.col("model_score")).otherwise(F.col("score")))
     order = W.partitionBy("qid").orderBy(F.when(F.col("used"), -F.col("rerank_score")), "pos")
     c = c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     good = F.sum((F.col("rerank_score") >= threshold).cast("int")).over(W.partitionBy("qid"))

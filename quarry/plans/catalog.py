@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import measures as M
-from ..operators import retrieval as R
 from ..sources import files as S
+from . import answers, media, search  # noqa: F401  these register their queries
+from .registry import QUERIES, SQL, query
+from .search import TOKENS
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 # ---------------------------------------------------------------- text
 
-TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
-
-
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
 def tokenize_counts(t):
     tokens = X.tokens(F.col("text"))
@@ -63,12 +46,6 @@ def mime_sniff(t):
     return t("pages").select("page_id", X.mime(content).alias("mime"))
 
 
-@query("SELECT doc_id, para_no, text, heading FROM (SELECT *, coalesce(last_value(CASE WHEN is_title THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_no), '') AS heading FROM (SELECT doc_id, CAST(i AS INTEGER) AS para_no, p AS text, i % 4 = 0 AS is_title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))) WHERE NOT is_title")
-def paragraph_headings(t):
-    p = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "text")).withColumn("is_title", F.col("para_no") % 4 == 0)
-    return C.headings(p).select("doc_id", "para_no", "text", "heading")
-
-
 @query("SELECT doc_id, para_no, n_tokens, CAST(tail AS BIGINT) AS tail_tokens FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY doc_id ORDER BY para_no DESC ROWS UNBOUNDED PRECEDING) AS tail FROM (SELECT doc_id, CAST(i AS INTEGER) AS para_no, CAST(len(regexp_extract_all(p, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS BIGINT) AS n_tokens FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))) WHERE tail <= 100")
 def overlap_tail(t):
     p = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "text"))
@@ -82,14 +59,6 @@ def hallucinated_citations(t):
     return t("conversations").select("conv_id", "turn", cited.alias("c")).select("conv_id", "turn", joined(F.col("c")).alias("cited"), joined(X.invented(F.col("c"), F.lit(3))).alias("invented"))
 
 
-@query("SELECT source, string_agg('[' || n || '] Source: ' || source || ', Page: ' || (doc_id % 10) || chr(10) || substr(text, 1, 100), chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source")
-def context_assembly(t):
-    d = t("documents").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("n <= 5")
-    line = F.concat(F.lit("["), F.col("n"), F.lit("] Source: "), "source", F.lit(", Page: "), (F.col("doc_id") % 10), F.lit("\n"), F.substring("text", 1, 100))
-    ordered = F.array_sort(F.collect_list(F.struct("n", line.alias("line"))))
-    return d.groupBy("source").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("context"))
-
-
 @query("SELECT event_id, CASE WHEN regexp_matches(lower(event_type || ' ' || event_id), '401|403|api key|permission denied|400|invalid argument|bad request') THEN 'config' ELSE 'retryable' END AS error_class FROM events")
 def error_classes(t):
     return t("events").select("event_id", X.error_class(F.concat("event_type", F.lit(" "), F.col("event_id").cast("string"))).alias("error_class"))
@@ -109,7 +78,7 @@ def file_dispatch(t):
 @query("SELECT doc_id, sha256(sha256(text) || ':' || (doc_id % 10)) AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'gs://media/media/' || sha256(text) || '/img_' || (doc_id % 10) || '.png' ELSE '' END AS uri FROM documents")
 def chunk_ids(t):
     h, k = F.sha2("text", 256), (F.col("doc_id") % 10).cast("string")
-    return t("documents").select("doc_id", C.chunk_id(h, k).alias("chunk_id"), S.media_uri("media", h, F.when(F.col("doc_id") % 3 == 0, "image_local").otherwise("pdf"), k).alias("uri"))
+    return t("documents").select("doc_id", C.chunk_id(h, k).alias("chunk_id"), S.media_uri("media", h, F.when(F.col("doc_id") % 3 == 0, "image_local").otherwise("pdf"), k, F.lit("image/png")).alias("uri"))
 
 
 @query("SELECT doc_id, sha256(text) AS chunk_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -162,117 +131,6 @@ def embed_batches(t):
     return C.batches(t("documents").select("doc_id", kind.alias("type"))).select("doc_id", "type", F.col("batch").cast("long"), F.col("place").cast("long"))
 
 
-@query()
-def chunk_fold(t):
-    p = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "text")).where("text <> ''")
-    return C.fold_chunks(p.select("doc_id", "para_no", F.lit(1).alias("page"), F.lit("").alias("heading"), "text", X.token_count(F.col("text")).alias("n_tokens")))
-
-
-# ---------------------------------------------------------------- retrieval
-
-BM25 = f"""
-p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),
-l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id),
-z AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM documents LEFT JOIN l USING (doc_id)),
-w AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM p GROUP BY term), z),
-i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM w) ELSE raw END AS idf FROM w),
-q AS (SELECT qid, term, count(*) AS qn FROM (SELECT item_id AS qid, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
-h AS (SELECT qid, doc_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN p USING (term) JOIN i USING (term) JOIN l USING (doc_id), z GROUP BY qid, doc_id),
-a AS (SELECT b.item_id AS qid, d.doc_id, coalesce(score, 0.0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN h ON h.qid = b.item_id AND h.doc_id = d.doc_id),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM a) WHERE rank <= 20)
-"""
-
-
-def _questions(t):
-    return t("benchmark").select(F.col("item_id").alias("qid"), "text")
-
-
-@query(f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM i")
-def bm25_terms(t):
-    d = t("documents")
-    return R.term_stats(d, R.postings(d)).select("term", "df", F.round("idf", 9).alias("idf"))
-
-
-@query(f"WITH {BM25} SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k")
-def bm25_top20(t):
-    return R.bm25(t("documents"), _questions(t)).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-VECTORS = """
-v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-c AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0),
-n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 20)
-"""
-
-
-@query(f"WITH {VECTORS} SELECT qid, vec_id, score, CAST(rank AS INTEGER) AS rank FROM n")
-def vector_top20_batch(t):
-    e = t("embeddings")
-    return R.vector_search(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"))
-
-
-PAIRED = "(row_number() OVER (ORDER BY vec_id) - 1)"
-LISTS = "SELECT k.qid, d.text, d.source, CAST(d.doc_id % 10 AS INTEGER) AS page, 'pdf' AS modality, k.rank FROM {} JOIN documents d ON d.doc_id = {}"
-
-
-@query(f"""WITH {BM25}, {VECTORS},
-u AS (SELECT vec_id AS qv, item_id AS qid FROM benchmark JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 50 = 0) ON item_id = i),
-x AS ({LISTS.format('k', 'k.doc_id')}), y AS ({LISTS.format('(SELECT u.qid, n.vec_id, n.rank FROM n JOIN u ON n.qid = u.qv) k', 'k.vec_id')}),
-f AS (SELECT *, 0 AS list FROM x UNION ALL SELECT *, 1 FROM y),
-g AS (SELECT qid, text, round(sum(1 / (60.0::DOUBLE + rank)), 12) AS score, min(list * 1000 + rank) AS first, max(CASE WHEN list = 0 THEN rank END) AS bm25_rank, max(CASE WHEN list = 1 THEN rank END) AS vector_rank FROM f GROUP BY qid, text),
-o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS pos FROM g)
-SELECT o.qid, o.text, f.source, f.page, round(o.score, 9) AS score, CAST(coalesce(bm25_rank, 0) AS INTEGER) AS bm25_rank, CAST(coalesce(vector_rank, 0) AS INTEGER) AS vector_rank, CAST(pos AS INTEGER) AS pos FROM o JOIN f ON f.qid = o.qid AND f.text = o.text AND f.list * 1000 + f.rank = o.first WHERE pos <= 20""")
-def hybrid_search(t):
-    """Flagship: keyword and vector lists of each question, fused. Questions pair with every fiftieth vector, in order."""
-    d, e = t("documents"), t("embeddings")
-    asked = e.where("vec_id % 50 = 0").select("vec_id", "embedding").withColumn("qid", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("vec_id")) - 1).cast("long"))
-    asked = asked.join(_questions(t).select("qid"), "qid", "left_semi")
-    shown = lambda hits, key: hits.join(d.withColumnRenamed("doc_id", key), key).select("qid", "text", "source", (F.col(key) % 10).cast("int").alias("page"), F.lit("pdf").alias("modality"), "rank")
-    fused = R.fuse(shown(R.bm25(d, _questions(t)), "doc_id"), shown(R.vector_search(e, asked.select("qid", "embedding")), "vec_id"))
-    return fused.select("qid", "text", "source", "page", F.round("score", 9).alias("score"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "vector_rank")], "pos")  # 0: not in that list
-
-
-ASKED = "SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'In the video ' WHEN 1 THEN 'The Diagram of ' WHEN 2 THEN 'compare the video to the paper ' ELSE '' END || text AS question FROM benchmark"
-
-
-def _asked(t):
-    start = F.element_at(F.array(*map(F.lit, ("In the video ", "The Diagram of ", "compare the video to the paper ", ""))), (F.col("item_id") % 4 + 1).cast("int"))
-    return t("benchmark").select(F.col("item_id").alias("qid"), F.concat(start, "text").alias("question"))
-
-
-@query(f"""WITH q AS ({ASKED}), s AS (SELECT *, regexp_matches(question, '(?i)\\b(video|presenter)\\b') AS v, regexp_matches(question, '(?i)\\b(diagram|figure|image|what (does|is) (shown|labeled|depicted) in)\\b') AS i, regexp_matches(question, '(?i)\\b(paper|document|report)\\b') AS x FROM q),
-c AS (SELECT s.*, d.doc_id, CASE d.doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image_global' WHEN 2 THEN 'image_local' WHEN 3 THEN 'video_clip' ELSE 'video_summary' END AS modality FROM s JOIN documents d ON d.doc_id % 40 = s.qid % 40 AND (d.doc_id % 5 < 1 OR s.qid % 8 < 4)),
-k AS (SELECT *, CASE WHEN v::INT + i::INT + x::INT >= 2 THEN true WHEN v THEN modality LIKE 'video%' WHEN i THEN modality LIKE 'image%' ELSE true END AS keep FROM c)
-SELECT qid, doc_id, modality FROM (SELECT *, bool_or(keep) OVER (PARTITION BY qid) AS any_keep FROM k) WHERE keep OR NOT any_keep""")
-def modality_routing(t):
-    m = F.element_at(F.array(*map(F.lit, ("pdf", "image_global", "image_local", "video_clip", "video_summary"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    d = t("documents").select("doc_id", m.alias("modality"), (F.col("doc_id") % 40).alias("k"))
-    q = _asked(t).withColumn("k", F.col("qid") % 40)
-    return R.route(q.join(d, "k").where("doc_id % 5 < 1 OR qid % 8 < 4")).select("qid", "doc_id", "modality")
-
-
-@query("""WITH c AS (SELECT doc_id % 50 AS qid, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS pos, doc_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id)) AS score FROM documents WHERE doc_id % 50 <> 0),
-m AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 0.0 ELSE (doc_id * 37 % (100 - qid)) / 100.0::DOUBLE * CASE WHEN qid % 3 = 0 THEN 0.2 ELSE 1 END END AS rerank_score FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, pos) AS rank FROM m)
-SELECT qid, doc_id, round(rerank_score, 6) AS rerank_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, count(*) FILTER (rerank_score >= 0.25) OVER (PARTITION BY qid) AS good FROM r WHERE rank <= 5) WHERE rerank_score >= 0.25 OR (good = 0 AND rank <= 3)""")
-def rerank_threshold(t):
-    d = t("documents").where("doc_id % 50 <> 0").withColumn("qid", F.col("doc_id") % 50)
-    d = d.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("doc_id"))).withColumn("score", 1 / (F.lit(60.0) + F.col("pos")))
-    model = (F.col("doc_id") * 37 % (100 - F.col("qid"))) / F.lit(100.0) * F.when(F.col("qid") % 3 == 0, 0.2).otherwise(1.0)
-    given = d.where("doc_id % 7 <> 0").select("qid", "pos", F.lit(2).alias("given"), model.alias("model_score"))
-    earlier = given.withColumn("given", F.lit(1)).withColumn("model_score", F.lit(0.99))
-    return R.rerank(d.select("qid", "pos", "doc_id", "score"), given.unionByName(earlier)).select("qid", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
-
-
-@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS score FROM v q, v WHERE q.vec_id IN (0, 50)), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM c) SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, CAST(coalesce(a.rank, 0) AS INTEGER) AS raw_rank, CAST(coalesce(b.rank, 0) AS INTEGER) AS hyde_rank, CASE WHEN a.rank IS NULL THEN 'new' WHEN b.rank IS NULL THEN 'dropped' WHEN b.rank < a.rank THEN 'up' WHEN b.rank > a.rank THEN 'down' ELSE 'same' END AS change FROM (SELECT * FROM n WHERE qid = 0 AND rank <= 20) a FULL JOIN (SELECT * FROM n WHERE qid = 50 AND rank <= 20) b ON a.vec_id = b.vec_id")
-def hyde_ab(t):
-    e = t("embeddings")
-    n = R.vector_search(e, e.where("vec_id IN (0, 50)").select(F.col("vec_id").alias("qid"), "embedding"))
-    a, b = (n.where(f"qid = {q}").select("vec_id", F.col("rank").alias(name)) for q, name in ((0, "raw_rank"), (50, "hyde_rank")))
-    change = F.when(F.col("raw_rank").isNull(), "new").when(F.col("hyde_rank").isNull(), "dropped").when(F.col("hyde_rank") < F.col("raw_rank"), "up").when(F.col("hyde_rank") > F.col("raw_rank"), "down").otherwise("same")
-    return a.join(b, "vec_id", "full_outer").select("vec_id", change.alias("change"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw_rank", "hyde_rank")])
-
-
 # ---------------------------------------------------------------- telemetry and evaluation
 
 LOGS = "SELECT event_id, ts, value AS latency_ms, event_id % 1000 AS input_tokens, event_id % 300 AS output_tokens FROM events"
@@ -298,7 +156,7 @@ def metrics_summary(t):
 
 @query("SELECT * FROM (SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS query_count FROM events GROUP BY 1) ORDER BY date DESC LIMIT 14")
 def last_n_days(t):
-    return t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("query_count")).orderBy(F.desc("date")).limit(14)
+    return M.last_days(t("events"), 14)
 
 
 RESULTS = "SELECT d.doc_id AS query_id, CASE WHEN d.doc_id % 9 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN d.lang = 'es' THEN 'out-of-scope' ELSE d.lang END AS category, CAST(d.n_chars AS DOUBLE) AS latency_ms, d.doc_id % 1000 AS input_tokens, d.doc_id % 300 AS output_tokens, CAST(l.quality * 5 - (d.doc_id % 3) * l.quality AS DOUBLE) AS correctness, CAST(l.toxic AS DOUBLE) AS hallucination, CAST(l.quality * 4 AS DOUBLE) AS faithfulness, CAST(l.quality AS DOUBLE) AS precision FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
@@ -334,3 +192,22 @@ def run_comparison(t):
     a = _results(t).select("query_id", "correctness", "faithfulness")
     b = a.where("query_id % 5 <> 0").select("query_id", (F.col("correctness") * 0.9).alias("correctness"), (F.col("faithfulness") + F.col("query_id") % 2).alias("faithfulness"))
     return M.compare_runs(a, b).select("query_id", F.round("d_correctness", 6).alias("d_correctness"), F.round("d_faithfulness", 6).alias("d_faithfulness"), "changed")
+
+
+@query("""
+SELECT * FROM (SELECT format('{:,}', count(*)) AS total_queries, format('{:,.0f}', avg(value)) || ' ms' AS avg_latency, '$' || format('{:,.4f}', sum(event_id % 1000 * 1.25e-6 + event_id % 300 * 5e-6)) AS total_cost,
+  '$' || format('{:,.5f}', sum(event_id % 1000 * 1.25e-6 + event_id % 300 * 5e-6) / count(*)) AS cost_per_query FROM events)
+""")
+def stat_cards(t):
+    return M.stat_cards(M.summary(_logs(t))).drop("p95_latency")
+
+
+@query(f"""
+WITH a AS ({RESULTS}), b AS (SELECT query_id, correctness * 0.9 AS correctness, faithfulness + query_id % 2 AS faithfulness FROM a WHERE query_id % 5 <> 0)
+SELECT round(avg(b.correctness - a.correctness), 6) AS d_correctness, round(avg(b.faithfulness - a.faithfulness), 6) AS d_faithfulness, count(b.correctness - a.correctness) AS pairs FROM a JOIN b USING (query_id)
+""")
+def mean_deltas(t):
+    a = _results(t).select("query_id", "correctness", "faithfulness")
+    b = a.where("query_id % 5 <> 0").select("query_id", (F.col("correctness") * 0.9).alias("correctness"), (F.col("faithfulness") + F.col("query_id") % 2).alias("faithfulness"))
+    d = M.mean_deltas(M.compare_runs(a, b))
+    return d.select(F.round("d_correctness", 6).alias("d_correctness"), F.round("d_faithfulness", 6).alias("d_faithfulness"), "pairs")
