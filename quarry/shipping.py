@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -16,7 +17,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
-        with tempfile.TemporaryDirectory() as folder:
-            copy = shutil.copytree(here, f"{folder}/all/{os.path.basename(here)}", ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(f"{folder}/quarry-package", "zip", os.path.dirname(copy)))
+        folder = tempfile.mkdtemp(prefix="quarry-")  # the driver serves the file from there
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        copy = shutil.copytree(here, f"{folder}/all/{os.path.basename(here)}", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{folder}/quarry-package", "zip", os.path.dirname(copy)))
         _shipped.add(sc.applicationId)

@@ -221,7 +221,9 @@ def test_providers(spark):
 
     def model(p):
         if p == "bad":
-            raise Refused("no")
+            error = RuntimeError("no")
+            error.code = 400
+            raise error
         return p + " answer"
 
     assert {r["qid"]: r["expansion"] for r in P.expanded(q, model).collect()} == {1: "good answer", 2: "bad"}
