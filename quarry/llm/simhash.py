@@ -6,7 +6,8 @@ segments of 32 bits, one segment of a linked pair differs by at most one bit; so
 each distinct fingerprint is indexed under its two segments and under the 64
 variants that leave out one bit of one segment. Equal keys meet in sorted
 partitions, where links are verified on all 64 bits and thinned to a spanning
-forest (dense groups emit no pairs); components follow by contraction.
+forest (dense groups emit no pairs; a key of many fingerprints is cut once more by equal
+bytes of the other segment, which loses no link); components follow by contraction.
 
 Exact copies collapse before the index. Nulls: a null text has no words, as an empty
 one; texts without words have fingerprint zero, which links like any other. A null
@@ -75,16 +76,35 @@ def _index(fps: DataFrame) -> DataFrame:
     return x.select(key.alias("key"), "fp")
 
 
+def _parts(fps: np.ndarray, high: bool, few: int = 256) -> Iterator[np.ndarray]:
+    """Groups of a key's fingerprints in which every link lies in one at least.
+
+    Few are one group. Of many, the segment that isn't shared is cut into four bytes:
+    of two that differ in three bits at most, one byte is equal.
+    """
+    if len(fps) <= few:
+        yield fps
+        return
+    for k in range(4):
+        byte = (fps >> np.uint64(8 * k + 32 * high)) & np.uint64(255)
+        order = np.argsort(byte, kind="stable")
+        for group in np.split(fps[order], np.flatnonzero(np.diff(byte[order])) + 1):
+            if len(group) > 1:
+                yield group
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, starts in runs(batches, "key"):
-        fps = table.column("fp").to_numpy().view(np.uint64)
+        fps, keys = table.column("fp").to_numpy().view(np.uint64), table.column("key").to_numpy()
         a: list[int] = []
         b: list[int] = []
         for k in np.flatnonzero(np.diff(starts) > 1):
             f = fps[starts[k] : starts[k + 1]]
-            for i, j in forest(len(f), lambda i, others, f=f: np.bitwise_count(f[others] ^ f[i]) <= DISTANCE):
-                a.append(int(f[i]))
-                b.append(int(f[j]))
+            high = int(keys[starts[k]]) >> 38 == 0  # the low segment is shared, so the others differ in the high one
+            for part in _parts(f, high):
+                for i, j in forest(len(part), lambda i, others, f=part: np.bitwise_count(f[others] ^ f[i]) <= DISTANCE):
+                    a.append(int(part[i]))
+                    b.append(int(part[j]))
         if a:
             cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
             yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
