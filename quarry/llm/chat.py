@@ -11,14 +11,21 @@ conversation of any length is repaired in chunks of turn numbers: each chunk giv
 table, a small pass over the tables fixes the states in which chunks begin, and
 each chunk is then repaired from its state. No conversation meets in one task.
 
-Defined cases: turns are ordered by turn, then role and text, null turns first; rows
-repeated in all of these count once; a null or unknown role costs a relabel whatever
-it becomes; a null text is an empty one; a null conv_id is a conversation. Empty
-tables give empty results. Equal costs: keeping before merging before relabelling, fewer inserted.
+A role marker inside a text is escaped, so that no text can forge a turn: ``<|`` becomes
+``<\\|``, and ``<`` with backslashes and a bar gets one backslash more; ``unescaped``
+takes one away again.
+
+Defined cases: turns are ordered by turn, null turns first, then by a hash of role and
+text; rows repeated in all of these count once; turns that aren't numbers are null; a
+null or unknown role costs a relabel whatever it becomes; a null text is an empty one; a
+null conv_id is a conversation; ids keep their type. Chunks of more than MOST rows (turn
+numbers that repeat, or null ones) are cut into parts by turn and hash. Empty tables
+give empty results. Equal costs: keeping before merging before relabelling, fewer inserted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,6 +42,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 RELABEL, MERGE, INSERT = 2, 1, 3
 CHUNK = 256
+MOST = 4096
+PARTS = 1 << 30
 FAR = 1 << 40
 
 
@@ -132,36 +141,59 @@ def repair(roles: Sequence[str | None], texts: Sequence[str | None], start: int,
     return [tuple(x) for x in out], done
 
 
+def escaped(text: str) -> str:
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def render(turns: Sequence[tuple[str, str, bool]]) -> str:
-    return "".join(f"\n{text}" if goes_on else f"<|{role}|>\n{text}" for role, text, goes_on in turns)
+    return "".join(f"\n{escaped(text)}" if goes_on else f"<|{role}|>\n{escaped(text)}" for role, text, goes_on in turns)
 
 
-def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(conv_id, chunk, n_turns, n_out, n_merged, n_relabelled, n_inserted, cost, rendered), one row for each chunk of a conversation.
+def _numbered(conversations: DataFrame, chunk: int, most: int) -> DataFrame:
+    """Different turns with their chunk, a number that rises with the order of turns: chunks of turn numbers, and in large ones parts."""
+    role = F.lower("role")
+    named = conversations.select("conv_id", F.col("turn").try_cast("long").alias("turn"), role.alias("role"), "text").distinct().withColumn("tie", F.xxhash64("role", "text"))
+    far = (1 << 32) - 1
+    base = F.when(F.col("turn").isNull(), -far - 1).otherwise(F.greatest(F.lit(-far), F.least(F.lit(far), F.floor(F.col("turn") / chunk))))
+    named = named.withColumn("chunk", base)
+    large = named.groupBy("conv_id", "chunk").count().where(F.col("count") > most).select(F.col("conv_id").alias("_c"), F.col("chunk").alias("_k"), F.col("count").alias("_n"))
+    # Parts are turns, and of each turn equal stretches of hashes.
+    cuts = F.least(F.lit(PARTS // chunk), F.ceil(F.col("_n") / most))
+    stretch = F.floor((F.shiftrightunsigned("tie", 33).bitwiseXOR(F.lit(1 << 30))) / F.lit(float(1 << 31)) * cuts)
+    part = F.when(F.col("_n").isNull(), 0).otherwise(F.coalesce(F.pmod("turn", F.lit(chunk)), F.lit(0)) * cuts + stretch)
+    met = named.join(large, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_k")), "left")
+    return met.withColumn("chunk", (F.col("chunk") * PARTS + part).cast("long")).drop("_c", "_k", "_n").withColumn("key", F.xxhash64("conv_id", "chunk"))
 
-    A conversation's rendering is that of its chunks in order; few have more than one.
-    """
-    named = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower("role").alias("role"), "text").distinct()
-    named = named.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 40)))).withColumn("key", F.xxhash64("conv_id", "chunk"))
-    dealt = materialise(named.repartition("key").sortWithinPartitions("key", "conv_id", "chunk", F.col("turn").asc_nulls_first(), "role", "text"))
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rows, starts in runs(batches, "key"):
-            conv, part, role, text = (rows.column(c).to_pylist() for c in ("conv_id", "chunk", "role", "text"))
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                while a < b:  # keys of two groups may be equal
-                    e = a
-                    while e < b and (conv[e], part[e]) == (conv[a], part[a]):
-                        e += 1
-                    yield conv[a], part[a], role[a:e], text[a:e]
-                    a = e
+def format_chats(conversations: DataFrame, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
+    """(conv_id, chunk, part, n_turns, n_out, n_merged, n_relabelled, n_inserted, cost, rendered), one row for each part of a chunk of a conversation.
+
+    A conversation's rendering is that of its chunks and parts in order; few have more than one.
+    """
+    dealt = materialise(_sorted(_numbered(conversations, chunk, most)))
+    kind = dict(dealt.dtypes)["conv_id"]
+
+    def groups(rows: pa.Table, starts: np.ndarray) -> Iterator[tuple]:
+        conv, part, role, text = (rows.column(c).to_pylist() for c in ("conv_id", "chunk", "role", "text"))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            while a < b:  # keys of two groups may be equal
+                e = a
+                while e < b and (conv[e], part[e]) == (conv[a], part[a]):
+                    e += 1
+                yield conv[a], part[a], role[a:e], text[a:e]
+                a = e
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(c, p, np.ravel(table(r)).tolist()) for c, p, r, _ in groups(batches)]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["conv_id", "chunk", "costs"])
+        for rows, starts in runs(batches, "key"):
+            kinds = (rows.column("conv_id").type, pa.int64(), pa.list_(pa.int64()))
+            found = [(c, p, np.ravel(table(r)).tolist()) for c, p, r, _ in groups(rows, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["conv_id", "chunk", "costs"])
 
-    costs = materialise(_sorted(dealt).mapInArrow(tables, "conv_id long, chunk long, costs array<bigint>"))
+    costs = materialise(_sorted(dealt).mapInArrow(tables, f"conv_id {kind}, chunk long, costs array<bigint>"))
     ends = materialise(_states(costs))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +209,18 @@ def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     turns, done = repair(cols["role"][a:e], cols["text"][a:e], cols["begin"][a], cols["end"][a], cols["last"][a])
                     out.append((cols["conv_id"][a], cols["chunk"][a], e - a, sum(not t[2] for t in turns), done["merge"], done["relabel"], done["insert"], done["cost"], render(turns)))
                     a = e
-            kinds = [pa.int64()] * 8 + [pa.string()]
+            kinds = [rows.column("conv_id").type, *[pa.int64()] * 7, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
     states = ends.select(F.col("conv_id").alias("_c"), F.col("chunk").alias("_k"), "begin", "end", "last")
     met = dealt.join(states, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_k"))).drop("_c", "_k")
-    schema = "conv_id long, chunk long, n_turns long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string"
-    return _sorted(met.repartition("key")).mapInArrow(finished, schema)
+    schema = f"conv_id {kind}, chunk long, n_turns long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string"
+    out = _sorted(met).mapInArrow(finished, schema)
+    return out.withColumn("part", F.pmod("chunk", F.lit(PARTS))).withColumn("chunk", F.shiftright("chunk", 30))
 
 
 def _sorted(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("key").sortWithinPartitions("key", "conv_id", "chunk", F.col("turn").asc_nulls_first(), "role", "text")
+    return dealt.repartition("key").sortWithinPartitions("key", "conv_id", "chunk", F.col("turn").asc_nulls_first(), "tie", "role", "text")
 
 
 def _states(costs: DataFrame) -> DataFrame:
@@ -197,7 +230,7 @@ def _states(costs: DataFrame) -> DataFrame:
     before; backward: the best state given the one after. One chunk in a conversation,
     the common case, needs no neighbours; of long conversations only tables come together.
     """
-    counted = costs.withColumn("n", F.count("*").over(W.partitionBy("conv_id")))
+    counted, kind = costs.withColumn("n", F.count("*").over(W.partitionBy("conv_id"))), dict(costs.dtypes)["conv_id"]
 
     def best(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -216,25 +249,28 @@ def _states(costs: DataFrame) -> DataFrame:
                 end = begin
             return out
 
+        conv = None
         for batch in rows:
+            conv = batch.column("conv_id").type
             out: list[tuple] = []
             for c, p, t in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "chunk", "costs")), strict=True):
                 if held and held[0][0] != c:
                     out += solve()
                     held.clear()
                 held.append((c, p, t))
-            yield _state_rows(out)
-        yield _state_rows(solve() if held else [])
+            yield _state_rows(out, conv)
+        if held:
+            yield _state_rows(solve(), conv)
 
     single = F.col("n") == 1
-    many = counted.where(~single).select("conv_id", "chunk", "costs").repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(best, "conv_id long, chunk long, begin int, end int, last boolean")
+    many = counted.where(~single).select("conv_id", "chunk", "costs").repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(best, f"conv_id {kind}, chunk long, begin int, end int, last boolean")
     cost = lambda s: F.element_at("costs", s + 1) + F.lit(final_cost(s))
     least = F.least(*[F.struct(cost(s).alias("c"), F.lit(-s).alias("s")) for s in range(4)])
     ones = counted.where(single).select("conv_id", "chunk", F.lit(START).alias("begin"), (-least["s"]).cast("int").alias("end"), F.lit(True).alias("last"))
     return ones.unionByName(many)
 
 
-def _state_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+def _state_rows(rows: list[tuple], conv: pa.DataType) -> pa.RecordBatch:
+    kinds = (conv, pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     cols = list(zip(*rows, strict=True)) or [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "chunk", "begin", "end", "last"])
