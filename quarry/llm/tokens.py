@@ -9,15 +9,18 @@ piece is unknown. Exact rules of the tokenizer that ``reference`` builds:
 - scores add up as doubles from the left;
 - at equal scores the path whose last piece starts first (the longest) stays;
 - a character that no piece of one character covers can be an unknown piece, which
-  costs the lowest score less 10; neighbouring unknown pieces fuse into one.
+  costs the lowest score less 10; neighbouring unknown pieces fuse into one, or count
+  their UTF-8 bytes if the vocabulary has all 256 byte pieces.
 
 Vocabularies come from files of public tokenizers, whose path is a parameter; nothing
-is trained. Nulls: a null text has no tokens. Empty tables give empty results, repeated
+is trained. A byte-pair file holds ranks in place of scores; pieces then get the logarithm
+of Zipf's law at their rank, which is a distribution, as a unigram search needs. Nulls: a null text has no tokens. Empty tables give empty results, repeated
 rows are counted one by one, words of any length take time in proportion.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -41,14 +44,23 @@ def vocabulary(path: str) -> tuple[tuple[str, float], ...]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return tuple((model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size()))
+    pieces = [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
+    ranks = [-s for _, s in pieces]
+    if all(r == int(r) >= 0 for r in ranks):  # minus ranks: no logarithms of probabilities
+        total = math.log(sum(1 / (r + 2) for r in ranks))
+        pieces = [(p, -math.log(r + 2) - total) for (p, _), r in zip(pieces, ranks, strict=True)]
+    return tuple(pieces)
+
+
+def has_bytes(pieces: tuple[tuple[str, float], ...]) -> bool:
+    return {f"<0x{k:02X}>" for k in range(256)} <= {p for p, _ in pieces}
 
 
 def reference(pieces: tuple[tuple[str, float], ...], unknown: int = 0):
     """The tokenizer whose counts these are."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    t = Tokenizer(models.Unigram([*pieces], unk_id=unknown, byte_fallback=False))
+    t = Tokenizer(models.Unigram([*pieces], unk_id=unknown, byte_fallback=has_bytes(pieces)))
     t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="always")])
     return t
 
@@ -63,6 +75,7 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.bytes = has_bytes(pieces)
         self.known: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
@@ -89,7 +102,10 @@ class Counter:
             if not single and (best is None or score[end - 1] + self.unknown > best):
                 best, start, unknown = score[end - 1] + self.unknown, end - 1, True
             score[end], loose[end] = best, unknown
-            count[end] = count[start] + (not (unknown and loose[start] and start))
+            if unknown and self.bytes:
+                count[end] = count[start] + len(word[start].encode("utf-8", "replace"))
+            else:
+                count[end] = count[start] + (not (unknown and loose[start] and start))
         return count[n], score[n]
 
     def text(self, text: str) -> tuple[int, float]:
