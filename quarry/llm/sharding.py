@@ -115,14 +115,16 @@ def assign(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text: s
             yield pd.DataFrame({"_p": pdf["id"], "_ends": [np.cumsum(matrix_row(p, sizes, cells, seed)) for p in pdf["id"]]})
 
     deal = docs.sparkSession.range(n).mapInPandas(rows_of, "_p int, _ends array<bigint>")
-    ties = [id_column, text, "_copy"]
-    copy = F.row_number().over(W.partitionBy("_content").orderBy(F.xxhash64(*docs.columns)))
-    d = docs.withColumn("_content", content).withColumn("_copy", copy.cast("long"))
-    d = d.withColumn("_p", part(n)).withColumn("_second", second).withColumn("_at", F.row_number().over(W.partitionBy("_p").orderBy(first, *ties)))
-    d = d.join(deal, "_p").withColumn("_cell", F.size(F.filter("_ends", lambda e: e < F.col("_at")))).drop("_ends", "_p", "_at")
+    # Places are dealt to (content, copy), a few bytes each; texts meet them at the end.
+    ties = ["_content", "_copy"]
+    dealt = copies.withColumn("_p", part(n)).withColumn("_at", F.row_number().over(W.partitionBy("_p").orderBy(first, *ties)))
+    dealt = dealt.join(deal, "_p").withColumn("_cell", F.size(F.filter("_ends", lambda e: e < F.col("_at")))).drop("_ends", "_p", "_at")
     before = F.element_at(F.lit(offsets.tolist()).cast("array<bigint>"), F.col("_cell") + 1)
-    slot = before + F.row_number().over(W.partitionBy("_cell").orderBy("_second", *ties)) - 1
-    return d.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("_cell") / k).cast("int")).drop("_cell", "_second", "_content", "_copy")
+    slot = before + F.row_number().over(W.partitionBy("_cell").orderBy(second, *ties)) - 1
+    dealt = dealt.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("_cell") / k).cast("int")).drop("_cell")
+    copy = F.row_number().over(W.partitionBy("_content").orderBy(F.xxhash64(*docs.columns)))
+    numbered = docs.withColumn("_content", content).withColumn("_copy", copy.cast("long"))
+    return numbered.join(dealt, ties).drop(*ties)
 
 
 def size(text: Column) -> Column:
