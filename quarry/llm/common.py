@@ -67,9 +67,9 @@ def minhash_multipliers(n: int, seed: int = 7) -> np.ndarray:
 LEAST_BITS, MOST_BITS = 18, 27
 
 
-def bits_for(n: int) -> int:
-    """Size of a bitmap for n hashes, as an exponent: 8 to 16 slots a hash, 32 KB at least and 16 MB at most."""
-    return min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+def bits_for(n: int, slots: int = 8) -> int:
+    """Size of a bitmap for n hashes, as an exponent: ``slots`` a hash or up to twice that, 32 KB at least and 16 MB at most."""
+    return min(MOST_BITS, max(LEAST_BITS, (slots * n).bit_length()))
 
 
 def bitmap(values: DataFrame, bits: int) -> np.ndarray:

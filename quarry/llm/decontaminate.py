@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import SIMILARITY, arrow_texts, bitmap, bits_for, in_bitmap, materialise, minhash_multipliers, mixed, shingle_hashes, word_hashes
 
 HASHES = 48
+#: Slots of the bitmaps for each of the items' hashes: a long document asks thousands of times.
+SLOTS = 1024
 LEAST_CLASS = 2
 
 
@@ -96,7 +98,7 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, id_column: str, lea
     smallest = index.agg(F.min(F.size("item_shingles"))).first()[0] or 1
     need = math.ceil(least * smallest - 1e-9)  # no item is held by fewer shingles
     total = lambda c: index.agg(F.sum(F.size(c))).first()[0] or 0
-    sent = spark.sparkContext.broadcast(tuple(bitmap(index.select(F.explode(c)), bits_for(total(c))) for c in ("keys", "item_shingles")))
+    sent = spark.sparkContext.broadcast(tuple(bitmap(index.select(F.explode(c)), bits_for(total(c), SLOTS)) for c in ("keys", "item_shingles")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_map, shingle_map = sent.value
