@@ -385,7 +385,10 @@ class Follow:
 
 
 def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head: int = HEAD) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each document."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unigram_score), one row for each document.
+
+    unigram_score is that of the tree's root alone: the unigram with the same spelling, whose shares add up to 1 as the tree's do (the base's don't).
+    """
     spark = docs.sparkSession
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = named.where("NOT held_out")
@@ -406,7 +409,7 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     listed = pairs.where((F.col("c") >= FOLLOW_LEAST) & (F.col("key") % NEXT < NEXT - 1) & (F.col("c") >= F.lit(LEAST_SHARE / 4 * n))).toPandas()
     follow = Follow(listed["key"].to_numpy(np.int64), listed["c"].to_numpy(np.int64), totals, np.append(np.resize(root, NEXT - 1), 1.0), GAIN)
     sent = spark.sparkContext.broadcast((counts, root, follow))
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "word", "times"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "unigram", "score", "word", "times"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shares, follow = sent.value
@@ -416,12 +419,13 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
             for first, starts, tokens, n, one, two in _flat(arrow_texts(batch), ids.value):
                 here, size = n >= 0, np.diff(starts, append=len(n))
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                total = sums(np.log10(follow.shares(n, one, two, np.where(here, shares[n], 1.0))))
+                plain = np.where(here, shares[n], 1.0)
+                total = sums(np.log10(follow.shares(n, one, two, plain)))
                 rows = row[first : first + len(starts)]
                 # The document's own row has a word that no text has, so rows spread evenly and meet no count.
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), batch.column("doc_id").slice(first, len(starts)), batch.column("held_out").slice(first, len(starts)), pa.array(size), pa.array(sums((here & (known[n] > 0)).astype(np.int64))),
-                     pa.array(sums(np.where(here, logs[n], 0.0))), pa.array(total), pa.array([f" {x}" for x in rows.tolist()], pa.string()), pa.array(np.zeros(len(rows), np.int64))], names)
+                     pa.array(sums(np.where(here, logs[n], 0.0))), pa.array(sums(np.log10(plain))), pa.array(total), pa.array([f" {x}" for x in rows.tolist()], pa.string()), pa.array(np.zeros(len(rows), np.int64))], names)
                 rare = np.flatnonzero(~here)
                 times = Counter(zip(np.repeat(rows, size)[rare].tolist(), [tokens[k] for k in rare.tolist()], strict=True))
                 if times:
@@ -429,16 +433,16 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
                     of, words = zip(*times, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(of, pa.int64()), pa.nulls(k, batch.column("doc_id").type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.array(zeros),
-                         pa.array(zeros.astype(np.float64)), pa.array(zeros.astype(np.float64)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64())], names)
+                         *[pa.array(zeros.astype(np.float64))] * 3, pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64())], names)
 
     kind = dict(named.dtypes)["doc_id"]
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, word string, times long"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, unigram double, score double, word string, times long"
     read = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     met = read.mapInArrow(scan, schema).join(spelled, "word", "left")
     c = F.coalesce("c", F.lit(0))
     share = (c + fresh * F.coalesce(F.pow(F.lit(10.0), "spelling"), F.lit(1.0))) / F.lit(n + fresh)
     each = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("logs").alias("logs"),
-        F.sum(F.col("score") + F.col("times") * F.log10(share)).alias("score"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("more_logs"))
+        *[F.sum(F.col(x) + F.col("times") * F.log10(share)).alias(x) for x in ("unigram", "score")], F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("more_logs"))
     base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    return each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score"))

@@ -507,6 +507,48 @@ def test_lm_base_and_score(sample, docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_beats_its_unigram(spark):
+    """On held-out documents, against the unigram of the same spelling."""
+    rows = rows_of(lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out"))
+    n = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / n > sum(r["unigram_score"] for r in rows) / n + 0.02
+
+
+def test_contexts_of_tokens_are_distributions():
+    """Shares of all next tokens add up to 1 in every context, and are those of a plain tree."""
+    rng = np.random.default_rng(3)
+    root = np.append(rng.dirichlet(np.ones(40)), 0.0)  # tokens 0 to 39 are listed, the last stands for all others
+    root[:40] *= 0.9
+    counts = {}
+    for _ in range(6000):
+        two, one = int(rng.integers(0, 6)), int(rng.integers(0, 6))
+        token = int(rng.choice(40, p=root[:40] / 0.9)) if one != two else (one + 1) % 40
+        for key in (one * lm.NEXT + token, (two * lm.CONTEXTS[1] + one) * lm.NEXT + token + lm._PAIRS):
+            counts[key] = counts.get(key, 0) + 1
+    totals = collections.Counter()
+    for key, c in counts.items():
+        totals[key // lm.NEXT] += c
+    keys, c = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    shares = np.zeros(lm.NEXT)
+    shares[:40], shares[-1] = root[:40], 1.0
+    follow = lm.Follow(keys, c, dict(totals), shares, lm.GAIN)
+    assert follow.kept[1].any()
+    tokens = np.arange(40)
+    for two in range(6):
+        for one in range(6):
+            ones, twos = np.full(41, one), np.full(41, two)
+            got = follow.shares(np.append(tokens, -1), ones, twos, np.append(root[:40], 1.0))
+            got[-1] *= 0.1  # the factor on what the root leaves to all other tokens
+            assert got.sum() == pytest.approx(1)
+            plain = root[:40].copy()
+            for k, context in ((0, one), (1, two * lm.CONTEXTS[1] + one)):
+                if follow.kept[k][context]:
+                    own = np.array([counts.get(context * lm.NEXT + t + k * lm._PAIRS, 0) for t in tokens])
+                    total = totals[(context * lm.NEXT + k * lm._PAIRS) // lm.NEXT]
+                    plain = (own + (total - own.sum() + lm.FOLLOW_SMOOTH) * plain) / (total + lm.FOLLOW_SMOOTH)
+            assert np.allclose(got[:40], plain)
+
+
 def test_lm_is_a_distribution(spark):
     words = spark.createDataFrame([("ab", 30), ("aab", 20), ("b", 50), (None, 10)], "word string, c long")
     tree = lm.grow(words, depth=3, least_share=0.01, gain=0.5)
