@@ -2,20 +2,24 @@
 
 A text's tokens are its lower-cased (A-Z) words and one end. The base counts tokens.
 
-In the model a token's context is the tokens before it. Candidates are the start of
-the text and the most frequent words, alone (CONTEXTS[0] of them) or in pairs
-(CONTEXTS[1] each). A context is retained if its next-token distribution diverges
-from that of its suffix, by ``gain`` nats over all its occurrences; pairs need their
-suffix retained. Each token is scored in the longest retained suffix of what precedes
-it: listed counts, with everything unlisted and ``SMOOTH`` more left to the suffix, down
-to the root. The root counts every word, and leaves as much as there are words seen
+In the model a token's context is the tokens before it, back to the start of the
+text: up to ORDER of them. Every context seen LEAST times is tried, level by level. It
+is retained if its next-token distribution diverges from that of its suffix, by
+``gain`` nats over all its occurrences, and its suffix is retained. Next tokens are
+listed from LISTED times on, if they themselves are seen LEAST times. Each token is
+scored in the longest retained suffix of what precedes it: listed counts, with
+everything unlisted and ``FOLLOW_SMOOTH`` more left to the suffix, down to the root. These
+bars are the same at every size, so contexts grow with the corpus. They are kept as
+a table of keys (64-bit hashes) and values that add up to a text's score, so
+that documents meet it by an equality join. The root counts every word, and leaves as much as there are words seen
 once to spelling: a second suffix tree, over the characters of all different words, whose contexts are what a token
 has so far after an open mark (DEPTH symbols at most) and whose root is uniform over
 all code points. So the scores are those of one distribution over all texts.
 
-Counts cover all training texts. What is bounded is the model that goes to the
-executors: CONTEXTS times NEXT counts, DEPTH / LEAST_SHARE spelling counts and the
-``head`` most frequent words. Counts of all other words reach the documents by a join.
+Counts cover all training texts. What goes to the executors is bounded: the ``head``
+most frequent words, the ``model_head`` most frequent keys, bitmaps that spare rows a
+shuffle, and DEPTH / LEAST_SHARE spelling counts. All other words and keys reach the
+documents by a join, so these bounds change no result but the spelling's.
 
 Nulls: a null text is an empty one, with the end token alone; a null doc_id is in
 training. Empty tables give empty results; without training texts, N and V are 0 and
@@ -31,11 +35,15 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import arrow_texts, materialise, mixed
+from .common import arrow_texts, bitmap, bits_for, in_bitmap, materialise, mixed
 
 DEPTH = 7
 OPEN, CLOSE, END = "\x01", "\x02", "\x03"
@@ -43,12 +51,14 @@ SYMBOLS = 0x110000 + 2
 LEAST_SHARE = 4e-6
 GAIN = 3.0
 SMOOTH = 2.0
-CONTEXTS = (1024, 64)
-NEXT = 16_384
+ORDER = 3
+LEAST = 64
+LISTED = 3
 FOLLOW_SMOOTH = 50.0
-FOLLOW_LEAST = 3
-_PAIRS = 1 << 40
+#: Bits of a token's hash that go into keys.
+TOKEN = (1 << 40) - 1
 HEAD = 200_000
+MODEL_HEAD = 1_000_000
 FLUSH = 500_000
 CHUNK = 100_000
 
@@ -89,22 +99,19 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _head(words: DataFrame, most: int):
-    """At most ``most`` words, all those above some count, most frequent first, as a pandas frame.
+def _head(counted: DataFrame, most: int) -> pa.Table:
+    """At most ``most`` rows, all those whose c is above some count.
 
     The count comes from a histogram of logarithms, so no more than the head itself reaches the driver.
     """
     step = F.floor(F.log2("c") * 16).cast("int")
-    own = words.where("word IS NOT NULL AND c > 0")
     total, least = 0, None
-    for b, k in sorted(((r[0], r[1]) for r in own.groupBy(step).count().collect()), reverse=True):
+    for b, k in sorted(((r[0], r[1]) for r in counted.groupBy(step).count().collect()), reverse=True):
         total += k
         if total > most:
             break
         least = b
-    if least is None:
-        own = own.limit(0)
-    return own.where(step >= (least or 0)).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return (counted.limit(0) if least is None else counted.where(step >= least)).toArrow()
 
 
 def _spelling(words: DataFrame, speller: Speller) -> DataFrame:
@@ -289,11 +296,8 @@ def _retained(nodes: dict[str, tuple[int, dict[str, int]]], gain: float) -> dict
 # ---------------------------------------------------------------- contexts of tokens
 
 
-def _flat(texts: list[bytes], ids: dict[bytes, int]) -> Iterator[tuple]:
-    """Texts in groups of some CHUNK tokens: (first text, starts, tokens, ids of the tokens, of those before, of those before these).
-
-    A text's last token is its end, the empty word. 0: end, or start as a token before; -1: not in the head, or before the start.
-    """
+def _flat(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """Texts in groups of some CHUNK tokens: (first text, starts, tokens). A text's last token is its end, the empty word."""
     tokens: list[bytes] = []
     starts: list[int] = []
     for k, text in enumerate(texts):
@@ -301,90 +305,136 @@ def _flat(texts: list[bytes], ids: dict[bytes, int]) -> Iterator[tuple]:
         tokens += text.lower().split()
         tokens.append(b"")
         if len(tokens) >= CHUNK or k == len(texts) - 1:
-            n = np.fromiter(map(ids.get, tokens, repeat(-1)), np.int64, len(tokens))
-            one = np.concatenate(([0], n[:-1]))  # the end before a text's first token is its start
-            two = np.concatenate(([-1], one[:-1]))
-            two[starts] = -1
-            yield k + 1 - len(starts), np.array(starts), tokens, n, one, two
+            yield k + 1 - len(starts), np.array(starts), tokens
             tokens, starts = [], []
 
 
-def _states(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate contexts of one and two tokens at each place; -1: none."""
-    first, pair = CONTEXTS
-    short = np.where(one < first, one, -1)
-    long = np.where((one >= 0) & (two >= 0) & (one < pair) & (two < pair), two * pair + one, -1)
-    return short, long
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    """As the xxhash64 function of Spark."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(42)), np.uint64, len(tokens))
+
+
+_ENDED = _hashes([b""])
+
+
+def _append(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Keys of contexts with one more token at their end. The empty context is 0."""
+    return mixed(context * _LEVEL + (token & np.uint64(TOKEN)) + np.uint64(1))
 
 
-def follow_counts(train: DataFrame, ids, text: str = "text") -> DataFrame:
-    """(key, c): counts of context and next token; next tokens beyond NEXT - 2 count as NEXT - 1."""
+@F.pandas_udf(LongType())
+def _appended(context: pd.Series, token: pd.Series) -> pd.Series:
+    keys = _append(context.to_numpy(np.int64).view(np.uint64), token.to_numpy(np.int64).view(np.uint64))
+    return pd.Series(keys.view(np.int64))
+
+
+def _before(hashes: np.ndarray, starts: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys): those of the places ``at`` with k tokens before them, and the key of these tokens. The start of a text is a token, written as an end."""
+    place = at - starts[np.searchsorted(starts, at, "right") - 1]
+    at = at[place >= k - 1]
+    keys = np.zeros(len(at), np.uint64)
+    ended = np.concatenate((_ENDED, hashes))
+    for j in range(k - 1, -1, -1):
+        keys = _append(keys, ended[at - j])
+    return at, keys
+
+
+def follow_counts(train: DataFrame, k: int, contexts, nexts, text: str = "text") -> DataFrame:
+    """(context, token, c): how often a token follows a context of k tokens, of contexts and tokens in these (broadcast) bitmaps."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
-            keys, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], ["key", "c"])
+            context, token = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 2
+            _, first, c = np.unique(_append(context, token), return_index=True, return_counts=True)
+            own = (token[first] & np.uint64(TOKEN)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(own), pa.array(c.astype(np.int64))], ["context", "token", "c"])
 
         for batch in batches:
-            for _, _, _, n, one, two in _flat(arrow_texts(batch), ids.value):
-                n = np.where((n < 0) | (n >= NEXT - 1), NEXT - 1, n)
-                short, long = _states(one, two)
-                held += [(short * NEXT + n)[short >= 0], (long * NEXT + n)[long >= 0] + _PAIRS]
-                size += len(n)
+            for _, starts, tokens in _flat(arrow_texts(batch)):
+                hashes = _hashes(tokens)
+                at, keys = _before(hashes, starts, np.flatnonzero(in_bitmap(nexts.value, hashes)), k)
+                known = in_bitmap(contexts.value, keys)
+                held.append((keys[known], hashes[at[known]]))
+                size += len(held[-1][0])
                 if size > 4_000_000:
                     yield rows()
                     held.clear()
                     size = 0
         yield rows()
 
-    return train.select(F.col(text).alias("text")).mapInArrow(scan, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    counted = train.select(F.col(text).alias("text")).mapInArrow(scan, "context long, token long, c long")
+    return counted.groupBy("context", "token").agg(F.sum("c").alias("c"))
 
 
-class Follow:
-    """Retained contexts of tokens: totals, what is left to the suffix, and listed counts by sorted key."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: dict[int, int], root: np.ndarray, gain: float):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(np.float64)
-        first, pair = CONTEXTS
-        self.total = [np.zeros(first), np.zeros(pair * pair)]
-        for c, t in totals.items():
-            self.total[c >= _PAIRS // NEXT][c % (_PAIRS // NEXT)] = t
-        level = (self.keys >= _PAIRS).astype(int)
-        context, token = self.keys % _PAIRS // NEXT, self.keys % NEXT
-        self.rest = []
-        for k in range(2):
-            listed = np.bincount(context[level == k], self.counts[level == k], len(self.total[k]))
-            self.rest.append(self.total[k] - listed + FOLLOW_SMOOTH)
-        self.kept = [np.zeros(first, bool), np.zeros(pair * pair, bool)]
-        for k in range(2):
-            at = level == k
-            lower = root[token[at]] if not k else self._share(0, context[at] % pair, token[at], root[token[at]])
-            gains = self.counts[at] * np.log(self.counts[at] / self.total[k][context[at]] / lower)
-            self.kept[k] = np.bincount(context[at], gains, len(self.total[k])) >= gain
-            if k:
-                self.kept[1] &= self.kept[0][np.arange(pair * pair) % pair]
-
-    def _share(self, k: int, context: np.ndarray, token: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        key = context * NEXT + token + k * _PAIRS
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        listed = np.where((self.keys[at] == key) & (token < NEXT - 1), self.counts[at], 0.0) if len(self.keys) else np.zeros(len(key))
-        return (listed + self.rest[k][context] * lower) / (self.total[k][context] + FOLLOW_SMOOTH)
-
-    def shares(self, n: np.ndarray, one: np.ndarray, two: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Of tokens n, given their shares in the root (1 for tokens beyond the head: then the factor on their share)."""
-        out, token = root.copy(), np.where((n < 0) | (n >= NEXT - 1), NEXT - 1, n)
-        for k, context in enumerate(_states(one, two)):
-            at = np.flatnonzero(context >= 0)
-            at = at[self.kept[k][context[at]]]
-            out[at] = self._share(k, context[at], token[at], out[at])
-        return out
+def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int = LEAST, listed: int = LISTED, gain: float = GAIN) -> DataFrame:
+    """(key, value, c): the retained contexts and their listed next tokens, from (word, c, share) of the root.
+
+    log10 of a token's probability is that of its share in the root, the value of each retained context before it
+    (key ~context) and of each such context with the token listed in it (key of both). A context's value is what it
+    leaves to its suffix; a listed token's makes up for that. c counts occurrences in training.
+    """
+    spark = train.sparkSession
+    own = unigrams.where(F.col("c") >= least).select(F.xxhash64(F.coalesce("word", F.lit(""))).alias("h"), "c", "share")
+    nexts = materialise(own)
+    passed = spark.sparkContext.broadcast(bitmap(nexts.select("h"), bits_for(nexts.count(), 32)))
+    # Words that agree in the 40 bits of a token count as one there.
+    tokens = nexts.groupBy(F.col("h").bitwiseAND(F.lit(TOKEN)).alias("token")).agg(F.sum("c").alias("total"), F.min("share").alias("lower"))
+    level = materialise(tokens.select(_appended(F.lit(0).cast("long"), "token").alias("context"), F.lit(0).cast("long").alias("suffix"), "total", "lower"))
+    lower, contexts = level.select(F.col("context").alias("parent"), "lower"), level.select("context", "suffix", "total")
+    end = int(_ENDED[0]) & TOKEN
+    model = spark.createDataFrame([], "key long, value double, c long")
+    for k in range(1, order + 1):
+        size = contexts.count()
+        if not size:
+            break
+        allowed = spark.sparkContext.broadcast(bitmap(contexts.select("context"), bits_for(size, 32)))
+        counted = materialise(follow_counts(train, k, allowed, passed).where(F.col("c") >= listed))
+        grams = counted.join(contexts, "context").withColumn("parent", _appended("suffix", "token")).join(lower, "parent")
+        grams = materialise(grams.withColumn("key", _appended("context", "token")))
+        sums = grams.groupBy("context", "total").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c") / F.col("total") / F.col("lower"))).alias("gain"))
+        rest = F.col("total") - F.col("all") + FOLLOW_SMOOTH
+        kept = materialise(sums.where(F.col("gain") >= gain).select("context", "total", rest.alias("rest"), F.log10(rest / (F.col("total") + FOLLOW_SMOOTH)).alias("leaves")))
+        share = (F.col("c") + F.col("rest") * F.col("lower")) / (F.col("total") + FOLLOW_SMOOTH)
+        shares = materialise(grams.join(kept.drop("total"), "context").select("key", "c", "lower", share.alias("share"), "leaves"))
+        model = model.union(kept.select(F.bitwise_not("context"), "leaves", "total")).union(shares.select("key", F.log10("share") - F.log10("lower") - F.col("leaves"), "c"))
+        longer = grams.where((F.col("c") >= least) & (F.col("token") != end)).select(F.col("key").alias("context"), F.col("parent").alias("suffix"), F.col("c").alias("total"))
+        contexts = materialise(longer.join(kept.select(F.col("context").alias("suffix")), "suffix", "left_semi").select("context", "suffix", "total"))
+        lower = shares.select(F.col("key").alias("parent"), F.col("share").alias("lower"))
+    return materialise(model)
 
 
-def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head: int = HEAD) -> DataFrame:
+class Follow:
+    """The most frequent part of a model of contexts, and a bitmap of the keys in the rest."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, order: int, others: np.ndarray):
+        self.places, self.values, self.order, self.others = _Places(keys.view(np.uint64)), values, order, others
+
+    def logs(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums, places, keys): what the frequent part adds to log10 at each place, and the keys that the rest may have."""
+        sums, places, keys = np.zeros(len(hashes)), [], []
+
+        def look(at: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            found = self.places.find(asked)
+            hit = found >= 0
+            sums[at[hit]] += self.values[found[hit]]
+            maybe = ~hit & in_bitmap(self.others, asked)
+            places.append(at[maybe])
+            keys.append(asked[maybe])
+            return hit | maybe
+
+        at = np.arange(len(hashes))
+        for k in range(1, self.order + 1):  # the suffixes of a retained context are retained
+            at, context = _before(hashes, starts, at, k)
+            known = look(at, ~context)
+            at, context = at[known], context[known]
+            look(at, _append(context, hashes[at]))
+        return sums, np.concatenate(places), np.concatenate(keys).view(np.int64)
+
+
+def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head: int = HEAD, model_head: int = MODEL_HEAD, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unigram_score), one row for each document.
 
     unigram_score is that of the tree's root alone: the unigram with the same spelling, whose shares add up to 1 as the tree's do (the base's don't).
@@ -396,19 +446,20 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     n, v, ends, once = words.where("c > 0").agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("word").isNull(), F.col("c"))), F.count(F.when(F.col("c") == 1, 1))).first()
     n, ends, fresh = n or 0, ends or 0, float(max(1, once))
     speller = Speller(grow(words.where("c > 0").select("word", F.lit(1).cast("long").alias("c"))))  # unseen words are like different words, not like frequent ones
-    frequent = _head(words, head)
+    frequent = _head(words.where("word IS NOT NULL AND c > 0"), head).to_pandas().sort_values(["c", "word"], ascending=[False, True])
     ids = spark.sparkContext.broadcast({b"": 0, **{w.encode(): k + 1 for k, w in enumerate(frequent["word"])}})
     counts = np.append(float(ends), frequent["c"].to_numpy(np.float64))
     spelt = speller.logs([None, *frequent["word"]])
     root = (counts + fresh * 10**spelt) / (n + fresh)
     del frequent
-    spelled = _spelling(words.where("word IS NOT NULL"), speller)
-    pairs = materialise(follow_counts(train, ids, "text"))
-    context = F.floor(F.col("key") / NEXT)
-    totals = {r[0]: r[1] for r in pairs.groupBy(context.alias("context")).agg(F.sum("c")).collect()}
-    listed = pairs.where((F.col("c") >= FOLLOW_LEAST) & (F.col("key") % NEXT < NEXT - 1) & (F.col("c") >= F.lit(LEAST_SHARE / 4 * n))).toPandas()
-    follow = Follow(listed["key"].to_numpy(np.int64), listed["c"].to_numpy(np.int64), totals, np.append(np.resize(root, NEXT - 1), 1.0), GAIN)
-    sent = spark.sparkContext.broadcast((counts, root, follow))
+    c = F.coalesce("c", F.lit(0))
+    share = (c + fresh * F.coalesce(F.pow(F.lit(10.0), "spelling"), F.lit(1.0))) / F.lit(n + fresh)
+    spelled = _spelling(words.where("word IS NOT NULL"), speller).select("word", "c", "spelling", F.lit(None).cast("double").alias("value"))
+    model = follow(train, _spelling(words.where(F.col("c") >= LEAST), speller).withColumn("share", share), order)
+    top = _head(model, model_head)
+    others = model.where(F.col("c") < (pc.min(top["c"]).as_py() or 0)) if len(top) else model
+    marks = bitmap(others.select("key"), bits_for(others.count(), 32))
+    sent = spark.sparkContext.broadcast((counts, root, Follow(top["key"].to_numpy(), top["value"].to_numpy(), order, marks)))
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "unigram", "score", "word", "times"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,33 +467,39 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
         logs = np.log10(known + 1)
         for batch in batches:
             row = batch.column("row").to_numpy()
-            for first, starts, tokens, n, one, two in _flat(arrow_texts(batch), ids.value):
+            for first, starts, tokens in _flat(arrow_texts(batch)):
+                n = np.fromiter(map(ids.value.get, tokens, repeat(-1)), np.int64, len(tokens))
                 here, size = n >= 0, np.diff(starts, append=len(n))
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                plain = np.where(here, shares[n], 1.0)
-                total = sums(np.log10(follow.shares(n, one, two, plain)))
+                plain = np.log10(np.where(here, shares[n], 1.0))
+                added, places, keys = follow.logs(_hashes(tokens), starts)
                 rows = row[first : first + len(starts)]
                 # The document's own row has a word that no text has, so rows spread evenly and meet no count.
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), batch.column("doc_id").slice(first, len(starts)), batch.column("held_out").slice(first, len(starts)), pa.array(size), pa.array(sums((here & (known[n] > 0)).astype(np.int64))),
-                     pa.array(sums(np.where(here, logs[n], 0.0))), pa.array(sums(np.log10(plain))), pa.array(total), pa.array([f" {x}" for x in rows.tolist()], pa.string()), pa.array(np.zeros(len(rows), np.int64))], names)
+                     pa.array(sums(np.where(here, logs[n], 0.0))), pa.array(sums(plain)), pa.array(sums(plain + added)), pa.array([f" {x}" for x in rows.tolist()], pa.string()), pa.array(np.zeros(len(rows), np.int64))], names)
+                of = np.repeat(rows, size)
                 rare = np.flatnonzero(~here)
-                times = Counter(zip(np.repeat(rows, size)[rare].tolist(), [tokens[k] for k in rare.tolist()], strict=True))
+                times = Counter(zip(of[rare].tolist(), [tokens[k] for k in rare.tolist()], strict=True))
+                times.update(zip(of[places].tolist(), [b"\t%d" % k for k in keys.tolist()], strict=True))
                 if times:
                     k, zeros = len(times), np.zeros(len(times), np.int64)
-                    of, words = zip(*times, strict=True)
+                    of, asked = zip(*times, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(of, pa.int64()), pa.nulls(k, batch.column("doc_id").type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.array(zeros),
-                         *[pa.array(zeros.astype(np.float64))] * 3, pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64())], names)
+                         *[pa.array(zeros.astype(np.float64))] * 3, pa.array(asked, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64())], names)
 
     kind = dict(named.dtypes)["doc_id"]
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, unigram double, score double, word string, times long"
     read = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    met = read.mapInArrow(scan, schema).join(spelled, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    share = (c + fresh * F.coalesce(F.pow(F.lit(10.0), "spelling"), F.lit(1.0))) / F.lit(n + fresh)
+    # Keys of the model's rest stand among the words: no word begins with a tab.
+    asked = spelled.union(others.select(F.concat(F.lit("\t"), F.col("key").cast("string")), F.lit(None).cast("long"), F.lit(None).cast("double"), "value"))
+    met = read.mapInArrow(scan, schema).join(asked, "word", "left")
+    is_key = F.col("word").startswith("\t")
+    rare = F.when(~is_key, F.log10(share)).otherwise(0.0)
     each = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("logs").alias("logs"),
-        *[F.sum(F.col(x) + F.col("times") * F.log10(share)).alias(x) for x in ("unigram", "score")], F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("more_logs"))
+        F.sum(F.col("unigram") + F.col("times") * rare).alias("unigram"), F.sum(F.col("score") + F.col("times") * (rare + F.coalesce("value", F.lit(0.0)))).alias("score"),
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("more_logs"))
     base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     return each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score"))

@@ -9,12 +9,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, decontaminate, lm, mixing, paragraphs, quality, sharding, simhash, tokens, urls
-from quarry.llm.common import components
+from quarry.llm.common import bitmap, components
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -497,9 +498,12 @@ def test_lm_base_and_score(sample, docs, empty):
         c = collections.Counter(x for i, t in toks if not held(i) for x in t)
         n, v = sum(c.values()), len(c)
         want = sorted((repr(i), held(i), len(t), sum(c[x] > 0 for x in t), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 4)) for i, t in toks)
+        scores = []
         for head in (5, lm.HEAD):
-            got = rows_of(lm.score(df, head=head))
+            got = rows_of(lm.score(df, head=head, model_head=head))
+            scores.append(sorted((repr(r["doc_id"]), round(r["score"], 4)) for r in got))
             assert want == sorted((repr(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got)
+        assert scores[0] == scores[1]  # what is broadcast changes nothing
         out = [r for r in got if not r["held_out"]]  # on 200 documents a quarter of the held-out words are new
         if df is sample:
             assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
@@ -514,39 +518,74 @@ def test_lm_beats_its_unigram(spark):
     assert sum(r["score"] for r in rows) / n > sum(r["unigram_score"] for r in rows) / n + 0.02
 
 
-def test_contexts_of_tokens_are_distributions():
-    """Shares of all next tokens add up to 1 in every context, and are those of a plain tree."""
+def plain_contexts(texts, root, order, least, listed, gain):
+    """Retained contexts as tuples: (total, {token: count}), counted and tested one by one."""
+    counts = collections.defaultdict(collections.Counter)
+    for text in texts:
+        seq = [None, *text.split(), None]
+        for i in range(1, len(seq)):
+            for k in range(1, min(order, i) + 1):
+                counts[tuple(seq[i - k : i])][seq[i]] += 1
+    kept = {}
+    for s in sorted(counts, key=len):
+        total = sum(counts[s].values())
+        if total < least or (len(s) > 1 and s[1:] not in kept):
+            continue
+        own = {t: c for t, c in counts[s].items() if c >= listed and root["c"][t] >= least}
+        if sum(c * math.log(c / total / plain_follow(kept, root, s[1:], t)) for t, c in own.items()) >= gain:
+            kept[s] = (total, own)
+    return kept
+
+
+def plain_follow(kept, root, s, t):
+    if not s:
+        return root["share"][t]
+    lower = plain_follow(kept, root, s[1:], t)
+    if s not in kept:
+        return lower
+    total, own = kept[s]
+    return (own.get(t, 0) + (total - sum(own.values()) + lm.FOLLOW_SMOOTH) * lower) / (total + lm.FOLLOW_SMOOTH)
+
+
+def test_contexts_of_tokens_are_those_of_a_plain_tree(spark):
+    """Retained contexts and scores, whatever part of the model is broadcast; shares of all next tokens add up to 1."""
     rng = np.random.default_rng(3)
-    root = np.append(rng.dirichlet(np.ones(40)), 0.0)  # tokens 0 to 39 are listed, the last stands for all others
-    root[:40] *= 0.9
-    counts = {}
-    for _ in range(6000):
-        two, one = int(rng.integers(0, 6)), int(rng.integers(0, 6))
-        token = int(rng.choice(40, p=root[:40] / 0.9)) if one != two else (one + 1) % 40
-        for key in (one * lm.NEXT + token, (two * lm.CONTEXTS[1] + one) * lm.NEXT + token + lm._PAIRS):
-            counts[key] = counts.get(key, 0) + 1
-    totals = collections.Counter()
-    for key, c in counts.items():
-        totals[key // lm.NEXT] += c
-    keys, c = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
-    shares = np.zeros(lm.NEXT)
-    shares[:40], shares[-1] = root[:40], 1.0
-    follow = lm.Follow(keys, c, dict(totals), shares, lm.GAIN)
-    assert follow.kept[1].any()
-    tokens = np.arange(40)
-    for two in range(6):
-        for one in range(6):
-            ones, twos = np.full(41, one), np.full(41, two)
-            got = follow.shares(np.append(tokens, -1), ones, twos, np.append(root[:40], 1.0))
-            got[-1] *= 0.1  # the factor on what the root leaves to all other tokens
-            assert got.sum() == pytest.approx(1)
-            plain = root[:40].copy()
-            for k, context in ((0, one), (1, two * lm.CONTEXTS[1] + one)):
-                if follow.kept[k][context]:
-                    own = np.array([counts.get(context * lm.NEXT + t + k * lm._PAIRS, 0) for t in tokens])
-                    total = totals[(context * lm.NEXT + k * lm._PAIRS) // lm.NEXT]
-                    plain = (own + (total - own.sum() + lm.FOLLOW_SMOOTH) * plain) / (total + lm.FOLLOW_SMOOTH)
-            assert np.allclose(got[:40], plain)
+    vocabulary = [f"w{k}" for k in range(12)]
+
+    def text():
+        out = []
+        while rng.random() < 0.97 and len(out) < 60:
+            out.append("w5" if out[-2:] == ["w1", "w2"] else "w7" if out[-3:] == ["w3", "w5", "w4"] else vocabulary[min(11, int(rng.exponential(3)))])
+        return " ".join(out)
+
+    texts = [text() for _ in range(400)]
+    c = collections.Counter(x for t in texts for x in [*t.split(), None])
+    root = {"c": c, "share": {t: k / sum(c.values()) for t, k in c.items()}}
+    frame = spark.createDataFrame([(t, k, root["share"][t]) for t, k in c.items()], "word string, c long, share double")
+    want = plain_contexts(texts, root, 3, 20, 3, 3.0)
+    assert max(map(len, want)) == 3
+    for s in want:
+        assert sum(plain_follow(want, root, s, t) for t in c) == pytest.approx(1)
+    model = lm.follow(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), frame, 3, 20, 3, 3.0).toArrow()
+    assert model.num_rows == len(want) + sum(len(own) for _, own in want.values())
+    asked = texts[:20] + ["", "w1 w2 w5 q w1", "w3 w5 w4 w7"]
+    for split in (0, 30, 10**9):  # counts from which keys are broadcast
+        top = model.filter(pc.greater_equal(model["c"], split))
+        rest = model.filter(pc.less(model["c"], split))
+        others = bitmap(spark.createDataFrame([(k,) for k in rest["key"].to_pylist()], "key long"), 18)
+        follow = lm.Follow(top["key"].to_numpy(), top["value"].to_numpy(), 3, others)
+        values = dict(zip(rest["key"].to_pylist(), rest["value"].to_pylist(), strict=True))
+        for _, starts, tokens in lm._flat([t.encode() for t in asked]):
+            sums, places, keys = follow.logs(lm._hashes(tokens), starts)
+            np.add.at(sums, places, [values.get(k, 0.0) for k in keys.tolist()])
+        at = 0
+        for t in asked:
+            seq = [None, *t.split(), None]
+            for i in range(1, len(seq)):
+                if seq[i] in c:
+                    s = next((tuple(seq[i - k : i]) for k in (3, 2, 1) if k <= i and tuple(seq[i - k : i]) in want), ())
+                    assert sums[at] == pytest.approx(math.log10(plain_follow(want, root, s, seq[i]) / root["share"][seq[i]]))
+                at += 1
 
 
 def test_lm_is_a_distribution(spark):
