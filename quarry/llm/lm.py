@@ -349,6 +349,8 @@ def follow_counts(train: DataFrame, k: int, contexts, nexts, text: str = "text")
         def rows() -> pa.RecordBatch:
             context, token = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 2
             _, first, c = np.unique(_append(context, token), return_index=True, return_counts=True)
+            order = np.argsort(context[first], kind="stable")  # equal contexts side by side pack well in the shuffle
+            first, c = first[order], c[order]
             own = (token[first] & np.uint64(TOKEN)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(own), pa.array(c.astype(np.int64))], ["context", "token", "c"])
 
@@ -454,13 +456,13 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     del frequent
     c = F.coalesce("c", F.lit(0))
     share = (c + fresh * F.coalesce(F.pow(F.lit(10.0), "spelling"), F.lit(1.0))) / F.lit(n + fresh)
-    spelled = _spelling(words.where("word IS NOT NULL"), speller).select("word", "c", "spelling", F.lit(None).cast("double").alias("value"))
+    spelled = _spelling(words.where("word IS NOT NULL"), speller)
     model = follow(train, _spelling(words.where(F.col("c") >= LEAST), speller).withColumn("share", share), order)
     top = _head(model, model_head)
     others = model.where(F.col("c") < (pc.min(top["c"]).as_py() or 0)) if len(top) else model
     marks = bitmap(others.select("key"), bits_for(others.count(), 32))
     sent = spark.sparkContext.broadcast((counts, root, Follow(top["key"].to_numpy(), top["value"].to_numpy(), order, marks)))
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "unigram", "score", "word", "times"]
+    names, own_names = ["row", "key", "word", "times", "own"], ["doc_id", "held_out", "n_tokens", "known", "logs", "unigram", "score"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shares, follow = sent.value
@@ -472,34 +474,38 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
                 here, size = n >= 0, np.diff(starts, append=len(n))
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 plain = np.log10(np.where(here, shares[n], 1.0))
-                added, places, keys = follow.logs(_hashes(tokens), starts)
+                hashes = _hashes(tokens)
+                added, places, keys = follow.logs(hashes, starts)
                 rows = row[first : first + len(starts)]
-                # The document's own row has a word that no text has, so rows spread evenly and meet no count.
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), batch.column("doc_id").slice(first, len(starts)), batch.column("held_out").slice(first, len(starts)), pa.array(size), pa.array(sums((here & (known[n] > 0)).astype(np.int64))),
-                     pa.array(sums(np.where(here, logs[n], 0.0))), pa.array(sums(plain)), pa.array(sums(plain + added)), pa.array([f" {x}" for x in rows.tolist()], pa.string()), pa.array(np.zeros(len(rows), np.int64))], names)
+                own = pa.StructArray.from_arrays(
+                    [batch.column("doc_id").slice(first, len(starts)), batch.column("held_out").slice(first, len(starts)), pa.array(size), pa.array(sums((here & (known[n] > 0)).astype(np.int64))),
+                     pa.array(sums(np.where(here, logs[n], 0.0))), pa.array(sums(plain)), pa.array(sums(plain + added))], own_names)
+                # The document's own row has a word that no text has and a key of its own, so rows spread evenly and meet nothing.
+                alone = pa.array(mixed(rows.astype(np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), alone, pa.array([" "] * len(rows)), pa.array(np.zeros(len(rows), np.int64)), own], names)
                 of = np.repeat(rows, size)
                 rare = np.flatnonzero(~here)
                 times = Counter(zip(of[rare].tolist(), [tokens[k] for k in rare.tolist()], strict=True))
-                times.update(zip(of[places].tolist(), [b"\t%d" % k for k in keys.tolist()], strict=True))
                 if times:
-                    k, zeros = len(times), np.zeros(len(times), np.int64)
-                    of, asked = zip(*times, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(of, pa.int64()), pa.nulls(k, batch.column("doc_id").type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.array(zeros),
-                         *[pa.array(zeros.astype(np.float64))] * 3, pa.array(asked, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64())], names)
+                    which, words = zip(*times, strict=True)
+                    asked = pa.array(_hashes(words).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), asked, pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64()), pa.nulls(len(times), own.type)], names)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(of[places]), pa.array(keys), pa.nulls(len(keys), pa.string()), pa.array(np.ones(len(keys), np.int64)), pa.nulls(len(keys), own.type)], names)
 
     kind = dict(named.dtypes)["doc_id"]
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, unigram double, score double, word string, times long"
+    schema = f"row long, key long, word string, times long, own struct<doc_id:{kind}, held_out:boolean, n_tokens:bigint, known:bigint, logs:double, unigram:double, score:double>"
     read = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    # Keys of the model's rest stand among the words: no word begins with a tab.
-    asked = spelled.union(others.select(F.concat(F.lit("\t"), F.col("key").cast("string")), F.lit(None).cast("long"), F.lit(None).cast("double"), "value"))
-    met = read.mapInArrow(scan, schema).join(asked, "word", "left")
-    is_key = F.col("word").startswith("\t")
-    rare = F.when(~is_key, F.log10(share)).otherwise(0.0)
+    # Keys of the model's rest stand among the words, as rows without a word.
+    nothing = lambda kind: F.lit(None).cast(kind)
+    asked = spelled.select(F.xxhash64("word").alias("asked"), F.col("word").alias("spelt"), "c", "spelling", nothing("double").alias("value"))
+    asked = asked.union(others.select("key", nothing("string"), nothing("long"), nothing("double"), "value"))
+    met = read.mapInArrow(scan, schema).join(asked, (F.col("key") == F.col("asked")) & F.col("word").eqNullSafe(F.col("spelt")), "left")
+    rare = F.when(F.col("word").isNotNull(), F.log10(share)).otherwise(0.0)
+    plus = lambda name, more: F.sum(F.coalesce(F.col(f"own.{name}"), F.lit(0.0)) + F.col("times") * more).alias(name)
     each = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("logs").alias("logs"),
-        F.sum(F.col("unigram") + F.col("times") * rare).alias("unigram"), F.sum(F.col("score") + F.col("times") * (rare + F.coalesce("value", F.lit(0.0)))).alias("score"),
+        F.max("own.doc_id").alias("doc_id"), F.max("own.held_out").alias("held_out"), F.max("own.n_tokens").alias("n_tokens"), F.max("own.known").alias("known"), F.max("own.logs").alias("logs"),
+        plus("unigram", rare), plus("score", rare + F.coalesce("value", F.lit(0.0))),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("more_logs"))
     base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     return each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score"))
