@@ -139,6 +139,51 @@ def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
     return edges
 
 
+# ---------------------------------------------------------------- rows packed by bucket
+
+
+def bucket_bits(n: int) -> int:
+    """How many buckets n rows take, as an exponent: some 2 ** 17 rows each, 2 ** 20 buckets at most."""
+    return min(20, max(8, (n >> 17).bit_length()))
+
+
+def packed(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+    """(buckets, columns) of rows in order of their buckets: one row for each bucket, a column's values there as bytes.
+
+    What is shuffled is then a few large rows, not many small ones.
+    """
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1])))
+    ends = np.append(first, len(bucket))
+    size = lambda c: c.nbytes // max(1, len(c))
+    bytes_of = lambda c: [None, pa.py_buffer((ends * size(c)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]
+    return bucket[first], [pa.Array.from_buffers(pa.binary(), len(first), bytes_of(c)) for c in columns]
+
+
+def unpacked(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """The values of a packed column, end to end."""
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype)
+
+
+def low_bytes(values: np.ndarray, size: int) -> np.ndarray:
+    """The low ``size`` bytes of 64-bit values."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
+
+
+def from_low_bytes(raw: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+def run_starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows that agree in all columns begin, of rows in order."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import arrow_texts, bitmap, bits_for, in_bitmap, materialise, mixed
+from .common import arrow_texts, bitmap, bits_for, bucket_bits, from_low_bytes, in_bitmap, low_bytes, materialise, mixed, packed, run_starts, runs, unpacked
 
 DEPTH = 7
 OPEN, CLOSE, END = "\x01", "\x02", "\x03"
@@ -60,7 +60,11 @@ TOKEN = (1 << 40) - 1
 HEAD = 200_000
 MODEL_HEAD = 1_000_000
 FLUSH = 500_000
-CHUNK = 100_000
+#: Contexts with more than this part of all tokens are cut; there are at most as many.
+HOT = 1024
+FLUSHED = 4_000_000
+#: Each text has a token at least, so a group of texts has no more texts than fit two bytes.
+CHUNK = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -339,36 +343,64 @@ def _before(hashes: np.ndarray, starts: np.ndarray, at: np.ndarray, k: int) -> t
     return at, keys
 
 
-def follow_counts(train: DataFrame, k: int, contexts, nexts, text: str = "text") -> DataFrame:
-    """(context, token, c): how often a token follows a context of k tokens, of contexts and tokens in these (broadcast) bitmaps."""
+def _bucket(context: np.ndarray, token: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    """Contexts stay whole in a bucket, but for the hot ones (in order), which are cut by 64 parts of their next tokens."""
+    part = np.zeros(len(context), np.uint64)
+    if len(hot):
+        known = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
+        part[known] = (token[known] & np.uint64(63)) + np.uint64(1)
+    return (mixed(context + part) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+
+
+def follow_counts(train: DataFrame, k: int, contexts, nexts, hot: np.ndarray, bits: int, listed: int, text: str = "text") -> DataFrame:
+    """(context, token, key, c): how often a token follows a context of k tokens, if ``listed`` times, of contexts and tokens in these (broadcast) bitmaps.
+
+    Counts of a task travel packed in 2 ** bits buckets and are summed bucket by bucket.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
-            context, token = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 2
-            _, first, c = np.unique(_append(context, token), return_index=True, return_counts=True)
-            order = np.argsort(context[first], kind="stable")  # equal contexts side by side pack well in the shuffle
-            first, c = first[order], c[order]
-            own = (token[first] & np.uint64(TOKEN)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(own), pa.array(c.astype(np.int64))], ["context", "token", "c"])
+            context, token = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = _bucket(context, token, hot, bits)
+            order = np.lexsort((token, context, bucket))
+            context, token, bucket = context[order], token[order], bucket[order]
+            first = run_starts(context, token)
+            c = np.diff(first, append=len(context)).astype(np.uint32)
+            buckets, columns = packed(bucket[first], [context[first], low_bytes(token[first], 5), c])
+            return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), *columns], ["bucket", "context", "token", "c"])
 
         for batch in batches:
             for _, starts, tokens in _flat(arrow_texts(batch)):
                 hashes = _hashes(tokens)
                 at, keys = _before(hashes, starts, np.flatnonzero(in_bitmap(nexts.value, hashes)), k)
                 known = in_bitmap(contexts.value, keys)
-                held.append((keys[known], hashes[at[known]]))
+                held.append((keys[known], hashes[at[known]] & np.uint64(TOKEN)))
                 size += len(held[-1][0])
-                if size > 4_000_000:
+                if size > FLUSHED:
                     yield rows()
                     held.clear()
                     size = 0
-        yield rows()
-
-    counted = train.select(F.col(text).alias("text")).mapInArrow(scan, "context long, token long, c long")
-    return counted.groupBy("context", "token").agg(F.sum("c").alias("c"))
+        if size:
+            yield rows()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in runs(batches, "bucket"):
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                part = table.slice(a, b - a)
+                context, token = unpacked(part.column("context"), np.uint64), from_low_bytes(unpacked(part.column("token"), np.uint8), 5)
+                order = np.lexsort((token, context))
+                context, token = context[order], token[order]
+                first = run_starts(context, token)
+                c = np.add.reduceat(unpacked(part.column("c"), np.uint32)[order].astype(np.int64), first)
+                first, c = first[c >= listed], c[c >= listed]
+                context, token = context[first], token[first]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (context, token, _append(context, token))), pa.array(c)], ["context", "token", "key", "c"])
+
+    blocks = train.select(F.col(text).alias("text")).mapInArrow(scan, "bucket int, context binary, token binary, c binary")
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "context long, token long, key long, c long")
 
 
 def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int = LEAST, listed: int = LISTED, gain: float = GAIN) -> DataFrame:
@@ -381,7 +413,8 @@ def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int
     spark = train.sparkSession
     own = unigrams.where(F.col("c") >= least).select(F.xxhash64(F.coalesce("word", F.lit(""))).alias("h"), "c", "share")
     nexts = materialise(own)
-    passed = spark.sparkContext.broadcast(bitmap(nexts.select("h"), bits_for(nexts.count(), 32)))
+    size, n = nexts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    passed = spark.sparkContext.broadcast(bitmap(nexts.select("h"), bits_for(size, 32)))
     # Words that agree in the 40 bits of a token count as one there.
     tokens = nexts.groupBy(F.col("h").bitwiseAND(F.lit(TOKEN)).alias("token")).agg(F.sum("c").alias("total"), F.min("share").alias("lower"))
     level = materialise(tokens.select(_appended(F.lit(0).cast("long"), "token").alias("context"), F.lit(0).cast("long").alias("suffix"), "total", "lower"))
@@ -393,9 +426,9 @@ def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int
         if not size:
             break
         allowed = spark.sparkContext.broadcast(bitmap(contexts.select("context"), bits_for(size, 32)))
-        counted = materialise(follow_counts(train, k, allowed, passed).where(F.col("c") >= listed))
-        grams = counted.join(contexts, "context").withColumn("parent", _appended("suffix", "token")).join(lower, "parent")
-        grams = materialise(grams.withColumn("key", _appended("context", "token")))
+        hot = np.sort(np.array([r[0] for r in contexts.where(F.col("total") > n / HOT).select("context").collect()], np.int64).view(np.uint64))
+        counted = follow_counts(train, k, allowed, passed, hot, bucket_bits(n), listed)
+        grams = materialise(counted.join(contexts, "context").withColumn("parent", _appended("suffix", "token")).join(lower, "parent"))
         sums = grams.groupBy("context", "total").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c") / F.col("total") / F.col("lower"))).alias("gain"))
         rest = F.col("total") - F.col("all") + FOLLOW_SMOOTH
         kept = materialise(sums.where(F.col("gain") >= gain).select("context", "total", rest.alias("rest"), F.log10(rest / (F.col("total") + FOLLOW_SMOOTH)).alias("leaves")))
@@ -448,64 +481,133 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     n, v, ends, once = words.where("c > 0").agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("word").isNull(), F.col("c"))), F.count(F.when(F.col("c") == 1, 1))).first()
     n, ends, fresh = n or 0, ends or 0, float(max(1, once))
     speller = Speller(grow(words.where("c > 0").select("word", F.lit(1).cast("long").alias("c"))))  # unseen words are like different words, not like frequent ones
-    frequent = _head(words.where("word IS NOT NULL AND c > 0"), head).to_pandas().sort_values(["c", "word"], ascending=[False, True])
+    known_words = words.where("word IS NOT NULL")
+    top_words = _head(known_words.where("c > 0"), head)
+    rare = known_words.where(F.col("c") < (pc.min(top_words["c"]).as_py() or 0)) if len(top_words) else known_words
+    # Rare words are asked for by their hashes; should two of all words share one, they count among the head.
+    shared = [r[0] for r in known_words.groupBy(F.xxhash64("word").alias("h")).agg(F.count("*").alias("k")).where("k > 1").collect()]
+    frequent = pa.concat_tables([top_words, *([rare.where(F.xxhash64("word").isin(shared)).toArrow()] if shared else [])]).to_pandas()
     ids = spark.sparkContext.broadcast({b"": 0, **{w.encode(): k + 1 for k, w in enumerate(frequent["word"])}})
     counts = np.append(float(ends), frequent["c"].to_numpy(np.float64))
     spelt = speller.logs([None, *frequent["word"]])
     root = (counts + fresh * 10**spelt) / (n + fresh)
-    del frequent
-    c = F.coalesce("c", F.lit(0))
-    share = (c + fresh * F.coalesce(F.pow(F.lit(10.0), "spelling"), F.lit(1.0))) / F.lit(n + fresh)
-    spelled = _spelling(words.where("word IS NOT NULL"), speller)
+    del frequent, top_words
+    share = (F.col("c") + fresh * F.pow(F.lit(10.0), "spelling")) / F.lit(n + fresh)
     model = follow(train, _spelling(words.where(F.col("c") >= LEAST), speller).withColumn("share", share), order)
     top = _head(model, model_head)
     others = model.where(F.col("c") < (pc.min(top["c"]).as_py() or 0)) if len(top) else model
     marks = bitmap(others.select("key"), bits_for(others.count(), 32))
     sent = spark.sparkContext.broadcast((counts, root, Follow(top["key"].to_numpy(), top["value"].to_numpy(), order, marks)))
-    names, own_names = ["row", "key", "word", "times", "own"], ["doc_id", "held_out", "n_tokens", "known", "logs", "unigram", "score"]
+    bits = bucket_bits(n)
+    kind = dict(named.dtypes)["doc_id"]
+    own_type = f"struct<doc_id:{kind}, held_out:boolean, n_tokens:bigint, known:bigint, logs:double, unigram:double, score:double>"
+    own_names = ["doc_id", "held_out", "n_tokens", "known", "logs", "unigram", "score"]
+    names = ["bucket", "side", "keys", "first", "second", "row", "own"]
+
+    def block(side: int, word: np.ndarray, key: np.ndarray, columns: list[np.ndarray], base: int, own: pa.DataType) -> pa.RecordBatch:
+        """Rows packed by bucket: the top bits of the key, words after the model's keys. Seven bytes of a key are left to say."""
+        bucket = (key >> np.uint64(64 - bits)).astype(np.int32) + (word.astype(np.int32) << bits)
+        buckets, packs = packed(bucket, [low_bytes(key, 7), *columns])
+        return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(buckets), side, np.int32)), *packs, pa.array(np.full(len(buckets), base, np.int64)), pa.nulls(len(buckets), own)], names)
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, word = batch.column("key").to_numpy().view(np.uint64), batch.column("word").to_numpy(zero_copy_only=False)
+            order = np.lexsort((key, word))
+            columns = [batch.column("value").to_numpy()[order], batch.column("c").to_numpy()[order]]
+            yield block(0, word[order], key[order], columns, 0, batch.column("own").type)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shares, follow = sent.value
         logs = np.log10(known + 1)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, base = 0, 0
+
+        def asked(own: pa.DataType) -> pa.RecordBatch:
+            word, key, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((row, key, word))
+            word, key, row = word[order], key[order], row[order]
+            first = run_starts(word, key, row)
+            times = np.diff(first, append=len(row)).astype(np.uint32)
+            return block(1, word[first], key[first], [(row[first] - base).astype(np.uint16), times], base, own)
+
         for batch in batches:
             row = batch.column("row").to_numpy()
             for first, starts, tokens in _flat(arrow_texts(batch)):
                 n = np.fromiter(map(ids.value.get, tokens, repeat(-1)), np.int64, len(tokens))
-                here, size = n >= 0, np.diff(starts, append=len(n))
+                here, length = n >= 0, np.diff(starts, append=len(n))
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 plain = np.log10(np.where(here, shares[n], 1.0))
                 hashes = _hashes(tokens)
                 added, places, keys = follow.logs(hashes, starts)
                 rows = row[first : first + len(starts)]
                 own = pa.StructArray.from_arrays(
-                    [batch.column("doc_id").slice(first, len(starts)), batch.column("held_out").slice(first, len(starts)), pa.array(size), pa.array(sums((here & (known[n] > 0)).astype(np.int64))),
+                    [batch.column("doc_id").slice(first, len(starts)), batch.column("held_out").slice(first, len(starts)), pa.array(length), pa.array(sums((here & (known[n] > 0)).astype(np.int64))),
                      pa.array(sums(np.where(here, logs[n], 0.0))), pa.array(sums(plain)), pa.array(sums(plain + added))], own_names)
-                # The document's own row has a word that no text has and a key of its own, so rows spread evenly and meet nothing.
-                alone = pa.array(mixed(rows.astype(np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), alone, pa.array([" "] * len(rows)), pa.array(np.zeros(len(rows), np.int64)), own], names)
-                of = np.repeat(rows, size)
-                rare = np.flatnonzero(~here)
-                times = Counter(zip(of[rare].tolist(), [tokens[k] for k in rare.tolist()], strict=True))
-                if times:
-                    which, words = zip(*times, strict=True)
-                    asked = pa.array(_hashes(words).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), asked, pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64()), pa.nulls(len(times), own.type)], names)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(of[places]), pa.array(keys), pa.nulls(len(keys), pa.string()), pa.array(np.ones(len(keys), np.int64)), pa.nulls(len(keys), own.type)], names)
+                # The document's own row meets nothing.
+                spread = (mixed(rows.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+                nothing = pa.nulls(len(rows), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.full(len(rows), 2, np.int32)), nothing, nothing, nothing, pa.array(rows), own], names)
+                if held and (size > FLUSHED or rows[-1] - base >= 1 << 16):
+                    yield asked(own.type)
+                    held.clear()
+                    size = 0
+                of, rare = np.repeat(rows, length), np.flatnonzero(~here)
+                base = base if held else int(rows[0])
+                word = np.arange(len(rare) + len(keys)) < len(rare)
+                held.append((word, np.concatenate((hashes[rare], keys.view(np.uint64))), of[np.concatenate((rare, places))]))
+                size += len(word)
+        if held:
+            yield asked(own.type)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        out = ["row", "unigram", "score", "more", "more_logs", "own"]
+
+        def sums(own: pa.DataType) -> pa.RecordBatch:
+            row, *added = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows, at = np.unique(row, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.bincount(at, x, len(rows))) for x in added), pa.nulls(len(rows), own)], out)
+
+        for table, starts in runs(batches, "bucket"):
+            side, kind = table.column("side").to_numpy(), table.schema.field("own").type
+            alone = table.filter(pa.array(side == 2)).combine_chunks()
+            zeros = pa.array(np.zeros(alone.num_rows))
+            for own in alone.select(["row", "own"]).to_batches():
+                yield pa.RecordBatch.from_arrays([own.column("row"), *[zeros.slice(0, own.num_rows)] * 4, own.column("own")], out)
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                part, own_side = table.slice(a, b - a), side[a:b]
+                given, asked = (part.filter(pa.array(own_side == k)) for k in (0, 1))
+                if not given.num_rows or not asked.num_rows:
+                    continue
+                keys, mine = (from_low_bytes(unpacked(x.column("keys"), np.uint8), 7) for x in (given, asked))
+                order = np.argsort(keys)
+                keys, value, c = keys[order], unpacked(given.column("first"), np.float64)[order], unpacked(given.column("second"), np.int64)[order]
+                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                hit = keys[at] == mine
+                at = at[hit]
+                each = [len(x) // 7 for x in asked.column("keys").to_pylist()]
+                row = (np.repeat(asked.column("row").to_numpy(), each) + unpacked(asked.column("first"), np.uint16))[hit]
+                times = unpacked(asked.column("second"), np.uint32)[hit].astype(np.float64)
+                word = float(part.column("bucket")[0].as_py() >> bits)
+                score = times * value[at]
+                held.append((row, word * score, score, word * times * (c[at] > 0), word * times * np.log10(c[at] + 1.0)))
+                size += len(row)
+                if size > FLUSHED:
+                    yield sums(kind)
+                    held.clear()
+                    size = 0
+        if held:
+            yield sums(kind)
 
-    kind = dict(named.dtypes)["doc_id"]
-    schema = f"row long, key long, word string, times long, own struct<doc_id:{kind}, held_out:boolean, n_tokens:bigint, known:bigint, logs:double, unigram:double, score:double>"
+    schema = f"bucket int, side int, keys binary, first binary, second binary, row long, own {own_type}"
     read = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    # Keys of the model's rest stand among the words, as rows without a word.
-    nothing = lambda kind: F.lit(None).cast(kind)
-    asked = spelled.select(F.xxhash64("word").alias("asked"), F.col("word").alias("spelt"), "c", "spelling", nothing("double").alias("value"))
-    asked = asked.union(others.select("key", nothing("string"), nothing("long"), nothing("double"), "value"))
-    met = read.mapInArrow(scan, schema).join(asked, (F.col("key") == F.col("asked")) & F.col("word").eqNullSafe(F.col("spelt")), "left")
-    rare = F.when(F.col("word").isNotNull(), F.log10(share)).otherwise(0.0)
-    plus = lambda name, more: F.sum(F.coalesce(F.col(f"own.{name}"), F.lit(0.0)) + F.col("times") * more).alias(name)
-    each = met.groupBy("row").agg(
-        F.max("own.doc_id").alias("doc_id"), F.max("own.held_out").alias("held_out"), F.max("own.n_tokens").alias("n_tokens"), F.max("own.known").alias("known"), F.max("own.logs").alias("logs"),
-        plus("unigram", rare), plus("score", rare + F.coalesce("value", F.lit(0.0))),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 1)).alias("more_logs"))
+    no_own = F.lit(None).cast(own_type).alias("own")
+    said = _spelling(rare, speller).select(F.xxhash64("word").alias("key"), F.lit(True).alias("word"), F.log10(share).alias("value"), "c", no_own)
+    said = said.union(others.select("key", F.lit(False), "value", "c", no_own)).mapInArrow(answers, schema)
+    met = read.mapInArrow(scan, schema).union(said).repartition("bucket").sortWithinPartitions("bucket")
+    each = met.mapInArrow(meet, f"row long, unigram double, score double, more double, more_logs double, own {own_type}").groupBy("row").agg(
+        *[F.max(f"own.{x}").alias(x) for x in own_names[:5]], *[(F.sum(x) + F.max(f"own.{x}")).alias(x) for x in ("unigram", "score")], F.sum("more").cast("long").alias("more"), F.sum("more_logs").alias("more_logs"))
     base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     return each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score"))
