@@ -42,3 +42,12 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the tables of the session that df reads. Only for tables that nothing, made before or after, will read again."""
+    sc, own = df.sparkSession.sparkContext, _own_folder(df.sparkSession)
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if folder.rsplit("/", 1)[0].endswith(own.rsplit("/", 1)[1]):
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
