@@ -62,7 +62,7 @@ MODEL_HEAD = 1_000_000
 FLUSH = 500_000
 #: Contexts with more than this part of all tokens are cut; there are at most as many.
 HOT = 1024
-FLUSHED = 4_000_000
+FLUSHED = 1 << 20
 #: Each text has a token at least, so a group of texts has no more texts than fit two bytes.
 CHUNK = 1 << 16
 
