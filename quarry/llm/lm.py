@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import arrow_texts, bitmap, bits_for, bucket_bits, from_low_bytes, in_bitmap, low_bytes, materialise, mixed, packed, run_starts, runs, unpacked
+from ..sources.scratch import discard
 
 DEPTH = 7
 OPEN, CLOSE, END = "\x01", "\x02", "\x03"
@@ -269,16 +270,29 @@ def _windows(words: DataFrame, depth: int) -> DataFrame:
 
 
 def grow(words: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN) -> Tree:
-    """The tree from word counts. At most depth / least_share next-symbol counts a level reach the driver."""
+    """The tree from word counts, level by level. At most depth / least_share next-symbol counts reach the driver, and 1 / least_share contexts a level the executors.
+
+    A context occurs as often as its last symbol follows the rest of it, so a level's counts say which contexts the next one has.
+    """
+    spark = words.sparkSession
     windows = materialise(_windows(words, depth))
     total = windows.agg(F.sum("c")).first()[0] or 0
     least = max(2.0, least_share * total)
-    levels = F.explode(F.sequence(F.lit(0), F.length("context")))
-    short = windows.select("context", "symbol", "c", levels.alias("k")).select(F.substring(F.col("context"), F.length("context") - F.col("k") + 1, F.col("k")).alias("context"), "symbol", "c")
-    counts = short.groupBy("context", "symbol").agg(F.sum("c").alias("c"))
-    sums = counts.groupBy("context").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") >= least, F.col("c")).otherwise(0)).alias("listed"), F.collect_list(F.when(F.col("c") >= least, F.struct("symbol", "c"))).alias("nexts"))
-    tall = sums.where((F.col("total") >= least) | (F.col("context") == "")).toPandas()
-    nodes = {c: (int(t), {"": int(n), **{x["symbol"]: int(x["c"]) for x in nexts}}) for c, t, n, nexts in tall.itertuples(index=False)}
+    seen = F.col("c") >= least
+    nodes: dict[str, tuple[int, dict[str, int]]] = {}
+    level = [""]
+    for k in range(depth + 1):
+        tall = spark.createDataFrame(pa.table({"context": pa.array(level, pa.string())}))
+        ends = windows.where(F.length("context") >= k).select(F.substring(F.col("context"), F.length("context") - k + 1, F.lit(k)).alias("context"), "symbol", "c")
+        counts = ends.join(F.broadcast(tall), "context", "left_semi").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
+        sums = counts.groupBy("context").agg(F.sum("c").alias("total"), F.sum(F.when(seen, F.col("c")).otherwise(0)).alias("listed"), F.collect_list(F.when(seen, F.struct("symbol", "c"))).alias("nexts"))
+        found = sums.where((F.col("total") >= least) | (F.col("context") == "")).toPandas()
+        here = {c: (int(t), {"": int(n), **{x["symbol"]: int(x["c"]) for x in nexts}}) for c, t, n, nexts in found.itertuples(index=False)}
+        nodes |= here
+        level = [c + s for c, (_, nexts) in here.items() for s in nexts if s and s not in (CLOSE, END)] + [OPEN] * (k == 0)
+        if not level:
+            break
+    discard(windows)
     return Tree(_retained(nodes, gain))
 
 
@@ -438,6 +452,7 @@ def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int
         longer = grams.where((F.col("c") >= least) & (F.col("token") != end)).select(F.col("key").alias("context"), F.col("parent").alias("suffix"), F.col("c").alias("total"))
         contexts = materialise(longer.join(kept.select(F.col("context").alias("suffix")), "suffix", "left_semi").select("context", "suffix", "total"))
         lower = shares.select(F.col("key").alias("parent"), F.col("share").alias("lower"))
+        discard(grams)
     return materialise(model)
 
 
