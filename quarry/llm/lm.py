@@ -513,7 +513,7 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     others = model.where(F.col("c") < (pc.min(top["c"]).as_py() or 0)) if len(top) else model
     marks = bitmap(others.select("key"), bits_for(others.count(), 32))
     sent = spark.sparkContext.broadcast((counts, root, Follow(top["key"].to_numpy(), top["value"].to_numpy(), order, marks)))
-    bits = bucket_bits(n)
+    sent_speller, bits = spark.sparkContext.broadcast(speller), bucket_bits(n)
     kind = dict(named.dtypes)["doc_id"]
     own_type = f"struct<doc_id:{kind}, held_out:boolean, n_tokens:bigint, known:bigint, logs:double, unigram:double, score:double>"
     own_names = ["doc_id", "held_out", "n_tokens", "known", "logs", "unigram", "score"]
@@ -526,11 +526,13 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
         return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(buckets), side, np.int32)), *packs, pa.array(np.full(len(buckets), base, np.int64)), pa.nulls(len(buckets), own)], names)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spells rare words here, not in a task of its own before, which would keep a second Python worker."""
         for batch in batches:
-            key, word = batch.column("key").to_numpy().view(np.uint64), batch.column("word").to_numpy(zero_copy_only=False)
+            key, word = batch.column("key").to_numpy().view(np.uint64), batch.column("spelt").is_valid().to_numpy(zero_copy_only=False)
+            c, value = batch.column("c").to_numpy(), np.array(batch.column("value"))
+            value[word] = np.log10((c[word] + fresh * 10 ** sent_speller.value.logs(batch.column("spelt").drop_null().to_pylist())) / (n + fresh))
             order = np.lexsort((key, word))
-            columns = [batch.column("value").to_numpy()[order], batch.column("c").to_numpy()[order]]
-            yield block(0, word[order], key[order], columns, 0, batch.column("own").type)
+            yield block(0, word[order], key[order], [value[order], c[order]], 0, batch.column("own").type)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shares, follow = sent.value
@@ -619,8 +621,8 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     schema = f"bucket int, side int, keys binary, first binary, second binary, row long, own {own_type}"
     read = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     no_own = F.lit(None).cast(own_type).alias("own")
-    said = _spelling(rare, speller).select(F.xxhash64("word").alias("key"), F.lit(True).alias("word"), F.log10(share).alias("value"), "c", no_own)
-    said = said.union(others.select("key", F.lit(False), "value", "c", no_own)).mapInArrow(answers, schema)
+    said = rare.select(F.xxhash64("word").alias("key"), F.col("word").alias("spelt"), F.lit(0.0).alias("value"), "c", no_own)
+    said = said.union(others.select("key", F.lit(None).cast("string"), "value", "c", no_own)).mapInArrow(answers, schema)
     met = read.mapInArrow(scan, schema).union(said).repartition("bucket").sortWithinPartitions("bucket")
     each = met.mapInArrow(meet, f"row long, unigram double, score double, more double, more_logs double, own {own_type}").groupBy("row").agg(
         *[F.max(f"own.{x}").alias(x) for x in own_names[:5]], *[(F.sum(x) + F.max(f"own.{x}")).alias(x) for x in ("unigram", "score")], F.sum("more").cast("long").alias("more"), F.sum("more_logs").alias("more_logs"))
