@@ -60,7 +60,7 @@ FOLLOW_SMOOTH = 50.0
 TOKEN = (1 << 40) - 1
 HEAD = 200_000
 MODEL_HEAD = 1_000_000
-FLUSH = 500_000
+FLUSH = 250_000
 #: Contexts with more than this part of all tokens are cut; there are at most as many.
 HOT = 1024
 FLUSHED = 1 << 20
