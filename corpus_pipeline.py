@@ -48,7 +48,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Expectation-maximisation, 64-bit fingerprints and hypergeometric draws have no SQL form. The operators are tested one by one; run() itself has no plain counterpart yet.
+#: Expectation-maximisation, 64-bit fingerprints and hypergeometric draws have no SQL form. run() is tested beside a plain version in tests/llm/test_queries.py.
 ORACLE_SQL = None
 
 
