@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, lm, mixing, paragraphs, quality, sharding, simhash, tokens, urls
+from . import chat, decontaminate, divergence, lm, mixing, paragraphs, quality, sharding, simhash, suffixes, tokens, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
