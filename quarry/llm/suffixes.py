@@ -72,7 +72,8 @@ class Block(NamedTuple):
     h: np.ndarray
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], length: int, most: int, reach: int) -> Iterator[Block]:
+    """Blocks of ``most`` bytes, of texts cut into pieces of ``reach`` bytes."""
     parts, size, doc, at, ords, hs, total = [], [], [], [], [], [], 0
 
     def block() -> Block:
@@ -84,8 +85,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Block]:
             if len(text) < length:
                 continue
             first = True
-            for start in range(0, len(text) - length + 1, PIECE):
-                if total > BLOCK:
+            for start in range(0, len(text) - length + 1, reach):
+                if total > most:
                     yield block()
                     parts, size, doc, at, ords, hs, total = [], [], [], [], [], [], 0
                     first = True
@@ -93,7 +94,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Block]:
                     ords.append(order)
                     hs.append(h)
                     first = False
-                parts.append(text[start : start + PIECE + length - 1])
+                parts.append(text[start : start + reach + length - 1])
                 size.append(len(parts[-1]))
                 doc.append(len(ords) - 1)
                 at.append(start)
@@ -179,16 +180,16 @@ _NAME, _KEPT = 48, 5
 _MANY, _SEVERAL = 32767, 32768
 
 
-def _count(texts: DataFrame, length: int) -> DataFrame:
+def _count(texts: DataFrame, length: int, block: int, piece: int) -> DataFrame:
     """(value, n) of the names that may recur across documents: top _NAME bits and occurrences. Cutting the hash only lets more names pass."""
     bits = min(20, max(8, (4 * texts.rdd.getNumPartitions()).bit_length()))  # some two million names each where a partition has 128 MB
     rest = np.uint64(_NAME - bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, length):
-            name, first, _ = _runs(block, length)
+        for texts_ in _blocks(batches, length, block, piece):
+            name, first, _ = _runs(texts_, length)
             order = np.argsort(name)
-            own = block.ord[block.doc[_docs_of(block, first[order])]]
+            own = texts_.ord[texts_.doc[_docs_of(texts_, first[order])]]
             name = name[order] >> np.uint64(64 - _NAME)
             start = np.flatnonzero(np.append(np.ones(min(1, len(name)), bool), name[1:] != name[:-1]))
             if not len(start):
@@ -266,15 +267,15 @@ _CUT = "block long, bucket int, bwt binary, frags binary, low binary, docs binar
 _NAMES = [c.split()[0] for c in _CUT.split(", ")]
 
 
-def _cut(texts: DataFrame, picked: np.ndarray, hot: np.ndarray, bits: int, length: int) -> DataFrame:
+def _cut(texts: DataFrame, picked: np.ndarray, hot: np.ndarray, bits: int, length: int, block: int, piece: int) -> DataFrame:
     """Rows of two kinds: shards (bucket, bwt, and by string the run's number in the block and its least document), and a block's places (bucket -1)."""
     sent = texts.sparkSession.sparkContext.broadcast((picked, hot))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, famous = sent.value
         at = TaskContext.get().partitionId() << 32
-        for k, block in enumerate(_blocks(batches, length)):
-            name, first, count = _runs(block, length)
+        for k, texts_ in enumerate(_blocks(batches, length, block, piece)):
+            name, first, count = _runs(texts_, length)
             some = in_bitmap(marks, name)
             name, first, count = name[some], first[some], count[some]
             many = in_bitmap(famous, name)
@@ -283,8 +284,8 @@ def _cut(texts: DataFrame, picked: np.ndarray, hot: np.ndarray, bits: int, lengt
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 name, first, count, single = (np.repeat(x, n) for x in (name, first, count, many))
                 first, count = first + place, np.where(single, 1, count)
-                name[single] = string_hashes(block.raw, first[single], length)
-            yield from _block_rows(at + k, block, (name >> np.uint64(64 - bits)).astype(np.int64), first, count, length)
+                name[single] = string_hashes(texts_.raw, first[single], length)
+            yield from _block_rows(at + k, texts_, (name >> np.uint64(64 - bits)).astype(np.int64), first, count, length)
 
     return materialise(texts.mapInArrow(scan, _CUT))
 
@@ -468,15 +469,15 @@ def _ordered(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     return rows.select("id", F.coalesce(place, F.lit(int(LAST))).alias("ord"), F.xxhash64("text").alias("h"), "text")
 
 
-def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH, hot: int = HOT, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """(id, text, spans): every row of docs, with lists of the byte spans that go, as pairs of longs in bytes (null: none)."""
     texts = _ordered(docs, text, id_column)
     scan = texts.select("ord", "h", "text")
-    names = _count(scan, length)
+    names = _count(scan, length, block, piece)
     n, most = names.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = min(20, max(4, (most * (length + (length - MARK) // 2) // BUCKET).bit_length()))
     famous = names.where(F.col("n") >= hot)
-    cut = _cut(scan, bitmap(names, bits_for(n, 32)), bitmap(famous, bits_for(famous.count())), bits, length)
+    cut = _cut(scan, bitmap(names, bits_for(n, 32)), bitmap(famous, bits_for(famous.count())), bits, length, block, piece)
     shards = cut.where("bucket >= 0").select("block", "bucket", "bwt", "frags", "low").repartition("bucket").sortWithinPartitions("bucket")
     found = shards.mapInArrow(_merge(length), "block long, found binary")
     places = cut.where("bucket < 0").drop("bucket", "bwt")
@@ -493,14 +494,14 @@ def spans_of(packed_spans: list[bytes] | None) -> np.ndarray:
     return np.column_stack((begin, end))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH, hot: int = HOT, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of every row: spans are [begin, end) bytes, kept is what is left of the text, as bytes."""
-    return _results(repeats(docs, text, id_column, length, hot), id_column, True)
+    return _results(repeats(docs, text, id_column, length, hot, block, piece), id_column, True)
 
 
-def digest(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def digest(docs: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = LENGTH, hot: int = HOT, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """``deduplicate`` without spans and texts."""
-    return _results(repeats(docs, text, id_column, length, hot), id_column, False)
+    return _results(repeats(docs, text, id_column, length, hot, block, piece), id_column, False)
 
 
 def _results(rows: DataFrame, id_column: str, texts: bool) -> DataFrame:
