@@ -124,18 +124,19 @@ def _unmatched(docs: DataFrame, hits: DataFrame, questions: DataFrame, top: int)
     return free.join(numbered, "n").select("qid", "doc_id", F.lit(0.0).alias("score"))
 
 
-def number(rows: DataFrame, column: str, ranges: int = 4096) -> DataFrame:
-    """rows with n, counting from 0 in the order of a column of different integers.
+def number(rows: DataFrame, column: str) -> DataFrame:
+    """rows with n, counting from 0 in the order of a column of different values of any ordered type; nulls first.
 
-    The column's span is cut into ranges, which are counted and numbered one by one; no window holds all rows.
+    Spark samples the column for the bounds of its ranges, so neither outliers nor wide, text or
+    hashed ids crowd one. Rows are numbered inside their range, ranges by their counts: one
+    row a range meets in a window, never the rows themselves.
     """
-    ends = rows.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    cell = F.floor((F.col(column) - F.col("_lo")) / F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(ranges))))
-    placed = rows.join(F.broadcast(ends)).withColumn("_cell", cell).drop("_lo", "_hi")
-    counts = placed.groupBy("_cell").agg(F.count("*").alias("_in"))
-    counts = counts.withColumn("_before", F.sum("_in").over(W.partitionBy(F.lit(1)).orderBy("_cell")) - F.col("_in"))  # one row a range
-    inside = F.row_number().over(W.partitionBy("_cell").orderBy(column)) - 1
-    return placed.withColumn("_k", inside).join(F.broadcast(counts), "_cell").withColumn("n", F.col("_before") + F.col("_k")).drop("_cell", "_k", "_in", "_before")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place in the partition
+    placed = materialise(rows.repartitionByRange(parts, column).sortWithinPartitions(column).withColumns({"_range": F.spark_partition_id(), "_k": own}))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_in"))
+    counts = counts.select("_range", (F.sum("_in").over(W.partitionBy(F.lit(1)).orderBy("_range")) - F.col("_in")).alias("_before"))
+    return placed.join(F.broadcast(counts), "_range").withColumn("n", F.col("_before") + F.col("_k")).drop("_range", "_k", "_before")
 
 
 def bm25_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
