@@ -37,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder(spark)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
