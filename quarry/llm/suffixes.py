@@ -8,21 +8,22 @@ smaller id. Which strings repeat is read from the intervals of a merged suffix o
    strings have equal names, so a run whose name occurs in one document only holds no
    repeat. Names are counted by packed rows; those that recur become a bitmap of 16 MB at
    most, by which the second scan picks its runs. A full bitmap costs time, not results.
-2. *Shards.* A task cuts its texts into blocks of BLOCK bytes. The picked runs of a block,
+2. *Buckets.* A task cuts its texts into blocks of BLOCK bytes. The picked runs of a block,
    each different one once, go to buckets by name: all places of a repeated string meet in
-   one bucket. The runs of a block in a bucket are a shard, whose Burrows-Wheeler transform
-   is built there (rotations, sorted by doubling). Only transforms travel.
-3. *Merge.* A bucket's transforms are interleaved by iterative refinement: from the order
-   of all suffixes by their first h bytes, a stable pass over the preceding bytes gives
-   the order by h + 1. Where the preceding byte or the parent's interval changes, a new interval
-   begins, of suffixes whose common prefix is longer than h. No suffix is sorted again. An
-   interval of one suffix stays one and leaves. After LENGTH passes the intervals
+   one bucket. There equal runs of several blocks become one. A name that is left with one
+   run shares no string with any other; the others are what has to be compared.
+3. *Merge.* They are cut into shards of SHARD bytes, whose Burrows-Wheeler transforms
+   (rotations, sorted by doubling) are interleaved by iterative refinement: from the order of
+   all suffixes by their first h bytes, a stable pass over the preceding bytes gives the
+   order by h + 1. Where the preceding byte or the parent's interval changes, a new interval
+   begins, of suffixes whose common prefix is longer than h. No suffix is sorted again across
+   shards. An interval of one suffix stays one and leaves. After LENGTH passes the intervals
    are the repeated strings; the least document of each goes back to the blocks.
 4. *Cover.* A block turns that into byte spans of its documents.
 
 Hot names: one that occurs HOT times or more (a passage that very many documents quote,
 before ever different words) has its runs cut into single strings, which go to buckets
-by their own hash, so no bucket grows with a passage's fame; equal ones met in the block.
+by their own hash, so no bucket grows with a passage's fame.
 
 Defined cases: a null text is empty. A null id comes after all ids, so such a row loses
 what it shares with rows that have one. Rows of equal ids, repeated rows among them, never
@@ -46,13 +47,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..operators.retrieval import number
+from ..sources.scratch import discard
 from .common import arrow_texts, bitmap, bits_for, in_bitmap, materialise, mixed, packed, runs
 
 LENGTH, MARK = 50, 20
-HOT = 4096
-BLOCK, PIECE, CHUNK = 16 << 20, 4 << 20, 1 << 20
-#: Longest run of starts, and bytes of runs that a bucket is meant to hold.
-RUN, BUCKET = 64, 2 << 20
+HOT = 16384
+BLOCK, PIECE, CHUNK = 8 << 20, 4 << 20, 1 << 18
+#: Longest run of starts, bytes of runs that a bucket is meant to hold, and of a shard.
+RUN, BUCKET, SHARD = 64, 2 << 20, 1 << 18
 END = 255
 LAST = np.iinfo(np.int64).max
 
@@ -263,12 +265,12 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text[before], string[order[n - len(strings) :]]
 
 
-_CUT = "block long, bucket int, bwt binary, frags binary, low binary, docs binary, starts binary, sizes binary, ids binary"
+_CUT = "block long, bucket int, texts binary, names binary, frags binary, low binary, sizes binary, docs binary, starts binary, ids binary"
 _NAMES = [c.split()[0] for c in _CUT.split(", ")]
 
 
 def _cut(texts: DataFrame, picked: np.ndarray, hot: np.ndarray, bits: int, length: int, block: int, piece: int) -> DataFrame:
-    """Rows of two kinds: shards (bucket, bwt, and by string the run's number in the block and its least document), and a block's places (bucket -1)."""
+    """Rows of two kinds: a block's runs for a bucket (texts, names, sizes, their numbers in the block and least documents there), and a block's places (bucket -1)."""
     sent = texts.sparkSession.sparkContext.broadcast((picked, hot))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,14 +287,13 @@ def _cut(texts: DataFrame, picked: np.ndarray, hot: np.ndarray, bits: int, lengt
                 name, first, count, single = (np.repeat(x, n) for x in (name, first, count, many))
                 first, count = first + place, np.where(single, 1, count)
                 name[single] = string_hashes(texts_.raw, first[single], length)
-            yield from _block_rows(at + k, texts_, (name >> np.uint64(64 - bits)).astype(np.int64), first, count, length)
+            if len(first):
+                yield _block_rows(at + k, texts_, name, bits, first, count, length)
 
-    return materialise(texts.mapInArrow(scan, _CUT))
+    return materialise(texts.mapInArrow(scan, _CUT), "zstd")
 
 
-def _block_rows(number_: int, block: Block, bucket: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    if not len(first):
-        return
+def _block_rows(number_: int, block: Block, name: np.ndarray, bits: int, first: np.ndarray, count: np.ndarray, length: int) -> pa.RecordBatch:
     raw, different = block.raw, {}
     size = count + length - 1
     frag = np.fromiter((different.setdefault(raw[a : a + n], len(different)) for a, n in zip(first.tolist(), size.tolist(), strict=True)), np.int64, len(first))
@@ -303,20 +304,18 @@ def _block_rows(number_: int, block: Block, bucket: np.ndarray, first: np.ndarra
     np.minimum.at(low, frag, block.ord[doc])
     lead = np.zeros(len(strings), np.int64)
     lead[frag] = np.arange(len(frag))
-    target = bucket[lead]
-    order = np.argsort(target, kind="stable")
-    bounds = np.flatnonzero(np.append(True, target[order][1:] != target[order][:-1]))
-    shards = []
-    for a, b in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
-        own = order[a:b]
-        bwt, rows = transform([strings[i] for i in own])
-        ids = own[rows]
-        shards.append((number_, int(target[own[0]]), bwt.tobytes(), ids.astype(np.int32).tobytes(), low[ids].tobytes(), None, None, None, None))
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
+    own, sizes = name[lead], size[lead].astype(np.uint16)
+    order = np.argsort(own)
+    target = own[order] >> np.uint64(64 - bits)
+    bounds = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+    rows = []
+    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
+        o = order[a:b]
+        rows.append((number_, int(target[a]), b"".join([strings[i] for i in o.tolist()]), own[o].tobytes(), o.astype(np.int32).tobytes(), low[o].tobytes(), sizes[o].tobytes(), None, None, None))
     ids = np.column_stack((block.ord, block.h))
-    shards.append((number_, -1, None, frag.astype(np.int32).tobytes(), low.tobytes(), doc.astype(np.int32).tobytes(), start.tobytes(), sizes.astype(np.uint8).tobytes(), ids.tobytes()))
-    types = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*shards, strict=True), types, strict=True)], _NAMES)
+    rows.append((number_, -1, None, None, frag.astype(np.int32).tobytes(), low.tobytes(), sizes.tobytes(), doc.astype(np.int32).tobytes(), start.tobytes(), ids.tobytes()))
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
 
 
 # ---------------------------------------------------------------- merge
@@ -375,37 +374,72 @@ def _strings(bwt: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> tuple[np.n
 _FOUND = np.dtype([("frag", "<i4"), ("first", "u1"), ("last", "u1"), ("low", "<i8")])
 
 
-def merged(bwts: list[bytes], frags: list[bytes], lows: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shards, found) of a bucket: runs of starts whose string occurs in a document less than any of theirs in the block."""
-    sizes = np.fromiter(map(len, bwts), np.int64, len(bwts))
-    bwt = np.frombuffer(b"".join(bwts), np.uint8)
+def shared(strings: list[bytes], least: np.ndarray, depth: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, document) where different strings have ``depth`` bytes that another has in a document less than their own least."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    part = np.cumsum(size) // shard
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+    built = [(a, transform(strings[a:b])) for a, b in zip(cuts, [*cuts[1:], len(strings)], strict=True)]
+    bwt, sizes = np.concatenate([t for _, (t, _) in built]), np.array([len(t) for _, (t, _) in built])
+    named = np.concatenate([a + order for a, (_, order) in built])
     back = back_steps(bwt, sizes)
     rows, start = intervals(bwt, back, depth)
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, _FOUND)
+        return rows, rows, least[:0]
     string, offset = _strings(bwt, back, sizes)
-    low, frag = np.frombuffer(b"".join(lows), np.int64), np.frombuffer(b"".join(frags), np.int32)
-    own = string[rows]
-    least = np.repeat(np.minimum.reduceat(low[own], start), np.diff(np.append(start, len(rows))))
-    less = least < low[own]
-    own, offset, least = own[less], offset[rows[less]], least[less]
-    order = np.lexsort((offset, own))
-    own, offset, least = own[order], offset[order], least[order]
-    new = np.flatnonzero(np.append(np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])))
-    found = np.zeros(len(new), _FOUND)
-    found["frag"], found["first"], found["low"] = frag[own[new]], offset[new], least[new]
-    found["last"] = offset[np.append(new[1:], len(own)) - 1] if len(new) else 0
-    of = np.repeat(np.arange(len(frags)), [len(f) // 4 for f in frags])
-    return of[own[new]], found
+    own, offset = named[string[rows]], offset[rows]
+    low = np.repeat(np.minimum.reduceat(least[own], start), np.diff(np.append(start, len(rows))))
+    less = low < least[own]
+    return own[less], offset[less], low[less]
+
+
+def merged(rows: list[dict], depth: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, found) of a bucket's rows: stretches of a block's runs whose strings occur in a document less than any that has the run there."""
+    different: dict[bytes, int] = {}
+    contents, blocks = [], []
+    for r in rows:
+        at = 0
+        for n in np.frombuffer(r["sizes"], np.uint16).tolist():
+            contents.append(different.setdefault(r["texts"][at : at + n], len(different)))
+            at += n
+        blocks.append(np.full(len(r["frags"]) // 4, r["block"]))
+    get = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+    frag, low, size, name, block = get("frags", np.int32), get("low", np.int64), get("sizes", np.uint16), get("names", np.uint64), np.concatenate(blocks)
+    content, strings = np.array(contents), list(different)
+    least, own = np.full(len(strings), LAST), np.zeros(len(strings), np.uint64)
+    np.minimum.at(least, content, low)
+    own[content] = name
+    whole = np.flatnonzero(least[content] < low)
+    out = [np.zeros(len(whole), _FOUND)]
+    out[0]["frag"], out[0]["last"], out[0]["low"] = frag[whole], size[whole] - depth, least[content[whole]]
+    at = [block[whole]]
+
+    order = np.argsort(own, kind="stable")
+    first = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+    some = order[np.repeat(np.diff(np.append(first, len(order))) > 1, np.diff(np.append(first, len(order))))]
+    if len(some):
+        string, offset, low_ = shared([strings[i] for i in some.tolist()], least[some], depth, shard)
+        order = np.lexsort((offset, string))
+        string, offset, low_ = some[string[order]], offset[order], low_[order]
+        new = np.flatnonzero(np.append(np.ones(min(1, len(string)), bool), (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1) | (low_[1:] != low_[:-1])))
+        end = offset[np.append(new[1:], len(string)) - 1] if len(new) else offset
+        held = np.argsort(content, kind="stable")  # every block's copy of the run
+        left, right = np.searchsorted(content[held], string[new], "left"), np.searchsorted(content[held], string[new], "right")
+        which = np.repeat(np.arange(len(new)), right - left)
+        place = held[np.arange(len(which)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[which]]
+        more = np.zeros(len(which), _FOUND)
+        more["frag"], more["first"], more["last"], more["low"] = frag[place], offset[new][which], end[which], low_[new][which]
+        keep = more["low"] < low[place]
+        out.append(more[keep])
+        at.append(block[place[keep]])
+    return np.concatenate(at), np.concatenate(out)
 
 
 def _merge(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, "bucket"):
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                part = table.slice(a, b - a)
-                shard, found = merged(*(part.column(c).to_pylist() for c in ("bwt", "frags", "low")), depth)
-                block = part.column("block").to_numpy()[shard]
+                block, found = merged(table.slice(a, b - a).to_pylist(), depth)
                 order = np.argsort(block, kind="stable")
                 blocks, cols = packed(block[order], [found[order]])
                 yield pa.RecordBatch.from_arrays([pa.array(blocks), *cols], ["block", "found"])
@@ -436,12 +470,12 @@ def _cover(length: int):
                 found = np.frombuffer(b"".join(r["found"] for r in rows if r["found"]), _FOUND)
                 own = next(r for r in rows if r["frags"] is not None)
                 get = lambda c, kind, own=own: np.frombuffer(own[c], kind)
-                frag, low, doc, start, size, ids = get("frags", np.int32), get("low", np.int64), get("docs", np.int32), get("starts", np.int64), get("sizes", np.uint8), get("ids", np.int64).reshape(-1, 2)
+                frag, low, doc, start, size, ids = get("frags", np.int32), get("low", np.int64), get("docs", np.int32), get("starts", np.int64), get("sizes", np.uint16), get("ids", np.int64).reshape(-1, 2)
                 order = np.argsort(frag, kind="stable")
                 frag, doc, start = frag[order], doc[order].astype(np.int64), start[order]
                 order_of = ids[doc, 0]
                 later = order_of > low[frag]  # whole runs that the block itself has in a lesser document
-                spans = [(doc[later], start[later], start[later] + size[frag[later]] + length - 1)]
+                spans = [(doc[later], start[later], start[later] + size[frag[later]])]
                 left, right = np.searchsorted(frag, found["frag"], "left"), np.searchsorted(frag, found["frag"], "right")
                 which = np.repeat(np.arange(len(found)), right - left)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[which]
@@ -478,12 +512,13 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", leng
     bits = min(20, max(4, (most * (length + (length - MARK) // 2) // BUCKET).bit_length()))
     famous = names.where(F.col("n") >= hot)
     cut = _cut(scan, bitmap(names, bits_for(n, 32)), bitmap(famous, bits_for(famous.count())), bits, length, block, piece)
-    shards = cut.where("bucket >= 0").select("block", "bucket", "bwt", "frags", "low").repartition("bucket").sortWithinPartitions("bucket")
+    shards = cut.where("bucket >= 0").drop("docs", "starts", "ids").repartition("bucket").sortWithinPartitions("bucket")
     found = shards.mapInArrow(_merge(length), "block long, found binary")
-    places = cut.where("bucket < 0").drop("bucket", "bwt")
+    places = cut.where("bucket < 0").drop("bucket", "texts", "names")
     both = places.withColumn("found", F.lit(None).cast("binary")).unionByName(found, allowMissingColumns=True)
     spans = both.repartition("block").sortWithinPartitions("block").mapInArrow(_cover(length), "ord long, h long, spans binary")
     spans = materialise(spans.groupBy("ord", "h").agg(F.collect_set("spans").alias("spans")))
+    discard(cut)
     return texts.join(spans, ["ord", "h"], "left").select("id", "text", "spans")
 
 

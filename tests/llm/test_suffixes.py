@@ -87,6 +87,21 @@ def test_whole_results(spark, hot, block, piece):
     assert all(sum(b - a for a, b in r["spans"]) == r["n_removed"] and len(r["spans"]) == r["n_spans"] for r in got)
 
 
+@pytest.mark.parametrize("shard", [1, 200, 1 << 20])
+def test_strings_shared_across_shards(shard):
+    """However strings fall to shards, the least document of each shared stretch comes out."""
+    rng = random.Random(shard)
+    strings = list({bytes(rng.choice(b"abc") for _ in range(rng.randint(6, 40))) for _ in range(80)})
+    least = np.array([rng.randint(0, 40) for _ in strings])
+    low = {}
+    for s, d in zip(strings, least.tolist(), strict=True):
+        for i in range(len(s) - 5):
+            low[s[i : i + 6]] = min(d, low.get(s[i : i + 6], d))
+    want = {(j, i, low[s[i : i + 6]]) for j, s in enumerate(strings) for i in range(len(s) - 5) if low[s[i : i + 6]] < least[j]}
+    got = list(zip(*(x.tolist() for x in suffixes.shared(strings, least, 6, shard)), strict=True))
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_text_ids(spark):
     """Ids are ordered as text; their type stays."""
     quote = "the same sixty bytes or so of text in each of the three documents here"
