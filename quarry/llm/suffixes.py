@@ -41,6 +41,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,12 +266,20 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text[before], string[order[n - len(strings) :]]
 
 
-_CUT = "block long, bucket int, texts binary, names binary, frags binary, low binary, sizes binary, docs binary, starts binary, ids binary"
+_CUT = "block long, bucket int, first int, texts binary, names binary, low binary, sizes binary, frags binary, docs binary, starts binary, ids binary"
 _NAMES = [c.split()[0] for c in _CUT.split(", ")]
 
 
+def _small(raw: bytes | np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw if isinstance(raw, bytes) else raw.tobytes())
+
+
+def _large(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _cut(texts: DataFrame, picked: np.ndarray, hot: np.ndarray, bits: int, length: int, block: int, piece: int) -> DataFrame:
-    """Rows of two kinds: a block's runs for a bucket (texts, names, sizes, their numbers in the block and least documents there), and a block's places (bucket -1)."""
+    """Rows of two kinds: a block's runs for a bucket, numbered in the block from ``first`` on (texts, names, sizes, least documents there), and a block's places (bucket -1)."""
     sent = texts.sparkSession.sparkContext.broadcast((picked, hot))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +299,7 @@ def _cut(texts: DataFrame, picked: np.ndarray, hot: np.ndarray, bits: int, lengt
             if len(first):
                 yield _block_rows(at + k, texts_, name, bits, first, count, length)
 
-    return materialise(texts.mapInArrow(scan, _CUT), "zstd")
+    return materialise(texts.mapInArrow(scan, _CUT))
 
 
 def _block_rows(number_: int, block: Block, name: np.ndarray, bits: int, first: np.ndarray, count: np.ndarray, length: int) -> pa.RecordBatch:
@@ -300,21 +309,25 @@ def _block_rows(number_: int, block: Block, name: np.ndarray, bits: int, first:
     piece = _docs_of(block, first)
     doc, start = block.doc[piece], block.at[piece] + first - block.begin[piece]
     strings = list(different)
-    low = np.full(len(strings), LAST)
-    np.minimum.at(low, frag, block.ord[doc])
     lead = np.zeros(len(strings), np.int64)
     lead[frag] = np.arange(len(frag))
-    own, sizes = name[lead], size[lead].astype(np.uint16)
-    order = np.argsort(own)
-    target = own[order] >> np.uint64(64 - bits)
-    bounds = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+    order = np.argsort(name[lead])  # runs are numbered by name, so those of a bucket follow each other
+    number_of = np.empty(len(order), np.int32)
+    number_of[order] = np.arange(len(order))
+    frag = number_of[frag]
+    low = np.full(len(strings), LAST)
+    np.minimum.at(low, frag, block.ord[doc])
+    own, sizes = name[lead[order]], size[lead[order]].astype(np.uint16)
+    target = own >> np.uint64(64 - bits)
+    rest = (own >> np.uint64(32 - bits)).astype(np.uint32)  # tells the names of a bucket apart; if not, they are compared in vain
+    bounds = np.flatnonzero(np.append(True, target[1:] != target[:-1])).tolist()
     rows = []
-    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
-        o = order[a:b]
-        rows.append((number_, int(target[a]), b"".join([strings[i] for i in o.tolist()]), own[o].tobytes(), o.astype(np.int32).tobytes(), low[o].tobytes(), sizes[o].tobytes(), None, None, None))
+    for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
+        texts = b"".join([strings[i] for i in order[a:b].tolist()])
+        rows.append((number_, int(target[a]), a, _small(texts), _small(rest[a:b]), _small(low[a:b]), _small(sizes[a:b]), None, None, None, None))
     ids = np.column_stack((block.ord, block.h))
-    rows.append((number_, -1, None, None, frag.astype(np.int32).tobytes(), low.tobytes(), sizes.tobytes(), doc.astype(np.int32).tobytes(), start.tobytes(), ids.tobytes()))
-    types = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
+    rows.append((number_, -1, 0, None, None, *map(_small, (low, sizes, frag, doc.astype(np.int32), start, ids))))
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 8]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
 
 
@@ -396,17 +409,18 @@ def shared(strings: list[bytes], least: np.ndarray, depth: int, shard: int) -> t
 def merged(rows: list[dict], depth: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """(blocks, found) of a bucket's rows: stretches of a block's runs whose strings occur in a document less than any that has the run there."""
     different: dict[bytes, int] = {}
-    contents, blocks = [], []
+    contents, blocks, frags = [], [], []
+    get = lambda c, kind: np.frombuffer(b"".join(_large(r[c]) for r in rows), kind)
     for r in rows:
-        at = 0
-        for n in np.frombuffer(r["sizes"], np.uint16).tolist():
-            contents.append(different.setdefault(r["texts"][at : at + n], len(different)))
+        at, texts, sizes = 0, _large(r["texts"]), np.frombuffer(_large(r["sizes"]), np.uint16)
+        for n in sizes.tolist():
+            contents.append(different.setdefault(texts[at : at + n], len(different)))
             at += n
-        blocks.append(np.full(len(r["frags"]) // 4, r["block"]))
-    get = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
-    frag, low, size, name, block = get("frags", np.int32), get("low", np.int64), get("sizes", np.uint16), get("names", np.uint64), np.concatenate(blocks)
+        blocks.append(np.full(len(sizes), r["block"]))
+        frags.append(np.arange(len(sizes)) + r["first"])
+    low, size, name, block, frag = get("low", np.int64), get("sizes", np.uint16), get("names", np.uint32), np.concatenate(blocks), np.concatenate(frags)
     content, strings = np.array(contents), list(different)
-    least, own = np.full(len(strings), LAST), np.zeros(len(strings), np.uint64)
+    least, own = np.full(len(strings), LAST), np.zeros(len(strings), np.uint32)
     np.minimum.at(least, content, low)
     own[content] = name
     whole = np.flatnonzero(least[content] < low)
@@ -469,7 +483,7 @@ def _cover(length: int):
                 rows = table.slice(a, b - a).to_pylist()
                 found = np.frombuffer(b"".join(r["found"] for r in rows if r["found"]), _FOUND)
                 own = next(r for r in rows if r["frags"] is not None)
-                get = lambda c, kind, own=own: np.frombuffer(own[c], kind)
+                get = lambda c, kind, own=own: np.frombuffer(_large(own[c]), kind)
                 frag, low, doc, start, size, ids = get("frags", np.int32), get("low", np.int64), get("docs", np.int32), get("starts", np.int64), get("sizes", np.uint16), get("ids", np.int64).reshape(-1, 2)
                 order = np.argsort(frag, kind="stable")
                 frag, doc, start = frag[order], doc[order].astype(np.int64), start[order]
@@ -512,9 +526,9 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", leng
     bits = min(20, max(4, (most * (length + (length - MARK) // 2) // BUCKET).bit_length()))
     famous = names.where(F.col("n") >= hot)
     cut = _cut(scan, bitmap(names, bits_for(n, 32)), bitmap(famous, bits_for(famous.count())), bits, length, block, piece)
-    shards = cut.where("bucket >= 0").drop("docs", "starts", "ids").repartition("bucket").sortWithinPartitions("bucket")
+    shards = cut.where("bucket >= 0").drop("frags", "docs", "starts", "ids").repartition("bucket").sortWithinPartitions("bucket")
     found = shards.mapInArrow(_merge(length), "block long, found binary")
-    places = cut.where("bucket < 0").drop("bucket", "texts", "names")
+    places = cut.where("bucket < 0").drop("bucket", "first", "texts", "names")
     both = places.withColumn("found", F.lit(None).cast("binary")).unionByName(found, allowMissingColumns=True)
     spans = both.repartition("block").sortWithinPartitions("block").mapInArrow(_cover(length), "ord long, h long, spans binary")
     spans = materialise(spans.groupBy("ord", "h").agg(F.collect_set("spans").alias("spans")))
