@@ -81,11 +81,15 @@ def summary(logs: DataFrame) -> DataFrame:
 
 
 def stat_cards(summaries: DataFrame) -> DataFrame:
-    """The five figures shown of a summary, as text."""
+    """The five figures shown of a summary, as text: rounded half away from nought, with commas between thousands."""
+    shown = lambda c, digits: F.format_number(F.round(c, digits), digits)  # noqa: E731  format_number alone rounds half to even
     return summaries.select(
-        F.format_number("total_queries", 0).alias("total_queries"), F.concat(F.format_number("avg_latency_ms", 0), F.lit(" ms")).alias("avg_latency"),
-        F.concat(F.format_number("p95", 0), F.lit(" ms")).alias("p95_latency"), F.concat(F.lit("$"), F.format_number("total_cost_usd", 4)).alias("total_cost"),
-        F.concat(F.lit("$"), F.format_number("cost_per_query_usd", 5)).alias("cost_per_query"))
+        F.format_number("total_queries", 0).alias("total_queries"),
+        F.concat(shown("avg_latency_ms", 0), F.lit(" ms")).alias("avg_latency"),
+        F.concat(shown("p95", 0), F.lit(" ms")).alias("p95_latency"),
+        F.concat(F.lit("$"), shown("total_cost_usd", 4)).alias("total_cost"),
+        F.concat(F.lit("$"), shown("cost_per_query_usd", 5)).alias("cost_per_query"),
+    )
 
 
 def eval_summary(results: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
 MODALITY = "CASE lang WHEN 'de' THEN 'pdf' WHEN 'en' THEN 'image_global' WHEN 'es' THEN 'video_clip' ELSE 'video_summary' END"
 
 TERMS = f"""
-p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL),
 l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id),
 z AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM documents LEFT JOIN l USING (doc_id)),
 w AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM p GROUP BY term), z),
-i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM w) ELSE raw END AS idf FROM w)
+i AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM (SELECT *, avg(raw) OVER () AS mean FROM w))
 """
 BM25 = f"""{TERMS},
 q AS (SELECT qid, term, count(*) AS qn FROM (SELECT item_id AS qid, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
