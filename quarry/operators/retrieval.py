@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,13 +12,13 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import SCOPES, stem, tokens
 from ..sources.scratch import materialise
+from . import vectors
+from .blocks import few
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 #: A question's terms are broadcast up to so many rows (some 16 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
-#: Bytes of the query vectors that are sent to the executors at once.
-BLOCK_BYTES = 32 << 20
 
 
 # ---------------------------------------------------------------- keyword search
@@ -79,19 +75,14 @@ def index(docs: DataFrame, stems: bool = False) -> Index:
     return Index(postings, terms, stats, docs.select("doc_id"))
 
 
-def _few(df: DataFrame, most: int) -> DataFrame:
-    """df marked for broadcast if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def bm25(own: Index, questions: DataFrame, top: int = 20, stems: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank): every question's best documents; those without a common term score 0 and still rank.
 
     Tokens meet the questions' terms where they are read, so only those that score are ever shuffled.
     """
     asked = term_counts(questions, "qid", stems).select("qid", "term", F.col("tf").alias("qn"))
-    asked = _few(asked, BROADCAST_ROWS)
-    weight = _few(own.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf"), BROADCAST_ROWS)
+    asked = few(asked, BROADCAST_ROWS)
+    weight = few(own.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf"), BROADCAST_ROWS)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that it isn't made smaller: the join multiplies rows
     # The semi-join is pushed below the counting; all of a document then meets in one partition, so its hits are summed without a further shuffle.
@@ -169,58 +160,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r is not None), default=0)
-    return np.array([r if r is not None and len(r) == width else [0.0] * width for r in rows], np.float64).reshape(len(rows), width)
-
-
-def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, top: int) -> DataFrame:
-    """(qid, vec_id, score): the best of each partition's rows for one block of queries."""
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, _unit(queries)))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, unit = sent.value
-        held_id = np.zeros((len(qids), 0), np.int64)
-        held = np.zeros((len(qids), 0))
-        for batch in batches:
-            own = _matrix(batch.column("embedding"))
-            if not len(own):
-                continue
-            score = unit @ _unit(own).T if own.shape[1] == unit.shape[1] else np.zeros((len(qids), len(own)))
-            held_id = np.concatenate([held_id, np.broadcast_to(batch.column("vec_id").to_numpy(), score.shape)], axis=1)
-            held = np.concatenate([held, np.round(score, 6)], axis=1)
-            order = np.lexsort((held_id, -held), axis=1)[:, :top]
-            held, held_id = np.take_along_axis(held, order, 1), np.take_along_axis(held_id, order, 1)
-        cols = [pa.array(np.repeat(qids, held.shape[1])), pa.array(held_id.ravel()), pa.array(held.ravel())]
-        yield pa.RecordBatch.from_arrays(cols, ["qid", "vec_id", "score"])
-
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return rows.mapInArrow(best, "qid long, vec_id long, score double")
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
-    """(qid, vec_id, score, rank) by exact cosine; ties by id. A vector without length, or of another width, scores 0.
+def vector_search(rows: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
+    """(qid, vec_id, score, rank) of rows (vec_id, embedding) and queries (qid, embedding) by exact cosine; ties by id.
 
-    The stated queries are held against all vectors in blocks of BLOCK_BYTES: each block is
-    a matrix that executors multiply with their rows, of which the best go on.
+    ``vectors.build`` and ``vectors.search`` keep an index for many searches.
     """
-    stream = queries.select(F.col("qid").cast("long").alias("qid"), "embedding").where("embedding IS NOT NULL").toLocalIterator()
-    out, first = None, next(stream, None)
-    while first is not None:
-        rows = [first, *islice(stream, max(0, BLOCK_BYTES // (8 * max(1, len(first["embedding"]))) - 1))]
-        first = next(stream, None)
-        block = _nearest(vectors, np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64), top)
-        out = block if out is None else out.unionByName(block)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "qid long, vec_id long, score double, rank int")
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return vectors.nearest(rows, queries, top).withColumnRenamed("id", "vec_id")
 
 
 def with_expansion(questions: DataFrame, expansions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import generation as G
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from .registry import query
 
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
@@ -92,6 +93,13 @@ def vector_top20_batch(t):
     return R.vector_search(t("embeddings"), asked_vectors(t))
 
 
+@query(f"WITH {VECTORS} SELECT qid, vec_id, score, CAST(rank AS INTEGER) AS rank FROM n")
+def vector_lists_top20(t):
+    """The same through inverted lists, of which a question reads those that may hold its best."""
+    own = V.build(t("embeddings"), n_lists=16, rows=64)
+    return V.search(own, asked_vectors(t)).withColumnRenamed("id", "vec_id")
+
+
 @query(f"WITH {VECTORS} SELECT vec_id, score, CAST(rank AS INTEGER) AS rank FROM n WHERE qid = (SELECT min(vec_id) FROM v)")
 def vector_top20(t):
     """One question's vector: the first."""
