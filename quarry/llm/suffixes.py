@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..operators.blocks import groups
 from ..operators.retrieval import number
 from ..sources.scratch import discard
 from .common import arrow_texts, bitmap, bits_for, in_bitmap, materialise, mixed, packed, runs
@@ -83,8 +84,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int, most: int, reach: in
         end = np.cumsum(size)
         return Block(b"".join(parts), end - size, end, np.array(doc, np.int64), np.array(at, np.int64), np.array(ords, np.int64), np.array(hs, np.int64))
 
-    for batch in batches:
-        for order, h, text in zip(batch.column("ord").to_pylist(), batch.column("h").to_pylist(), arrow_texts(batch), strict=True):
+    for some in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):  # few texts at a time are copied
+        for order, h, text in zip(some.column("ord").to_pylist(), some.column("h").to_pylist(), arrow_texts(some), strict=True):
             if len(text) < length:
                 continue
             first = True
@@ -451,12 +452,11 @@ def merged(rows: list[dict], depth: int, shard: int = SHARD) -> tuple[np.ndarray
 
 def _merge(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in runs(batches, "bucket"):
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                block, found = merged(table.slice(a, b - a).to_pylist(), depth)
-                order = np.argsort(block, kind="stable")
-                blocks, cols = packed(block[order], [found[order]])
-                yield pa.RecordBatch.from_arrays([pa.array(blocks), *cols], ["block", "found"])
+        for table in groups(batches, ["bucket"]):
+            block, found = merged(table.to_pylist(), depth)
+            order = np.argsort(block, kind="stable")
+            blocks, cols = packed(block[order], [found[order]])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), *cols], ["block", "found"])
 
     return run
 
@@ -478,27 +478,26 @@ def union(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 def _cover(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in runs(batches, "block"):
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                rows = table.slice(a, b - a).to_pylist()
-                found = np.frombuffer(b"".join(r["found"] for r in rows if r["found"]), _FOUND)
-                own = next(r for r in rows if r["frags"] is not None)
-                get = lambda c, kind, own=own: np.frombuffer(_large(own[c]), kind)
-                frag, low, doc, start, size, ids = get("frags", np.int32), get("low", np.int64), get("docs", np.int32), get("starts", np.int64), get("sizes", np.uint16), get("ids", np.int64).reshape(-1, 2)
-                order = np.argsort(frag, kind="stable")
-                frag, doc, start = frag[order], doc[order].astype(np.int64), start[order]
-                order_of = ids[doc, 0]
-                later = order_of > low[frag]  # whole runs that the block itself has in a lesser document
-                spans = [(doc[later], start[later], start[later] + size[frag[later]])]
-                left, right = np.searchsorted(frag, found["frag"], "left"), np.searchsorted(frag, found["frag"], "right")
-                which = np.repeat(np.arange(len(found)), right - left)
-                place = np.arange(len(which)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[which]
-                hit = (order_of[place] > found["low"][which]) & ~later[place]
-                which, place = which[hit], place[hit]
-                spans.append((doc[place], start[place] + found["first"][which], start[place] + found["last"][which] + length))
-                d, s, e = union(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-                docs, cols = packed(d, [np.column_stack((s, e)).astype(np.int64).view("V16").ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[docs, 0]), pa.array(ids[docs, 1]), *cols], ["ord", "h", "spans"])
+        for table in groups(batches, ["block"]):
+            rows = table.to_pylist()
+            found = np.frombuffer(b"".join(r["found"] for r in rows if r["found"]), _FOUND)
+            own = next(r for r in rows if r["frags"] is not None)
+            get = lambda c, kind, own=own: np.frombuffer(_large(own[c]), kind)
+            frag, low, doc, start, size, ids = get("frags", np.int32), get("low", np.int64), get("docs", np.int32), get("starts", np.int64), get("sizes", np.uint16), get("ids", np.int64).reshape(-1, 2)
+            order = np.argsort(frag, kind="stable")
+            frag, doc, start = frag[order], doc[order].astype(np.int64), start[order]
+            order_of = ids[doc, 0]
+            later = order_of > low[frag]  # whole runs that the block itself has in a lesser document
+            spans = [(doc[later], start[later], start[later] + size[frag[later]])]
+            left, right = np.searchsorted(frag, found["frag"], "left"), np.searchsorted(frag, found["frag"], "right")
+            which = np.repeat(np.arange(len(found)), right - left)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[which]
+            hit = (order_of[place] > found["low"][which]) & ~later[place]
+            which, place = which[hit], place[hit]
+            spans.append((doc[place], start[place] + found["first"][which], start[place] + found["last"][which] + length))
+            d, s, e = union(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+            docs, cols = packed(d, [np.column_stack((s, e)).astype(np.int64).view("V16").ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[docs, 0]), pa.array(ids[docs, 1]), *cols], ["ord", "h", "spans"])
 
     return run
 
@@ -557,7 +556,7 @@ def _results(rows: DataFrame, id_column: str, texts: bool) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             cols: list[list] = [[] for _ in range(6)]
             for raw, own in zip(arrow_texts(batch), batch.column("spans").to_pylist(), strict=True):
                 spans = spans_of(own).tolist()
