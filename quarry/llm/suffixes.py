@@ -47,8 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ..operators.blocks import groups
-from ..operators.retrieval import number
+from ..operators.blocks import groups, number
 from ..sources.scratch import discard
 from .common import arrow_texts, bitmap, bits_for, in_bitmap, materialise, mixed, packed, runs
 
@@ -431,9 +430,19 @@ def merged(rows: list[dict], depth: int, shard: int = SHARD) -> tuple[np.ndarray
 
     order = np.argsort(own, kind="stable")
     first = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
-    some = order[np.repeat(np.diff(np.append(first, len(order))) > 1, np.diff(np.append(first, len(order))))]
+    n = np.diff(np.append(first, len(order)))
+    some, group = order[np.repeat(n > 1, n)], np.repeat(np.arange(len(n)), n)[np.repeat(n > 1, n)]
     if len(some):
-        string, offset, low_ = shared([strings[i] for i in some.tolist()], least[some], depth, shard)
+        # Only runs of one name share strings, so a few names are compared at a time.
+        sizes = np.array([len(strings[i]) for i in some.tolist()])
+        begins = np.append(True, group[1:] != group[:-1])
+        part = np.maximum.accumulate(np.where(begins, (np.cumsum(sizes) - sizes) // (4 * shard), 0))
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        met = []
+        for a, b in zip(cuts, [*cuts[1:], len(some)], strict=True):
+            string, offset, low_ = shared([strings[i] for i in some[a:b].tolist()], least[some[a:b]], depth, shard)
+            met.append((string + a, offset, low_))
+        string, offset, low_ = (np.concatenate(x) for x in zip(*met, strict=True))
         order = np.lexsort((offset, string))
         string, offset, low_ = some[string[order]], offset[order], low_[order]
         new = np.flatnonzero(np.append(np.ones(min(1, len(string)), bool), (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1) | (low_[1:] != low_[:-1])))
