@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, has_marker, token_count
-from .retrieval import number
+from .blocks import number
 
 MOST, OVERLAP = 800, 100
 SCENE, BACK = 120.0, 5.0

@@ -2,134 +2,20 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import SCOPES, stem, tokens
-from ..sources.scratch import materialise
+from ..functions.text import SCOPES
 from . import vectors
-from .blocks import few
+from .keywords import Index, bm25, index, searchable, term_counts  # noqa: F401
 
-K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
-#: A question's terms are broadcast up to so many rows (some 16 MB), and joined by shuffle beyond.
-BROADCAST_ROWS = 200_000
 
 
 # ---------------------------------------------------------------- keyword search
 
 
-class Index(NamedTuple):
-    """Term tables of a corpus: postings (doc_id, dl, term, tf), terms (term, df, idf), one row of stats (n, avgdl) and all doc_ids."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-    docs: DataFrame
-
-
-@pandas_udf(ArrayType(StringType()))
-def _stems(words):
-    known: dict[str, str] = {}
-    return words.map(lambda ws: [known.setdefault(w, known.get(w) or stem(w)) for w in ws])
-
-
-def searchable(chunks: DataFrame) -> DataFrame:
-    """Chunks (modality, ...) that keyword search covers: all but clips, whose text their summaries repeat."""
-    return chunks.where(F.coalesce(F.col("modality") != "video_clip", F.lit(True)))
-
-
-def _tokens(docs: DataFrame, id_column: str, stems: bool) -> DataFrame:
-    words = tokens(F.col("text"))
-    return docs.select(F.col(id_column), (_stems(words) if stems else words).alias("_t"))
-
-
-def term_counts(docs: DataFrame, id_column: str = "doc_id", stems: bool = False) -> DataFrame:
-    """(id, dl, term, tf) with dl tokens in the row."""
-    t = _tokens(docs, id_column, stems).select(id_column, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return t.groupBy(id_column, "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def _spread(docs: DataFrame) -> DataFrame:
-    """A table in fewer files than there are cores is dealt out; larger ones are read as they lie."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
-def index(docs: DataFrame, stems: bool = False) -> Index:
-    """Of documents (doc_id, text). The counts of documents a term are written at once, the rest is lazy; ``sources.stores`` keeps all of it."""
-    docs = _spread(docs)
-    postings = term_counts(docs, stems=stems)
-    different = _tokens(docs, "doc_id", stems).select(F.explode(F.array_distinct("_t")).alias("term"))
-    words = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(words).alias("avgdl"))
-    df = materialise(different.groupBy("term").agg(F.count("*").alias("df")))
-    raw = df.join(F.broadcast(stats.select("n"))).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, stats, docs.select("doc_id"))
-
-
-def bm25(own: Index, questions: DataFrame, top: int = 20, stems: bool = False) -> DataFrame:
-    """(qid, doc_id, score, rank): every question's best documents; those without a common term score 0 and still rank.
-
-    Tokens meet the questions' terms where they are read, so only those that score are ever shuffled.
-    """
-    asked = term_counts(questions, "qid", stems).select("qid", "term", F.col("tf").alias("qn"))
-    asked = few(asked, BROADCAST_ROWS)
-    weight = few(own.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf"), BROADCAST_ROWS)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that it isn't made smaller: the join multiplies rows
-    # The semi-join is pushed below the counting; all of a document then meets in one partition, so its hits are summed without a further shuffle.
-    met = own.postings.join(weight.select("term"), "term", "left_semi").repartition(parts, "doc_id").join(weight, "term")
-    weighed = met.join(F.broadcast(own.stats.select("avgdl"))).select("doc_id", "term", part.alias("part"))
-    hits = weighed.join(asked, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qn") * F.col("part")), 9).alias("score"))
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    best = materialise(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
-    short = questions.select("qid").distinct().join(best.where("score > 0").groupBy("qid").count(), "qid", "left").where(F.coalesce("count", F.lit(0)) < top).select("qid")
-    if short.isEmpty():
-        return best
-    both = best.drop("rank").unionByName(_unmatched(own.docs, hits, materialise(short), top))
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-
-def _unmatched(docs: DataFrame, hits: DataFrame, questions: DataFrame, top: int) -> DataFrame:
-    """(qid, doc_id, 0.0): the first ``top`` documents that each question doesn't match.
-
-    Documents are numbered by id. A matched document with number r is the k-th of its
-    question, so r - k unmatched ones precede it; unmatched document j has the number j plus
-    the matched ones with r - k <= j. No pair of question and document is tried.
-    """
-    numbered = number(docs.distinct(), "doc_id")
-    matched = hits.join(questions, "qid", "left_semi").join(numbered, "doc_id").select("qid", "n")
-    gap = F.col("n") - F.row_number().over(W.partitionBy("qid").orderBy("n")) + 1
-    near = matched.withColumn("gap", gap).where(F.col("gap") < top)
-    counts = near.groupBy("qid").agg(*[F.count(F.when(F.col("gap") <= j, 1)).alias(f"c{j}") for j in range(top)])
-    slots = F.array(*[(F.coalesce(f"c{j}", F.lit(0)) + j).cast("long") for j in range(top)])
-    free = questions.join(counts, "qid", "left").select("qid", F.explode(slots).alias("n"))
-    return free.join(numbered, "n").select("qid", "doc_id", F.lit(0.0).alias("score"))
-
-
-def number(rows: DataFrame, column: str) -> DataFrame:
-    """rows with n, counting from 0 in the order of a column of different values of any ordered type; nulls first.
-
-    Spark samples the column for the bounds of its ranges, so neither outliers nor wide, text or
-    hashed ids crowd one. Rows are numbered inside their range, ranges by their counts: one
-    row a range meets in a window, never the rows themselves.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place in the partition
-    placed = materialise(rows.repartitionByRange(parts, column).sortWithinPartitions(column).withColumns({"_range": F.spark_partition_id(), "_k": own}))
-    counts = placed.groupBy("_range").agg(F.count("*").alias("_in"))
-    counts = counts.select("_range", (F.sum("_in").over(W.partitionBy(F.lit(1)).orderBy("_range")) - F.col("_in")).alias("_before"))
-    return placed.join(F.broadcast(counts), "_range").withColumn("n", F.col("_before") + F.col("_k")).drop("_range", "_k", "_before")
-
-
 def bm25_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ranked documents in the shape of a keyword hit: (qid, doc_id, rank, text, score, metadata)."""
     met = ranked.join(chunks, "doc_id")

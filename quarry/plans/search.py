@@ -37,7 +37,7 @@ def questions(t):
 
 
 def keyword(t, stems: bool = False):
-    return R.bm25(R.index(t("documents").select("doc_id", "text"), stems), questions(t), stems=stems)
+    return R.bm25(R.index(t("documents").select("doc_id", "text"), stems), questions(t))
 
 
 def modality():
@@ -59,7 +59,7 @@ def bm25_top20(t):
 def bm25_stemmed(t):
     """With stems and without clips, as the index of chunks is built; SQL has no stems."""
     corpus = R.searchable(t("documents").withColumn("modality", modality())).select("doc_id", "text")
-    found = R.bm25(R.index(corpus, True), questions(t), stems=True)
+    found = R.bm25(R.index(corpus, True), questions(t))
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

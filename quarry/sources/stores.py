@@ -1,4 +1,4 @@
-"""Stores as Parquet tables: chunks, keyword index, query logs, evaluation runs and their results."""
+"""Stores as Parquet tables: chunks, query logs, evaluation runs and their results; the keyword index has its own (``keyword_store``)."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import insert_if_absent
-from ..operators.retrieval import Index
 from .files import append, read_or_empty, results_name
 
-INDEX_VERSION = 2
 LOGS = "timestamp string, query_text string, latency_ms double, input_tokens int, output_tokens int, retrieval_strategy string, reranker_used int"
 RUNS = """run_id string, timestamp string, dataset_version string, num_queries long, failed_queries long, avg_latency_ms double, input_tokens long, output_tokens long,
     avg_correctness double, avg_hallucination double, avg_faithfulness double, avg_context_precision double, p50_latency_ms double, p95_latency_ms double"""
@@ -20,22 +18,6 @@ def add_chunks(spark: SparkSession, path: str, batch: DataFrame) -> None:
     append(insert_if_absent(read_or_empty(spark, path, batch.schema), batch.dropDuplicates(["chunk_id"])), path)
 
 
-def write_index(own: Index, path: str) -> None:
-    """Term tables in folders of one path; the stats carry the version and are written last, so a half-written index has none."""
-    own.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    own.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    own.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    own.stats.withColumn("version", F.lit(INDEX_VERSION)).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, path: str) -> Index | None:
-    """The stored index; None if there is none or it is of another version."""
-    stats = read_or_empty(spark, f"{path}/stats", "n long, avgdl double, version int").where(F.col("version") == INDEX_VERSION)
-    if stats.isEmpty():
-        return None
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), stats.drop("version"), spark.read.parquet(f"{path}/docs"))
-
-
 def log_queries(rows: DataFrame, path: str) -> None:
     append(rows, path)
 

@@ -133,21 +133,10 @@ def test_bm25_with_stems(spark):
     idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
     asked = [X.stem(w) for w in "dogs running retrieving dog".split()]
     want = [sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in asked) for t in terms]
-    got = R.bm25(R.index(docs, True), spark.createDataFrame([(0, "dogs running retrieving dog")], "qid long, text string"), stems=True).collect()
+    got = R.bm25(R.index(docs, True), spark.createDataFrame([(0, "dogs running retrieving dog")], "qid long, text string")).collect()
     assert sorted((r["doc_id"], round(r["score"], 6)) for r in got) == [(k, pytest.approx(w, abs=1e-6)) for k, w in enumerate(want)]
 
 
-def test_stored_index(spark, tmp_path):
-    docs = spark.createDataFrame([(0, "a b b"), (1, "b c")], "doc_id long, text string")
-    asked = spark.createDataFrame([(0, "a c")], "qid long, text string")
-    assert T.read_index(spark, str(tmp_path / "none")) is None
-    T.write_index(R.index(docs), str(tmp_path / "own"))
-    rows = lambda own: sorted(map(tuple, R.bm25(own, asked).collect()))
-    assert rows(T.read_index(spark, str(tmp_path / "own"))) == rows(R.index(docs))
-    spark.createDataFrame([(1, 1.0, 1)], "n long, avgdl double, version int").write.mode("overwrite").parquet(str(tmp_path / "own" / "stats"))
-    assert T.read_index(spark, str(tmp_path / "own")) is None
-
-
 def test_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 1.0]), (4, None)], "vec_id long, embedding array<double>")
     got = R.vector_search(v, v.where("vec_id < 2").withColumnRenamed("vec_id", "qid")).orderBy("qid", "rank").collect()
