@@ -55,7 +55,7 @@ LENGTH, MARK = 50, 20
 HOT = 16384
 BLOCK, PIECE, CHUNK = 8 << 20, 4 << 20, 1 << 18
 #: Longest run of starts, bytes of runs that a bucket is meant to hold, and of a shard.
-RUN, BUCKET, SHARD = 64, 2 << 20, 1 << 18
+RUN, BUCKET, SHARD = 64, 2 << 20, 1 << 17
 END = 255
 LAST = np.iinfo(np.int64).max
 
@@ -534,7 +534,9 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", leng
     bits = min(20, max(4, (most * (length + (length - MARK) // 2) // BUCKET).bit_length()))
     famous = names.where(F.col("n") >= hot)
     cut = _cut(scan, bitmap(names, bits_for(n, 32)), bitmap(famous, bits_for(famous.count())), bits, length, block, piece)
-    shards = cut.where("bucket >= 0").drop("frags", "docs", "starts", "ids").repartition("bucket").sortWithinPartitions("bucket")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(1 << bits, 8 * parts))  # small partitions, since a task's rows go to Python at once
+    shards = cut.where("bucket >= 0").drop("frags", "docs", "starts", "ids").repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = shards.mapInArrow(_merge(length), "block long, found binary")
     places = cut.where("bucket < 0").drop("bucket", "first", "texts", "names")
     both = places.withColumn("found", F.lit(None).cast("binary")).unionByName(found, allowMissingColumns=True)
