@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from itertools import accumulate
-
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, has_marker, token_count
+from ..functions.text import TOKEN, has_marker  # noqa: F401
+from ..sources.scratch import materialise
 from .blocks import number
+from .counters import BytePairs, Words
 
 MOST, OVERLAP = 800, 100
 SCENE, BACK = 120.0, 5.0
@@ -45,66 +43,74 @@ def scene_segments(start: Column, stop: Column, most: float = SCENE, back: float
     return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((start + i * step).alias("start"), F.least(start + i * step + most, stop).alias("stop"), (length > most).alias("forced")))
 
 
-_TOKEN = regex.compile(TOKEN)
-
-
-def chunk_bounds(sizes: list[int], headings: list[str], most: int = MOST, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """Chunks of a document as ranges of its paragraphs with the heading of their first.
+def _sections(paragraphs: DataFrame, most: int, overlap: int) -> DataFrame:
+    """Paragraphs (doc_id, idx, heading, n_tokens) with section, carry, before, tail and tail_before.
 
-    A chunk is always a range, since what is carried over is the end of the one before:
-    the longest suffix of at most ``overlap`` tokens, found in the running sums. At a new
-    heading all that is carried takes that heading. A paragraph above ``most`` is a range
-    of its own, before and after which nothing is carried.
+    What a document's chunks look like from a new heading on, or from a paragraph after one
+    above ``most``, doesn't depend on what came before but for the paragraphs carried over:
+    there the open chunk is closed in any case. Such places begin sections, which fold apart.
+    before: tokens ahead of the paragraph. tail: the first paragraph of those that a chunk closed here would
+    carry over, which is a range of the running sums; tail_before: the tokens ahead of that.
     """
-    total, label = [0, *accumulate(sizes)], list(headings)
-    out: list[tuple[int, int, str]] = []
-    first = 0  # the open chunk is first to here
-
-    def close(here: int) -> int:
-        out.append((first, here, label[first]))
-        return max(first, bisect_left(total, total[here] - overlap, 0, here + 1))
-
-    for here, size in enumerate(sizes):
-        if here and headings[here] != headings[here - 1] and first < here:
-            first = close(here)
-            label[first:here] = [headings[here]] * (here - first)
-        if size > most:
-            if first < here:
-                close(here)
-            out.append((here, here + 1, headings[here]))
-            first = here + 1
-        elif first < here and total[here + 1] - total[first] > most:
-            first = close(here)
-    if first < len(sizes):
-        close(len(sizes))
-    return out
-
-
-def window_texts(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
-    """A long text in windows of ``most`` tokens; what stands between tokens stays as it is."""
-    at = [m.span() for m in _TOKEN.finditer(text)]
-    starts = range(0, max(1, len(at) - overlap), most - overlap)
-    return [text[at[s][0] : at[min(s + most, len(at)) - 1][1]] for s in starts]
-
-
-def fold_chunks(paragraphs: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    own = W.partitionBy("doc_id").orderBy("idx")
+    p = paragraphs.withColumn("before", F.sum("n_tokens").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens"))
+    big_before = F.coalesce(F.lag("n_tokens").over(own) > most, F.lit(False))
+    turned = F.coalesce(F.lag("heading").over(own) != F.col("heading"), F.lit(False))
+    begins = (F.col("idx") == 1) | turned | big_before | (F.col("n_tokens") > most)
+    p = p.withColumns({"carry": turned & ~big_before, "begins": begins.cast("int")})
+    reach = W.partitionBy("doc_id").orderBy("before").rangeBetween(-overlap, 0)
+    return p.withColumns({"section": F.sum("begins").over(own.rowsBetween(W.unboundedPreceding, 0)), "tail": F.min("idx").over(reach), "tail_before": F.min("before").over(reach)}).drop("begins")
+
+
+def section_chunks(pdf: pd.DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of paragraphs that are the chunks of one section, in order; the first may begin in what is carried over."""
+    at, size, before, tail, tail_before = (pdf[c].tolist() for c in ("idx", "n_tokens", "before", "tail", "tail_before"))
+    begin, out = at[0], []
+    carried = bool(pdf["carry"].iloc[0])
+    first, since = (tail[0], tail_before[0]) if carried else (begin, before[0])
+    if size[0] > most:  # what is carried to it is a chunk of its own
+        return ([(first, begin)] if first < begin else []) + [(begin, begin + 1)]
+    for i, n, sum_, t, t_sum in zip(at, size, before, tail, tail_before, strict=True):
+        if first < i and sum_ + n - since > most:
+            out.append((first, i))
+            first, since = t, t_sum
+    return [*out, (first, at[-1] + 1)]
+
+
+def fold_chunks(paragraphs: DataFrame, most: int = MOST, overlap: int = OVERLAP, counter: Words | BytePairs | None = None) -> DataFrame:
     """(doc_id, chunk_index, page, heading, text) from paragraphs (doc_id, para_no, page, heading, text).
 
-    Documents fold one by one. Chunks that hold a marker go but use up an index.
+    A chunk takes paragraphs up to ``most`` tokens and ends at a new heading; the next begins with the last ones of it, of at most
+    ``overlap`` tokens, under the new heading. A paragraph above ``most`` is cut into windows. Chunks that hold a marker go but use up an index.
+
+    Only numbers meet by document (running sums) and by section (the fold); texts are joined to the chunks they belong to, so
+    a document of any length spreads over tasks. ``counter`` says what a token is (None: words and punctuation marks). A null
+    heading is '', a null text is empty; paragraphs without a doc_id belong to no document; paragraphs of one number are in the order of their texts. Ids keep their type.
     """
+    counter = counter or Words()
+    clean = paragraphs.where("doc_id IS NOT NULL").select("doc_id", "para_no", "page", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("text", F.lit("")).alias("text"))
+    numbered = F.row_number().over(W.partitionBy("doc_id").orderBy("para_no", "text"))
+    kept = materialise(counter.counted(clean).withColumn("idx", numbered))
+    sections = _sections(kept.select("doc_id", "idx", "heading", "n_tokens"), most, overlap)
+    kind = dict(kept.dtypes)["doc_id"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("para_no")
-        texts, sizes, pages = pdf["text"].tolist(), pdf["n_tokens"].tolist(), pdf["page"].tolist()
-        out = []
-        for a, b, heading in chunk_bounds(sizes, pdf["heading"].tolist(), most, overlap):
-            parts = window_texts(texts[a], most, overlap) if sizes[a] > most else ["\n\n".join(texts[a:b])]
-            out += [(pdf["doc_id"].iloc[0], len(out) + k, pages[a], heading, t) for k, t in enumerate(parts)]
-        return pd.DataFrame(out, columns=["doc_id", "chunk_index", "page", "heading", "text"])
-
-    counted = paragraphs.select("doc_id", "para_no", "page", "heading", "text", token_count(F.col("text")).alias("n_tokens"))
-    chunks = counted.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, page int, heading string, text string")
-    return chunks.where(~has_marker(F.col("text")))
+        pdf = pdf.sort_values("idx")
+        found = section_chunks(pdf, most)
+        same = {c: [pdf[c].iloc[0]] * len(found) for c in ("doc_id", "section", "heading")}
+        return pd.DataFrame(same | {"k": range(len(found)), "first": [a for a, _ in found], "end": [b for _, b in found]})
+
+    chunks = sections.groupBy("doc_id", "section").applyInPandas(fold, f"doc_id {kind}, section long, heading string, k int, first int, end int")
+    parts = chunks.withColumn("idx", F.explode(F.sequence("first", F.col("end") - 1))).join(kept.select("doc_id", "idx", "page", "text", "n_tokens"), ["doc_id", "idx"])
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n")
+    whole = parts.groupBy("doc_id", "section", "k").agg(
+        F.first("heading").alias("heading"), F.min_by("page", "idx").alias("page"), F.max("n_tokens").alias("n"), F.count("*").alias("size"), texts.alias("text"))
+    cut = F.pandas_udf(lambda ts: ts.map(lambda t: None if t is None else counter.windows(t, most, overlap)), "array<string>")
+    long = F.when((F.col("n") > most) & (F.col("size") == 1), F.col("text"))  # a UDF sees all rows, whatever stands around it
+    pieces = F.coalesce(cut(long), F.array("text"))
+    out = whole.select("doc_id", "section", "k", "heading", "page", F.posexplode(pieces).alias("part", "text"))
+    at = F.row_number().over(W.partitionBy("doc_id").orderBy("section", "k", "part")) - 1
+    return out.select("doc_id", at.alias("chunk_index"), F.col("page").cast("int").alias("page"), "heading", "text").where(~has_marker(F.col("text")))
 
 
 def clamp_box(box: list[Column], width: Column, height: Column, least: int = 10) -> Column:

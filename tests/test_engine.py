@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators.counters import Words
 from quarry.operators import chunking as C
 from quarry.operators import evaluation as V
 from quarry.operators import measures as M
@@ -102,15 +103,8 @@ def test_fold(spark):
     assert [len(r["text"].split()) for r in got] == [680, 380, 360, 800, 700, 5]
 
 
-def test_fold_relabels_what_is_carried():
-    assert C.chunk_bounds([50, 50, 700], ["A", "A", "B"]) == [(0, 2, "A"), (0, 3, "B")]
-    assert C.chunk_bounds([50, 900], ["A", "B"]) == [(0, 1, "A"), (0, 1, "B"), (1, 2, "B")]  # what is carried is a chunk of its own
-    assert C.chunk_bounds([], []) == [] and C.chunk_bounds([900, 1], ["", ""]) == [(0, 1, ""), (1, 2, "")]
-
-
 def test_windows_keep_what_stands_between_tokens():
-    text = "a,  b\n c d"
-    assert C.window_texts(text, 3, 1) == ["a,  b", "b\n c d"]
+    assert Words().windows("a,  b\n c d", 3, 1) == ["a,  b", "b\n c d"]
 
 
 def test_bm25_fillers_with_negative_scores(spark):
