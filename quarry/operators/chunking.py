@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import TOKEN, has_marker  # noqa: F401
 from ..sources.scratch import materialise
@@ -62,19 +66,27 @@ def _sections(paragraphs: DataFrame, most: int, overlap: int) -> DataFrame:
     return p.withColumns({"section": F.sum("begins").over(own.rowsBetween(W.unboundedPreceding, 0)), "tail": F.min("idx").over(reach), "tail_before": F.min("before").over(reach)}).drop("begins")
 
 
-def section_chunks(pdf: pd.DataFrame, most: int) -> list[tuple[int, int]]:
-    """Ranges of paragraphs that are the chunks of one section, in order; the first may begin in what is carried over."""
-    at, size, before, tail, tail_before = (pdf[c].tolist() for c in ("idx", "n_tokens", "before", "tail", "tail_before"))
-    begin, out = at[0], []
-    carried = bool(pdf["carry"].iloc[0])
-    first, since = (tail[0], tail_before[0]) if carried else (begin, before[0])
-    if size[0] > most:  # what is carried to it is a chunk of its own
-        return ([(first, begin)] if first < begin else []) + [(begin, begin + 1)]
-    for i, n, sum_, t, t_sum in zip(at, size, before, tail, tail_before, strict=True):
-        if first < i and sum_ + n - since > most:
-            out.append((first, i))
-            first, since = t, t_sum
-    return [*out, (first, at[-1] + 1)]
+def section_chunks(rows: Iterable[tuple], most: int) -> Iterator[tuple]:
+    """(doc_id, section, heading, k, first, end): the chunks of sections as ranges of paragraphs, the first of which may begin in what is carried over.
+
+    rows (doc_id, section, heading, idx, n_tokens, before, carry, tail, tail_before) are in order; those of a section follow each other.
+    """
+    key, heading, k, first, since, last = None, "", 0, 0, 0, 0
+    for doc, section, own, at, n, before, carry, tail, tail_before in rows:
+        if (doc, section) != key:
+            if key:
+                yield *key, heading, k, first, last + 1
+            key, heading, k = (doc, section), own, 0
+            first, since = (tail, tail_before) if carry else (at, before)
+            if n > most and first < at:  # what is carried to it is a chunk of its own
+                yield *key, heading, k, first, at
+                k, first, since = 1, at, before
+        if first < at and before + n - since > most:
+            yield *key, heading, k, first, at
+            k, first, since = k + 1, tail, tail_before
+        last = at
+    if key:
+        yield *key, heading, k, first, last + 1
 
 
 def fold_chunks(paragraphs: DataFrame, most: int = MOST, overlap: int = OVERLAP, counter: Words | BytePairs | None = None) -> DataFrame:
@@ -94,13 +106,18 @@ def fold_chunks(paragraphs: DataFrame, most: int = MOST, overlap: int = OVERLAP,
     sections = _sections(kept.select("doc_id", "idx", "heading", "n_tokens"), most, overlap)
     kind = dict(kept.dtypes)["doc_id"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        found = section_chunks(pdf, most)
-        same = {c: [pdf[c].iloc[0]] * len(found) for c in ("doc_id", "section", "heading")}
-        return pd.DataFrame(same | {"k": range(len(found)), "first": [a for a, _ in found], "end": [b for _, b in found]})
+    columns = ["doc_id", "section", "heading", "idx", "n_tokens", "before", "carry", "tail", "tail_before"]
+    made = ["doc_id", "section", "heading", "k", "first", "end"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True))
+        found = section_chunks(rows, most)
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], made)
 
-    chunks = sections.groupBy("doc_id", "section").applyInPandas(fold, f"doc_id {kind}, section long, heading string, k int, first int, end int")
+    types = [to_arrow_type(kept.schema["doc_id"].dataType), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+    ordered = sections.repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "idx")
+    chunks = ordered.mapInArrow(fold, f"doc_id {kind}, section long, heading string, k int, first int, end int")
     parts = chunks.withColumn("idx", F.explode(F.sequence("first", F.col("end") - 1))).join(kept.select("doc_id", "idx", "page", "text", "n_tokens"), ["doc_id", "idx"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n")
     whole = parts.groupBy("doc_id", "section", "k").agg(

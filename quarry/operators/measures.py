@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 INPUT_PRICE, OUTPUT_PRICE = 1.25e-6, 5e-6
-RANGES = 1024
 
 
 def cost(input_tokens: Column, output_tokens: Column) -> Column:
@@ -19,22 +20,22 @@ def cost(input_tokens: Column, output_tokens: Column) -> Column:
 def at_ranks(values: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: Sequence[str] = ()) -> DataFrame:
     """One row a group with the values at ranks (from 1), each given by the group's number of values.
 
-    Values are counted first, so equal ones weigh nothing; then RANGES ranges between a
-    group's ends are counted, and only values of the ranges that hold a rank are put in
-    order. So neither a group nor all rows meet in one task.
+    Equal values are counted first. Spark then deals the different ones to ranges, whose bounds it
+    samples, so one far-off value crowds no range; ranges are counted, and only those that hold a
+    rank are put in order. So neither a group nor all rows meet in one task.
     """
     keys = [*by] or ["_all"]
     v = values.withColumn("_all", F.lit(0)).where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ends = v.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.sum("_c").alias("_n"))
-    share = (F.col(value).cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    v = v.join(ends, keys).withColumn("_range", F.least(F.lit(RANGES - 1), F.coalesce(F.floor(share * RANGES), F.lit(0))).cast("int"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = materialise(v.repartitionByRange(parts, *keys, value).withColumn("_range", F.spark_partition_id()))
+    own = W.partitionBy(*keys)  # of ranges
     sums = v.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"))
-    sums = sums.withColumn("_before", F.sum("_in").over(W.partitionBy(*keys).orderBy("_range")) - F.col("_in"))
+    sums = sums.withColumns({"_before": F.sum("_in").over(own.orderBy("_range")) - F.col("_in"), "_n": F.sum("_in").over(own)})
     wanted = [rank(F.col("_n")) for rank in ranks.values()]
     holds = F.lit(False)
     for rank in wanted:
         holds = holds | ((F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_in")))
-    inside = v.join(sums, [*keys, "_range"]).where(holds)
+    inside = v.join(sums.where(holds), [*keys, "_range"])
     last = F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_range").orderBy(value))
     placed = inside.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c"))
     hit = lambda rank: (F.col("_first") < rank) & (rank <= F.col("_last"))

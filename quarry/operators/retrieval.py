@@ -86,6 +86,23 @@ def fuse(keyword: DataFrame, vector: DataFrame, top: int = 20, k: int = RRF_K) -
     return g.select("qid", "text", "first.source", "first.page", "first.modality", "score", "bm25_rank", "vector_rank", "pos")
 
 
+def hybrid_search(
+    questions: DataFrame, own: Index | None, stored: vectors.Lists | DataFrame, chunks: DataFrame, expansions: DataFrame | None = None, use_hyde: bool = True, top: int = 20, each: int = 20
+) -> DataFrame:
+    """Keyword and vector lists of ``each`` chunks for every question (qid, text, embedding), fused to ``top``.
+
+    stored: inverted lists, or the vectors (vec_id, embedding) themselves. chunks (doc_id, text, source, page, modality) are what ids of
+    both lists stand for. With use_hyde, vector search takes the embedding of the hypothetical answer in expansions (qid, embedding)
+    where there is one; keyword search always takes the question. Without a keyword index the vectors alone are used.
+    """
+    asked = questions.select("qid", "embedding")
+    asked = with_expansion(asked, expansions) if use_hyde and expansions is not None else asked
+    found = vectors.search(stored, asked, each) if isinstance(stored, vectors.Lists) else vectors.nearest(stored, asked, each)
+    shown = lambda hits: hits.join(chunks, "doc_id").select("qid", "text", "source", "page", "modality", "rank")
+    near = shown(found.withColumnRenamed("id", "doc_id"))
+    return fuse(near.limit(0) if own is None else shown(bm25(own, questions.select("qid", "text"), each)), near, top)
+
+
 def scopes(question: Column) -> dict[str, Column]:
     return {name: question.rlike(pattern) for name, pattern in SCOPES.items()}
 

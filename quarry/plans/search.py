@@ -161,30 +161,46 @@ FROM o JOIN f ON f.qid = o.qid AND f.text = o.text AND f.list * 1000000 + f.rank
 """
 
 
-def _fused(keyword_list, vector_list):
-    fused = R.fuse(keyword_list, vector_list)
+def _ranked(fused):
     ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "vector_rank")]  # 0: not in that list
     return fused.select("qid", "text", "source", "page", F.round("score", 9).alias("score"), *ranks, "pos")
 
 
-def _shown(t, hits, key):
-    d = t("documents").withColumnRenamed("doc_id", key)
-    return hits.join(d, key).select("qid", "text", "source", (F.col(key) % 10).cast("int").alias("page"), F.lit("pdf").alias("modality"), "rank")
+def _fused(keyword_list, vector_list):
+    return _ranked(R.fuse(keyword_list, vector_list))
 
 
-@query(f"""
-WITH {BM25}, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+#: Vector lists of the questions. The tables hold no vectors of questions: each takes that of a stored row.
+ASKED_VECTORS = f"""
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT b.item_id AS qid, v.e FROM benchmark b JOIN v ON v.vec_id = (b.item_id * 50) % (SELECT count(*) FROM embeddings)),
 c AS (SELECT q.qid, v.vec_id, {COSINE} AS score FROM u q, v),
-n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 20),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 20)
+"""
+
+
+def _hybrid(t, own, **more):
+    e, d = t("embeddings"), t("documents")
+    n = e.agg(F.count("*").alias("n"))
+    met = questions(t).join(F.broadcast(n)).withColumn("vec_id", F.col("qid") * 50 % F.col("n")).join(e, "vec_id")
+    chunks = d.select("doc_id", "text", "source", (F.col("doc_id") % 10).cast("int").alias("page"), F.lit("pdf").alias("modality"))
+    return _ranked(R.hybrid_search(met.select("qid", "text", "embedding"), own, e, chunks, **more))
+
+
+@query(f"""
+WITH {BM25}, {ASKED_VECTORS},
 f AS (SELECT *, 0 AS list FROM ({SHOWN.format('k', 'k.doc_id')}) UNION ALL SELECT *, 1 FROM ({SHOWN.format('n k', 'k.vec_id')})),
 {FUSED}""")
 def hybrid_search(t):
-    """Flagship: keyword and vector lists of every question, fused. The tables hold no vectors of questions: each takes that of a stored row."""
+    """Flagship: keyword and vector lists of every question, fused."""
+    return _hybrid(t, R.index(t("documents").select("doc_id", "text")))
+
+
+@query(f"WITH {ASKED_VECTORS}, f AS (SELECT *, 1 AS list FROM ({SHOWN.format('n k', 'k.vec_id')})), {FUSED}")
+def hybrid_without_keywords(t):
+    """Before anything was indexed the vectors alone answer; switched off, expansions change nothing."""
     e = t("embeddings")
-    n = e.agg(F.count("*").alias("n"))
-    asked = questions(t).join(F.broadcast(n)).select("qid", (F.col("qid") * 50 % F.col("n")).alias("vec_id")).join(e, "vec_id").select("qid", "embedding")
-    return _fused(_shown(t, keyword(t), "doc_id"), _shown(t, R.vector_search(e, asked), "vec_id"))
+    return _hybrid(t, None, expansions=e.select((F.col("vec_id") + 1).alias("qid"), "embedding"), use_hyde=False)
 
 
 LISTED = "SELECT source AS qid, text, source, CAST(doc_id % 10 AS INTEGER) AS page, row_number() OVER (PARTITION BY source ORDER BY {}) AS rank FROM documents"
