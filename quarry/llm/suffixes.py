@@ -55,7 +55,7 @@ LENGTH, MARK = 50, 20
 HOT = 16384
 BLOCK, PIECE, CHUNK = 8 << 20, 4 << 20, 1 << 18
 #: Longest run of starts, bytes of runs that a bucket is meant to hold, and of a shard.
-RUN, BUCKET, SHARD = 64, 2 << 20, 1 << 17
+RUN, BUCKET, SHARD = 64, 2 << 20, 1 << 18
 END = 255
 LAST = np.iinfo(np.int64).max
 
@@ -166,7 +166,7 @@ def _runs(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
             k = -(-count // RUN)
             place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             first, count = np.repeat(first, k) + place * RUN, np.minimum(RUN, np.repeat(count, k) - place * RUN)
-        names.append(low[first])
+        names.append(mixed(low[first]))  # minima crowd at the low end; spread again, they suit buckets and bitmaps
         firsts.append(first + c)
         counts.append(count)
     return (np.concatenate(names), np.concatenate(firsts), np.concatenate(counts)) if names else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
