@@ -13,12 +13,15 @@ import pytest
 import corpus_pipeline
 from quarry.llm import mixing, quality, queries
 from tests.llm.test_operators import SF, plain_components, plain_features, plain_fingerprint, plain_targets, plain_vote, rows_of, shingles
+from tests.llm.test_suffixes import plain_dedup
 
 COLUMNS = {
     "op1_decontamination": {"doc_id", "item_id", "containment"}, "op2_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op3_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op4_token_counts": {"doc_id", "n_tokens"}, "op5_url_filters": {"page_id", "host", "path", "rule", "verdict"}, "op6_chat_formatting": {"conv_id", "chunk", "rendered"},
     "op7_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}, "op8_lm_scoring": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9_simhash": {"doc_id", "fingerprint", "component_id"}, "op10_substring_dedup": {"doc_id", "first_word", "n_words", "removed"},
+    "op11_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}, "op12_divergence": {"lang", "source", "part", "item", "value", "rank"},
+    "op13_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
 }
 
 
@@ -27,13 +30,20 @@ def test_query_runs_over_its_table(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert set(got.columns) >= COLUMNS[name]
     rows = rows_of(got)
-    if name not in ("op1_decontamination", "op10_substring_dedup"):
+    if name not in ("op1_decontamination", "op10_substring_dedup", "op12_divergence", "op13_hard_negatives"):
         table, key = {"op5_url_filters": ("pages", "page_id"), "op6_chat_formatting": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
         assert {r[key] for r in rows} == {r[key] for r in rows_of(spark.read.parquet(f"{SF}/{table}.parquet").select(key))}
     else:
         assert rows
 
 
+def test_suffix_query(spark):
+    """The registered query against plain byte strings over the whole table."""
+    docs = [(r["doc_id"], r["text"]) for r in rows_of(spark.read.parquet(f"{SF}/documents.parquet"))]
+    got = [tuple(r) for r in queries.QUERIES["op11_suffix_dedup"](spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got) == sorted(r[:5] for r in plain_dedup(docs)) and sum(r[2] for r in got) > 0
+
+
 def test_sharding_query(spark):
     rows = rows_of(queries.QUERIES["op3_sharding"](spark, SF))
     counts = collections.Counter(r["shard"] for r in rows)
