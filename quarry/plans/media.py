@@ -105,13 +105,17 @@ def _images(t):
 
 @query(f"""
 WITH {IMAGES}
-SELECT doc_id AS image_id, 'image_global' AS modality, 0 AS chunk_index, CASE WHEN lang = 'de' THEN 'Image: img' || doc_id ELSE source END AS text, '' AS box, CAST((SELECT count(*) FROM ok WHERE ok.doc_id = documents.doc_id) AS INTEGER) AS region_count FROM documents
+SELECT doc_id AS image_id, 'image_global' AS modality, 0 AS chunk_index, CASE WHEN lang = 'de' THEN 'Image: img' || doc_id ELSE source END AS text, '' AS box, CAST((SELECT count(*) FROM ok WHERE ok.doc_id = documents.doc_id) AS INTEGER) AS region_count,
+  -1.0::DOUBLE AS left_share, -1.0::DOUBLE AS top_share, -1.0::DOUBLE AS right_share, -1.0::DOUBLE AS bottom_share FROM documents
 UNION ALL
-SELECT doc_id, 'image_local', CAST(n AS INTEGER), CASE WHEN pos = 0 AND lang = 'fr' THEN source ELSE 'Image: img' || doc_id END || CASE pos WHEN 0 THEN ' | Region: chart | chart' ELSE ' | Region: photo | wide' END, concat_ws(',', a1, b1, a2, b2), 0 FROM ok
+SELECT doc_id, 'image_local', CAST(n AS INTEGER), CASE WHEN pos = 0 AND lang = 'fr' THEN source ELSE 'Image: img' || doc_id END || CASE pos WHEN 0 THEN ' | Region: chart | chart' ELSE ' | Region: photo | wide' END, concat_ws(',', a1, b1, a2, b2), 0,
+  round(a1 / 200.0::DOUBLE, 6), round(b1 / 100.0::DOUBLE, 6), round(a2 / 200.0::DOUBLE, 6), round(b2 / 100.0::DOUBLE, 6) FROM ok
 """)
 def image_chunks(t):
     c = D.image_chunks(_images(t))
-    return c.select("image_id", "modality", "chunk_index", "text", F.concat_ws(",", F.col("crop_bbox").cast("array<string>")).alias("box"), F.coalesce("region_count", F.lit(0)).alias("region_count"))
+    shares = [F.coalesce(F.round(F.get("crop_bbox_normalized", F.lit(k)), 6), F.lit(-1.0)).alias(f"{side}_share") for k, side in enumerate(("left", "top", "right", "bottom"))]
+    box = F.concat_ws(",", F.col("crop_bbox").cast("array<string>")).alias("box")
+    return c.select("image_id", "modality", "chunk_index", "text", box, F.coalesce("region_count", F.lit(0)).alias("region_count"), *shares)
 
 
 SCENES = """

@@ -55,8 +55,15 @@ def write_results(results: DataFrame, folder: str, run_id: str, timestamp: str)
     return name
 
 
-def read_results(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
-    """A run's results, by run_id among all files of the folder."""
+def read_results(spark: SparkSession, folder: str, run_id: str, timestamp: str | None = None) -> DataFrame:
+    """A run's results: the file that its timestamp names, if it is there and holds the run, else by run_id among all files of the folder."""
+    if timestamp is not None:
+        name = spark.range(1).select(results_name(F.lit(timestamp)).alias("n")).first()["n"]
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            named = spark.read.json(f"{folder}/{name}").where(F.col("run_id") == run_id)
+            if not named.isEmpty():
+                return named
     return spark.read.option("recursiveFileLookup", "true").json(folder).where(F.col("run_id") == run_id)
 
 

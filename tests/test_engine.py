@@ -213,6 +213,8 @@ def test_stores(spark, tmp_path):
     assert V.chosen_run(runs).first()["run_id"] == "r2" and V.chosen_run(runs, "r9").count() == 0
     name = T.write_results(spark.createDataFrame([(1, "ok")], "query_id long, status string"), str(tmp_path / "results"), "r1", "2025-01-01T00:00:00+00:00")
     assert name == "results_2025-01-01T00-00-0000-00.json" and T.read_results(spark, str(tmp_path / "results"), "r1").count() == 1
+    by_name = lambda run_id, at: T.read_results(spark, str(tmp_path / "results"), run_id, at).count()
+    assert by_name("r1", "2025-01-01T00:00:00+00:00") == by_name("r1", "2026-01-01T00:00:00+00:00") == 1 and by_name("r2", "2025-01-01T00:00:00+00:00") == 0
     assert T.read_logs(spark, str(tmp_path / "logs")).count() == 0
     logs = spark.createDataFrame([("2025-02-01T00:00:00", 1.0), ("2025-01-01T00:00:00", 2.0)], "timestamp string, latency_ms double")
     assert [r["latency_ms"] for r in T.recent_logs(logs, "2025-02-10T00:00:00").collect()] == [1.0]
