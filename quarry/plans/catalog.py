@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import measures as M
+from ..sources import chunk_store
 from ..sources import files as S
+from ..sources.scratch import shared_dir
 from . import answers, media, search  # noqa: F401  these register their queries
 from .registry import QUERIES, SQL, query
 from .search import TOKENS
@@ -87,6 +91,17 @@ def insert_if_absent(t):
     return C.insert_if_absent(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")).select("doc_id", "chunk_id")
 
 
+@query("SELECT DISTINCT sha256(text) AS chunk_id FROM documents WHERE text IS NOT NULL")
+def chunk_store_inserts(t):
+    """What a store holds after an upload of every second document and then of all: each chunk once."""
+    d = t("documents").select("doc_id", F.sha2("text", 256).alias("chunk_id"))
+    spark, path = d.sparkSession, f"{shared_dir(d.sparkSession)}/{uuid.uuid4().hex}"
+    for some in (d.where("doc_id % 2 = 0"), d):
+        chunk_store.add_chunks(spark, path, some)
+    stored = chunk_store.read_chunks(spark, path)
+    return (d.limit(0) if stored is None else stored).select("chunk_id")
+
+
 @query("SELECT file_hash, count(*) AS copies, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(text) AS file_hash FROM documents) GROUP BY file_hash")
 def file_dedup(t):
     return t("documents").groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))

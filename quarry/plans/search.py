@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import generation as G
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..sources import keyword_store
+from ..sources.scratch import shared_dir
 from .registry import query
 
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
@@ -55,6 +59,16 @@ def bm25_top20(t):
     return keyword(t).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {BM25} SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k")
+def keyword_store_top20(t):
+    """The same lists from an index that grew by two uploads, of every third document and then of all."""
+    d = t("documents").select("doc_id", "text")
+    spark, path = d.sparkSession, f"{shared_dir(d.sparkSession)}/{uuid.uuid4().hex}"
+    for some in (d.where("doc_id % 3 = 0"), d):
+        keyword_store.add_documents(spark, path, some)
+    return R.bm25(keyword_store.read_index(spark, path), questions(t)).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def bm25_stemmed(t):
     """With stems and without clips, as the index of chunks is built; SQL has no stems."""
