@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import media as D
+from ..sources import blobs as B
 from ..sources import files as S
+from ..sources.scratch import shared_dir
 from .registry import query
 
 # ---------------------------------------------------------------- paragraphs and chunks
@@ -163,3 +167,15 @@ def stamped_chunks(t):
     uri = F.when(F.col("doc_id") % 3 == 0, "gs://media/media/x.jpg").otherwise("gs://other/media/x.jpg")
     title = S.title(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(" "), F.concat(F.lit("/up/"), "source"))
     return d.select("doc_id", "source", "file_hash", title.alias("title"), S.blob_name(uri, "media").alias("blob"))
+
+
+@query("""
+SELECT DISTINCT 'media/' || sha256(text) || '/img_0.png' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL
+""")
+def media_objects(t):
+    """What a store of objects holds after the bytes of all documents were written to it twice: equal bytes are one object."""
+    d = t("documents").where("text IS NOT NULL").select(F.concat(F.lit("media/"), F.sha2("text", 256), F.lit("/img_0.png")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    spark, root = d.sparkSession, f"{shared_dir(d.sparkSession)}/{uuid.uuid4().hex}"
+    for _ in range(2):
+        B.write_blobs(d, root)
+    return B.read_blobs(spark, root).select("name", "length", F.sha2("content", 256).alias("content_hash"))
