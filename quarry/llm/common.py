@@ -23,6 +23,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ..., and the new name of each: names inside an operator can't clash with them then."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def put_back(docs: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The columns that were set apart under their own names, and more."""
+    return docs.select(*[F.col(new).alias(own) for own, new in names.items()], *more)
+
+
 def arrow_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of a text column; null becomes empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -27,7 +27,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 @query
@@ -163,7 +163,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 SQL["op2_mixing"] = f"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
@@ -176,19 +176,39 @@ WITH RECURSIVE d AS (
   SELECT source, source_size, total, CAST(ceil(total / {mixing.SLOTS}) AS BIGINT) AS block,
     least(CAST(3 * source_size AS DOUBLE), weight * (SELECT arg_min(rate, ratio) FROM r WHERE rate <= ratio)) AS target FROM r
 ), e AS (
-  SELECT *, coalesce(lag(high) OVER (ORDER BY source ASC NULLS LAST), 0.0) AS low FROM (
-    SELECT *, sum(target) OVER (ORDER BY source ASC NULLS LAST) / total AS high FROM g)
+  SELECT * EXCLUDE (high), coalesce(lag(high) OVER w, 0.0) AS low, CASE WHEN lead(total) OVER w IS NULL THEN 1.0 ELSE high END AS high FROM (
+    SELECT *, sum(target) OVER (ORDER BY source ASC NULLS LAST) / total AS high FROM g WHERE target > 0)
+  WINDOW w AS (ORDER BY source ASC NULLS LAST)
+), n AS (
+  SELECT coalesce(CAST(ceil(max(total) / max(block)) AS BIGINT), 0) AS n FROM e
 ), p AS (
-  SELECT slot, (slot + 1) * {mixing.GOLDEN} - floor((slot + 1) * {mixing.GOLDEN}) AS u
-  FROM range(coalesce((SELECT CAST(ceil(max(total) / max(block)) AS BIGINT) FROM g), 0)) t(slot)
-), used AS (
-  SELECT source, count(*) AS slots FROM (SELECT p.slot, arg_max(e.source, e.low) AS source FROM p JOIN e ON e.low <= p.u AND e.low < e.high GROUP BY p.slot) GROUP BY source
+  SELECT slot, (slot + 1) * {mixing.GOLDEN} - floor((slot + 1) * {mixing.GOLDEN}) AS u FROM range((SELECT n FROM n)) t(slot)
+), hit AS MATERIALIZED (
+  SELECT p.slot, e.source FROM p JOIN e ON e.low <= p.u AND p.u < e.high
+), slots AS (
+  SELECT * FROM hit UNION ALL
+  SELECT n.n + row_number() OVER (ORDER BY source ASC NULLS LAST) - 1, source FROM e, n
+  WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.source IS NOT DISTINCT FROM e.source)
+), ranked AS MATERIALIZED (
+  SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM slots
+), q AS (
+  SELECT *, used // blocks AS q, used % blocks AS m FROM (
+    SELECT g.source, g.source_size, g.target, least(CAST(round(g.target) AS BIGINT), 3 * g.source_size) AS used, coalesce(b.blocks, 1) AS blocks
+    FROM g LEFT JOIN (SELECT source, count(*) AS blocks FROM ranked GROUP BY source) b ON b.source IS NOT DISTINCT FROM g.source)
 ), placed AS (
-  SELECT d.*, g.source_size, g.target, g.block, least(coalesce(used.slots, 0) * g.block, 3 * g.source_size) AS used,
+  SELECT d.*, q.* EXCLUDE (source),
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size, d.row_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN used ON used.source IS NOT DISTINCT FROM g.source
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), lays AS (
+  SELECT *, start + lay * source_size AS a, least(start + lay * source_size + size, used) AS z FROM placed, range(3) t(lay)
+), blocks AS (
+  SELECT *, CASE WHEN a < m * (q + 1) THEN a // (q + 1) ELSE m + (a - m * (q + 1)) // greatest(q, 1) END AS low,
+    CASE WHEN z - 1 < m * (q + 1) THEN (z - 1) // (q + 1) ELSE m + (z - 1 - m * (q + 1)) // greatest(q, 1) END AS high
+  FROM lays WHERE size > 0 AND a < used
+), taken AS (
+  SELECT b.row_id, sum(z - a) AS taken, min(k.slot) AS first_slot, sum(high - low + 1) AS n_blocks
+  FROM blocks b JOIN ranked k ON k.source IS NOT DISTINCT FROM b.source AND k.rank = b.low GROUP BY b.row_id
 )
-SELECT doc_id, size, source_size, target,
-  CAST(least(size, greatest(0, used - start)) + least(size, greatest(0, used - start - source_size)) + least(size, greatest(0, used - start - 2 * source_size)) AS BIGINT) AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(first_slot, -1) AS BIGINT) AS first_slot, CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks
+FROM placed LEFT JOIN taken USING (row_id)
 """

@@ -16,7 +16,7 @@ from tests.llm.test_operators import SF, plain_components, plain_features, plain
 from tests.llm.test_suffixes import plain_dedup
 
 COLUMNS = {
-    "op1_decontamination": {"doc_id", "item_id", "containment"}, "op2_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op3_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op1_decontamination": {"doc_id", "item_id", "containment"}, "op2_mixing": {"doc_id", "size", "source_size", "target", "taken", "first_slot", "n_blocks"}, "op3_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op4_token_counts": {"doc_id", "n_tokens"}, "op5_url_filters": {"page_id", "host", "path", "rule", "verdict"}, "op6_chat_formatting": {"conv_id", "chunk", "rendered"},
     "op7_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}, "op8_lm_scoring": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9_simhash": {"doc_id", "fingerprint", "component_id"}, "op10_substring_dedup": {"doc_id", "first_word", "n_words", "removed"},
@@ -68,28 +68,17 @@ def test_sql_twin(spark, name):
 
 
 def plain_copies(docs):
-    """How often the mix takes each document: golden-ratio slots to sources, whole blocks in the order of hashed ids."""
+    """How often the mix takes each document: in the order of hashed ids, as long as their first word lies under the target."""
     size = {k: plain_features(d["text"])[0] for k, d in enumerate(docs)}
     per = collections.Counter()
     for k, d in enumerate(docs):
         per[d["source"]] += size[k]
-    target, total = plain_targets(per), sum(per.values())
-    names = sorted(per, key=lambda s: (s is None, s or ""))
-    block = math.ceil(total / mixing.SLOTS)
-    edge, high = [], 0.0
-    for s in names:
-        high += target[s]
-        edge.append(high / total)
-    used = collections.Counter()
-    for slot in range(math.ceil(total / block)):
-        u = (slot + 1) * mixing.GOLDEN % 1
-        used[names[min(sum(e <= u for e in edge), len(names) - 1)]] += block
+    target = plain_targets(per)
     out = collections.Counter()
-    for s in names:
-        end = min(round(target[s]) if block > 1 and target[s] < mixing.EXACT * block else used[s], 3 * per[s])
+    for s in per:
         start = 0
         for k in sorted((k for k, d in enumerate(docs) if d["source"] == s), key=lambda k: (hashlib.md5(str(docs[k]["doc_id"]).encode()).hexdigest(), size[k])):
-            out[docs[k]["doc_id"]] += sum(size[k] > 0 and start + n * per[s] < end for n in range(3))
+            out[docs[k]["doc_id"]] += sum(size[k] > 0 and start + n * per[s] < min(round(target[s]), 3 * per[s]) for n in range(3))
             start += size[k]
     return out
 
