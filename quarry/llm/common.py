@@ -29,7 +29,7 @@ def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
-def put_back(docs: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+def put_back(docs: DataFrame, names: dict[str, str], *more: str | Column) -> DataFrame:
     """The columns that were set apart under their own names, and more."""
     return docs.select(*[F.col(new).alias(own) for own, new in names.items()], *more)
 

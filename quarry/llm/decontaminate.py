@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, arrow_texts, bitmap, bits_for, in_bitmap, materialise, minhash_multipliers, mixed, shingle_hashes, word_hashes
+from .common import SIMILARITY, arrow_texts, bitmap, bits_for, in_bitmap, materialise, minhash_multipliers, mixed, put_back, set_apart, shingle_hashes, word_hashes
 
 HASHES = 48
 #: Slots of the bitmaps for each of the items' hashes: a long document asks thousands of times.
@@ -86,14 +86,15 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shingles.append(s.view(np.int64))
                 keys.append(np.unique(_tagged(_minima(s, None), cls)).view(np.int64))
         yield pa.RecordBatch.from_pydict(
-            {"item_row": pa.array(rows, pa.int64()), "item_id": pa.array(items, pa.int64()), "cls": pa.array(classes, pa.int32()), "item_shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            {"item_row": pa.array(rows, pa.int64()), "item_id": pa.array(items, batch.column("item_id").type), "cls": pa.array(classes, pa.int32()), "item_shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
 
 def candidates(docs: DataFrame, items: DataFrame, text: str, id_column: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(items with shingles and keys; documents (doc_row, doc_id, hits, shingles) of which a window meets an item)."""
     spark = docs.sparkSession
-    named = items.select(F.monotonically_increasing_id().alias("_item_row"), F.col("item_id").cast("long").alias("item_id"), F.col("text"))
-    index = materialise(named.mapInArrow(_item_rows, "item_row long, item_id long, cls int, item_shingles array<bigint>, keys array<bigint>"))
+    named = items.select(F.monotonically_increasing_id().alias("_item_row"), F.col("item_id"), F.col("text"))
+    item_kind, doc_kind = (df.select(F.col(c)).schema[0].dataType.simpleString() for df, c in ((items, "item_id"), (docs, id_column)))
+    index = materialise(named.mapInArrow(_item_rows, f"item_row long, item_id {item_kind}, cls int, item_shingles array<bigint>, keys array<bigint>"))
     classes = sorted(r[0] for r in index.select("cls").distinct().collect())
     smallest = index.agg(F.min(F.size("item_shingles"))).first()[0] or 1
     need = math.ceil(least * smallest - 1e-9)  # no item is held by fewer shingles
@@ -119,11 +120,11 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, id_column: str, lea
                 if len(hits):
                     out.append((row, doc, hits.view(np.int64), np.unique(s[known]).view(np.int64)))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), batch.column("_id").type, pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_row", "doc_id", "hits", "shingles"])
 
-    read = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return index, materialise(read.mapInArrow(scan, "doc_row long, doc_id long, hits array<bigint>, shingles array<bigint>"))
+    read = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text).alias("_text"))
+    return index, materialise(read.mapInArrow(scan, f"doc_row long, doc_id {doc_kind}, hits array<bigint>, shingles array<bigint>"))
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -144,6 +145,9 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str
 
     The leaks' ids are written first, so Spark knows their size when it chooses the join.
     """
-    key = F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text))
-    leaks = materialise(find(docs.select(key.alias(id_column), text), items, text, id_column, least).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, key == F.col("_leak"), "left_anti")
+    inner, names = set_apart(docs)
+    own, words = names[id_column], names[text]
+    key = F.coalesce(F.concat(F.lit("id "), F.col(own).cast("string")), F.concat(F.lit("text "), F.xxhash64(words).cast("string")))
+    leaks = find(inner.select(key.alias("key"), F.col(words).alias("text")), items, id_column="key", least=least)
+    leaks = materialise(leaks.select(F.col("doc_id").alias("_leak")).distinct())
+    return put_back(inner.join(leaks, key == F.col("_leak"), "left_anti"), names)

@@ -26,7 +26,7 @@ Texts are read twice: once for paragraphs, once for the shingles of those conten
 that share a bucket (found through a bitmap of 16 MB at most, then joined exactly).
 
 Words are lower-cased (A-Z); white space between them doesn't count. Nulls: a null
-text has no paragraphs; a null doc_id sorts first. Repeated rows are documents of their
+text has no paragraphs; a null doc_id sorts first; ids keep their type. Repeated rows are documents of their
 own. Empty tables give empty results. Lines under LEAST words in longer texts are no
 paragraphs: they are as short as common phrases.
 """
@@ -138,7 +138,7 @@ def _bounds(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _read(docs: DataFrame, text: str, id_column: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text).alias("_text"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +152,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((row, doc, shingles, start, length, content, at, cut))
                 size += len(hashes)
             if size > BLOCK:
-                yield _found(held)
+                yield _found(held, batch.column("_id").type)
                 held, size = [], 0
         if held:
-            yield _found(held)
+            yield _found(held, batch.column("_id").type)
 
 
-def _found(held: list[tuple]) -> pa.RecordBatch:
+def _found(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     rows, docs, shingles, start, length, content, at, cut = zip(*held, strict=True)
     offset = np.cumsum([0, *(len(s) + 1 for s in shingles)])[:-1]
     joined = np.concatenate([x for s in shingles for x in (s, _ONE)])  # a place at each end, so that bounds lie inside
@@ -168,7 +168,7 @@ def _found(held: list[tuple]) -> pa.RecordBatch:
     keys = pa.concat_arrays([lists, pa.nulls(sum(windows), pa.list_(pa.int64()))])
     spread = lambda x: [v for counts in (written, windows) for v, n in zip(x, counts, strict=True) for _ in range(n)]
     n_words = np.concatenate([*length, np.full(sum(windows), LENGTH)])
-    cols = [pa.array(spread(rows), pa.int64()), pa.array(spread(docs), pa.int64()), pa.array(np.concatenate([*start, *at]).astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(np.concatenate([*content, *cut]).view(np.int64)), keys]
+    cols = [pa.array(spread(rows), pa.int64()), pa.array(spread(docs), kind), pa.array(np.concatenate([*start, *at]).astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(np.concatenate([*content, *cut]).view(np.int64)), keys]
     return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "place", "n", "content", "keys"])
 
 
@@ -267,7 +267,8 @@ def paragraphs(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -
     row numbers documents, place and n count words, component is the smallest content
     (a signed hash) of the component, of which one place isn't removed.
     """
-    found = materialise(_read(docs, text, id_column).mapInArrow(_scan, "row long, doc_id long, place int, n int, content long, keys array<bigint>"))
+    read = _read(docs, text, id_column)
+    found = materialise(read.mapInArrow(_scan, f"row long, doc_id {read.schema['_id'].dataType.simpleString()}, place int, n int, content long, keys array<bigint>"))
     first = F.min(F.struct("doc_id", "row", "place")).alias("first")
     spread = [first, F.min("row").alias("low"), F.max("row").alias("high")]
 

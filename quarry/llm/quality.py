@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, put_back, set_apart
 
 SYMBOLS = "[#*$%&|<>]"
 PUNCTUATION = r"[^\p{L}\p{M}\p{N}_\s]"
@@ -107,20 +107,22 @@ def _with_repeats(df: DataFrame, words: str, window: int = 3) -> DataFrame:
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns FEATURES (all long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """docs with the columns FEATURES (all long), in place of any of these names."""
+    inner, names = set_apart(docs)
+    t = F.coalesce(F.col(names[text]), F.lit(""))
+    names = {own: new for own, new in names.items() if own not in FEATURES}
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\f\r"))) > 0)
     words = F.array_remove(F.split(_each(t, "\t\n\x0b\f\r", " "), " ", -1), "")
     ended = F.filter("_l", lambda x: F.right(F.rtrim(x, F.lit(" \t\x0b\f\r")), F.lit(1)).isin(*ENDS))
-    out = docs.withColumns({"_w": words, "_l": lines, "_found": F.struct(
+    out = inner.withColumns({"_w": words, "_l": lines, "_found": F.struct(
         F.length(_each(t, " \t\n\x0b\f\r", "")).alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
         count("[A-Z]").alias("n_upper"), count(PUNCTUATION).alias("n_punctuation"))})
     out = _with_repeats(out, "_w")
     named = {"n_words": F.size("_w"), "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": F.col("_repeats"), "n_lines": F.size("_l")}
     named |= {"n_single": F.size(F.filter("_w", lambda x: F.length(x) == 1)), "n_distinct": F.size(F.array_distinct("_w")), "n_ended": F.size(ended)}
     named |= {c: F.col(f"_found.{c}") for c in ("word_chars", "n_symbols", "n_upper", "n_punctuation")}
-    return out.withColumns({c: named[c].cast("long") for c in FEATURES}).drop("_w", "_l", "_found", "_repeats")
+    return put_back(out, names, *[named[c].cast("long").alias(c) for c in FEATURES])
 
 
 def expectation_maximisation(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, prior: float = 0.8) -> tuple[float, np.ndarray]:

@@ -12,7 +12,8 @@ sizes differ by one row at most.
 Random orders come from seeded hashes of the row's id and text and of its number among
 the rows that are equal in both, so reruns agree, a lost task is redone alike and
 repeated rows fall apart as any others. Nulls: a null text has no bytes; null ids hash
-as null. Empty tables give an empty result.
+as null. Empty tables give an empty result. Further columns may have any names but
+shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import put_back, set_apart
+
 ROW_BYTES = 16
 
 
@@ -122,9 +125,10 @@ def assign(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text: s
     before = F.element_at(F.lit(offsets.tolist()).cast("array<bigint>"), F.col("_cell") + 1)
     slot = before + F.row_number().over(W.partitionBy("_cell").orderBy(second, *ties)) - 1
     dealt = dealt.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("_cell") / k).cast("int")).drop("_cell")
-    copy = F.row_number().over(W.partitionBy("_content").orderBy(F.xxhash64(*docs.columns)))
-    numbered = docs.withColumn("_content", content).withColumn("_copy", copy.cast("long"))
-    return numbered.join(dealt, ties).drop(*ties)
+    inner, names = set_apart(docs)
+    copy = F.row_number().over(W.partitionBy("_content").orderBy(F.xxhash64(*names.values())))
+    numbered = inner.withColumn("_content", F.xxhash64(names[id_column], names[text])).withColumn("_copy", copy.cast("long"))
+    return put_back(numbered.join(dealt, ties), names, "shard", "slot")
 
 
 def size(text: Column) -> Column:

@@ -12,7 +12,7 @@ bytes of the other segment, which loses no link); components follow by contracti
 Exact copies collapse before the index. Nulls: a null text has no words, as an empty
 one; texts without words have fingerprint zero, which links like any other. A null
 doc_id is never a component's id unless all its documents have null. Empty tables
-give empty results; repeated rows are all returned.
+give empty results; repeated rows are all returned. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, forest, materialise, runs
+from .common import components, forest, materialise, put_back, runs, set_apart
 
 WORDS = 3
 SEED = 42
@@ -150,15 +150,17 @@ def deduplicate(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     classed = marked.join(rooted, "fp")
     gone = materialise(classed.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     shared = materialise(marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_shared")))
-    kept = docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    inner, names = set_apart(docs)
+    own, words = names[id_column], names[text]
+    kept = inner.join(gone, F.col(own) == F.col("_gone"), "left_anti")
     if not marked.where("doc_id IS NULL").isEmpty():
-        without = docs.where(F.col(id_column).isNull()).select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_t"))
+        without = inner.where(F.col(own).isNull()).select(F.struct(*inner.columns).alias("_doc"), F.col(words).alias("_t"))
         alone = with_fingerprints(without, ("_doc",), "_t").join(rooted.where("component_id IS NULL"), "fp")
         single = alone.groupBy("root").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc.*")
-        kept = kept.where(F.col(id_column).isNotNull()).unionByName(single)
+        kept = kept.where(F.col(own).isNotNull()).unionByName(single)
     if shared.isEmpty():
-        return kept
-    same = F.col(id_column) == F.col("_shared")
-    order = W.partitionBy(id_column).orderBy(F.xxhash64(*docs.columns), text)
+        return put_back(kept, names)
+    same = F.col(own) == F.col("_shared")
+    order = W.partitionBy(own).orderBy(F.xxhash64(*inner.columns), words)
     one = kept.join(shared, same, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return kept.join(shared, same, "left_anti").unionByName(one)
+    return put_back(kept.join(shared, same, "left_anti").unionByName(one), names)

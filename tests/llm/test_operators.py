@@ -766,3 +766,36 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert all(find(x) == r for x, r in got.items()) and got.keys() == {x for e in edges if e[0] != e[1] for x in e}
+
+
+# ---------------------------------------------------------------- names and ids
+
+
+@pytest.mark.parametrize("apply", [
+    lambda d: quality.judge(d).drop(*quality.FEATURES, *(f"vote_{r.name}" for r in quality.RULES), "quality", "base_failed", "kept"),
+    lambda d: simhash.deduplicate(d), lambda d: mixing.mix_documents(d), lambda d: sharding.assign(d, shards=3).drop("shard", "slot"),
+    lambda d: decontaminate.clean(d, d.where("doc_id = 8").selectExpr("doc_id AS item_id", "text"))])
+def test_columns_of_any_name_stay(spark, apply):
+    plain = spark.createDataFrame(odd_rows(), SCHEMA)
+    clashing = plain.withColumns({c: F.lit(f"own {c}") for c in INNER})
+    got = apply(clashing)
+    assert got.columns == clashing.columns
+    rows = rows_of(got)
+    assert all(r[c] == f"own {c}" for r in rows for c in INNER)
+    counted = lambda rows: collections.Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
+    if apply(plain).count() > 0:
+        assert counted(rows).total() == apply(plain).count() > 0
+
+
+def test_ids_keep_their_type(spark, sample):
+    """Text ids give what numbers give."""
+    named = lambda k: f"doc-{k}"
+    text_ids = sample.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")))
+    items = sample.sparkSession.read.parquet(f"{SF}/benchmark.parquet")
+    text_items = items.withColumn("item_id", F.concat(F.lit("item-"), F.col("item_id")))
+    leaks = {(named(r["doc_id"]), f"item-{r['item_id']}") for r in rows_of(decontaminate.find(sample, items))}
+    assert leaks and {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.find(text_ids, text_items))} == leaks
+    kept = lambda d, i: {r["doc_id"] for r in rows_of(decontaminate.clean(d, i))}
+    assert kept(text_ids, text_items) == {named(k) for k in kept(sample, items)}
+    words = lambda d: collections.Counter({True: 0, False: 0} | {r["removed"]: r["n"] for r in rows_of(paragraphs.repeats(d).groupBy("removed").agg(F.count("*").alias("n")))})
+    assert words(text_ids).total() > 0 and isinstance(paragraphs.repeats(text_ids).first()["doc_id"], str)
