@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +45,16 @@ def manifest(spark: SparkSession, path: str) -> dict | None:
     names = sorted((f.getPath().getName() for f in files.listStatus(p)), reverse=True)
     for name in names:
         stream = files.open(_files(spark, f"{path}/manifests/{name}")[0])
-        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
         try:
-            found = json.loads(text)
+            found = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         except ValueError:  # is being written
             continue
+        except Py4JJavaError as e:  # is being written, and its checksum is not there yet
+            if "ChecksumException" not in e.java_exception.getClass().getName():
+                raise
+            continue
+        finally:
+            stream.close()
         return found if found.get("format") == FORMAT else None
     return None
 
@@ -94,15 +99,23 @@ def read_index(spark: SparkSession, path: str) -> Index | None:
     return Index(postings, bounds, weighed(df.groupBy("term").agg(F.sum("df").alias("df")), stats), stats, docs, found["stems"])
 
 
+def _first_rows(batch: DataFrame) -> DataFrame:
+    """One row of each id; texts of ids that are not repeated stay where they are."""
+    twice = materialise(batch.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return batch
+    return batch.join(twice, "doc_id", "left_anti").unionByName(batch.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def add_documents(spark: SparkSession, path: str, docs: DataFrame, stems: bool = False) -> int:
     """Adds the documents (doc_id, text) that the index lacks; of an id repeated in the batch one row. Returns the version, 0 for an index that never had any."""
-    batch = docs.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
+    batch = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     while True:
         found = manifest(spark, path) or {"format": FORMAT, "version": 0, "stems": stems, "segments": []}
         if found["stems"] != stems:
             raise ValueError("the index was built with other stems")
         new = batch.join(_read(spark, path, found, "docs"), "doc_id", "left_anti") if found["segments"] else batch
-        new = materialise(new)
+        new = materialise(_first_rows(new))
         if new.isEmpty():
             return found["version"]
         segment = _segment(index(new, stems), path)
