@@ -123,3 +123,28 @@ def test_nothing(spark, table):
     assert not R.vector_search(table[1], q.limit(0)).count() and not V.search(V.build(table[1]), q.limit(0)).count()
     with pytest.raises(ValueError):
         V.search(V.build(table[1]), q, V.LONGEST + 1)
+
+
+def test_small_pieces_share_a_block(spark, table):
+    """A question meets a block once, however many pieces it reads there."""
+    queries, df = asked(table)
+    own = V.build(table[1], n_lists=3, rows=5)
+    blocks = V._blocks(own)
+    assert own.pieces.count() > 100 and blocks.count() < 10  # a block a list and width
+    pairs = V._first_pieces(own, blocks, V._asks(df, "qid", "embedding"), 20).collect()
+    assert pairs and len({(r["qid"], r["block"]) for r in pairs}) == len(pairs) < sum(len(r["own"]) for r in pairs)
+    assert found(V.search(own, df, 20)) == plain(table[0], queries, 20)
+
+
+def test_centres_come_from_a_bounded_sample(spark, monkeypatch):
+    """What reaches the driver doesn't grow with the rows or the partitions."""
+    monkeypatch.setattr(V, "SAMPLE", 40)
+    seen = []
+    monkeypatch.setattr(V, "_fitted", lambda x, k, f=V._fitted: seen.append(len(x)) or f(x, k))
+    v = spark.range(3000).repartition(30).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    written = []
+    monkeypatch.setattr(V, "materialise", lambda df, f=V.materialise: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    own = V.build(v)
+    assert seen == [40] and "xxhash64" in written[0] and "<=" in written[0]
+    q = v.where("vec_id < 4").withColumnRenamed("vec_id", "qid")
+    assert found(V.search(own, q, 3)) == found(V.scan(v, q, 3))
