@@ -117,16 +117,21 @@ def fold_chunks(paragraphs: DataFrame, most: int = MOST, overlap: int = OVERLAP,
 
     types = [to_arrow_type(kept.schema["doc_id"].dataType), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
     ordered = sections.repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "idx")
-    chunks = ordered.mapInArrow(fold, f"doc_id {kind}, section long, heading string, k int, first int, end int")
+    chunks = materialise(ordered.mapInArrow(fold, f"doc_id {kind}, section long, heading string, k int, first int, end int"))
+    cut = F.pandas_udf(lambda ts: ts.map(lambda t: None if t is None else counter.windows(t, most, overlap)), "array<string>")
+    # Places of chunks come from numbers, so texts need not meet by document again.
+    long_ones = kept.where(F.col("n_tokens") > most).select("doc_id", F.col("idx").alias("first"), F.size(cut("text")).alias("pieces"))
+    pieces = F.coalesce(F.when(F.col("end") - F.col("first") == 1, F.col("pieces")), F.lit(1))
+    before = F.sum("pieces").over(W.partitionBy("doc_id").orderBy("section", "k").rowsBetween(W.unboundedPreceding, 0)) - F.col("pieces")
+    chunks = chunks.join(long_ones, ["doc_id", "first"], "left").withColumn("pieces", pieces).withColumn("place", before)
     parts = chunks.withColumn("idx", F.explode(F.sequence("first", F.col("end") - 1))).join(kept.select("doc_id", "idx", "page", "text", "n_tokens"), ["doc_id", "idx"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n")
     whole = parts.groupBy("doc_id", "section", "k").agg(
-        F.first("heading").alias("heading"), F.min_by("page", "idx").alias("page"), F.max("n_tokens").alias("n"), F.count("*").alias("size"), texts.alias("text"))
-    cut = F.pandas_udf(lambda ts: ts.map(lambda t: None if t is None else counter.windows(t, most, overlap)), "array<string>")
+        F.first("heading").alias("heading"), F.first("place").alias("place"), F.min_by("page", "idx").alias("page"), F.max("n_tokens").alias("n"), F.count("*").alias("size"), texts.alias("text"))
     long = F.when((F.col("n") > most) & (F.col("size") == 1), F.col("text"))  # a UDF sees all rows, whatever stands around it
     pieces = F.coalesce(cut(long), F.array("text"))
-    out = whole.select("doc_id", "section", "k", "heading", "page", F.posexplode(pieces).alias("part", "text"))
-    at = F.row_number().over(W.partitionBy("doc_id").orderBy("section", "k", "part")) - 1
+    out = whole.select("doc_id", "place", "heading", "page", F.posexplode(pieces).alias("part", "text"))
+    at = (F.col("place") + F.col("part")).cast("int")
     return out.select("doc_id", at.alias("chunk_index"), F.col("page").cast("int").alias("page"), "heading", "text").where(~has_marker(F.col("text")))
 
 

@@ -129,3 +129,14 @@ def test_chunks_by_byte_pairs(spark, encoder):
     got = C.fold_chunks(spark.createDataFrame(rows, "doc_id long, para_no int, page int, heading string, text string"), 120, 30, own).orderBy("chunk_index").collect()
     sizes = [len(encoder.encode_ordinary(r["text"])) for r in got]
     assert max(sizes) <= 120 + 3 and len(got) > 6 and own.windows(words, 50, 10)[0] == encoder.decode(encoder.encode_ordinary(words)[:50])
+
+
+def test_texts_meet_by_document_once(spark):
+    """Chunks are numbered from counts: no window over texts is left, and a cut paragraph moves all that follow."""
+    rows = [(1, 0, 1, "", "a b"), (1, 1, 1, "", " ".join(["w"] * 1700)), (1, 2, 2, "h", "c"), (2, 0, 1, "", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, para_no int, page int, heading string, text string")
+    out = C.fold_chunks(df)
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert windows and not any("row_number" in x for x in windows)
+    got = sorted((r["doc_id"], r["chunk_index"], len(r["text"].split())) for r in out.collect())
+    assert got == [(1, 0, 2), (1, 1, 800), (1, 2, 800), (1, 3, 300), (1, 4, 1), (2, 0, 1)]
