@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise
@@ -39,6 +40,18 @@ def arrow_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Jobs that run inside send rows to Python in batches of some ``size`` bytes, a row at least. A task holds a batch several times over, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # ---------------------------------------------------------------- shingles
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +65,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def long_hashes(x: np.ndarray) -> np.ndarray:
+    """As the xxhash64 function of Spark, of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    x = x * p2
+    x = ((x << np.uint64(31)) | (x >> np.uint64(33))) * p1 ^ (p5 + np.uint64(42 + 8))
+    x = ((x << np.uint64(27)) | (x >> np.uint64(37))) * p1 + p4
+    x = (x ^ (x >> np.uint64(33))) * p2
+    x = (x ^ (x >> np.uint64(29))) * p3
+    return x ^ (x >> np.uint64(32))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     return np.fromiter((h(w) for w in words), np.uint64, len(words))

@@ -35,15 +35,13 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from .common import arrow_texts, bitmap, bits_for, bucket_bits, from_low_bytes, in_bitmap, low_bytes, materialise, mixed, packed, run_starts, runs, unpacked
+from .common import arrow_texts, bitmap, bits_for, bucket_bits, from_low_bytes, in_bitmap, long_hashes, low_bytes, materialise, mixed, packed, run_starts, runs, short_batches, unpacked
 from ..sources.scratch import discard
 
 DEPTH = 7
@@ -337,13 +335,12 @@ _ENDED = _hashes([b""])
 
 def _append(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Keys of contexts with one more token at their end. The empty context is 0."""
-    return mixed(context * _LEVEL + (token & np.uint64(TOKEN)) + np.uint64(1))
+    return long_hashes(context ^ (token & np.uint64(TOKEN)))
 
 
-@F.pandas_udf(LongType())
-def _appended(context: pd.Series, token: pd.Series) -> pd.Series:
-    keys = _append(context.to_numpy(np.int64).view(np.uint64), token.to_numpy(np.int64).view(np.uint64))
-    return pd.Series(keys.view(np.int64))
+def _appended(context: Column, token: Column) -> Column:
+    """As ``_append``. A Python function here would hold a second Python worker in tasks that have one."""
+    return F.xxhash64(context.bitwiseXOR(token.bitwiseAND(F.lit(TOKEN))))
 
 
 def _before(hashes: np.ndarray, starts: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -431,7 +428,7 @@ def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int
     passed = spark.sparkContext.broadcast(bitmap(nexts.select("h"), bits_for(size, 32)))
     # Words that agree in the 40 bits of a token count as one there.
     tokens = nexts.groupBy(F.col("h").bitwiseAND(F.lit(TOKEN)).alias("token")).agg(F.sum("c").alias("total"), F.min("share").alias("lower"))
-    level = materialise(tokens.select(_appended(F.lit(0).cast("long"), "token").alias("context"), F.lit(0).cast("long").alias("suffix"), "total", "lower"))
+    level = materialise(tokens.select(_appended(F.lit(0).cast("long"), F.col("token")).alias("context"), F.lit(0).cast("long").alias("suffix"), "total", "lower"))
     lower, contexts = level.select(F.col("context").alias("parent"), "lower"), level.select("context", "suffix", "total")
     end = int(_ENDED[0]) & TOKEN
     model = spark.createDataFrame([], "key long, value double, c long")
@@ -442,7 +439,7 @@ def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int
         allowed = spark.sparkContext.broadcast(bitmap(contexts.select("context"), bits_for(size, 32)))
         hot = np.sort(np.array([r[0] for r in contexts.where(F.col("total") > n / HOT).select("context").collect()], np.int64).view(np.uint64))
         counted = follow_counts(train, k, allowed, passed, hot, bucket_bits(n), listed)
-        grams = materialise(counted.join(contexts, "context").withColumn("parent", _appended("suffix", "token")).join(lower, "parent"))
+        grams = materialise(counted.join(contexts, "context").withColumn("parent", _appended(F.col("suffix"), F.col("token"))).join(lower, "parent"))
         sums = grams.groupBy("context", "total").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c") / F.col("total") / F.col("lower"))).alias("gain"))
         rest = F.col("total") - F.col("all") + FOLLOW_SMOOTH
         kept = materialise(sums.where(F.col("gain") >= gain).select("context", "total", rest.alias("rest"), F.log10(rest / (F.col("total") + FOLLOW_SMOOTH)).alias("leaves")))
@@ -488,7 +485,13 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unigram_score), one row for each document.
 
     unigram_score is that of the tree's root alone: the unigram with the same spelling, whose shares add up to 1 as the tree's do (the base's don't).
+    All of it is done when this returns, so that texts reach Python in short batches throughout.
     """
+    with short_batches(docs.sparkSession):
+        return _score(docs, text, id_column, head, model_head, order)
+
+
+def _score(docs: DataFrame, text: str, id_column: str, head: int, model_head: int, order: int) -> DataFrame:
     spark = docs.sparkSession
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = named.where("NOT held_out")
@@ -627,4 +630,4 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", head:
     each = met.mapInArrow(meet, f"row long, unigram double, score double, more double, more_logs double, own {own_type}").groupBy("row").agg(
         *[F.max(f"own.{x}").alias(x) for x in own_names[:5]], *[(F.sum(x) + F.max(f"own.{x}")).alias(x) for x in ("unigram", "score")], F.sum("more").cast("long").alias("more"), F.sum("more_logs").alias("more_logs"))
     base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    return each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score"))
+    return materialise(each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score")))

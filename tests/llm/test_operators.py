@@ -10,13 +10,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, decontaminate, lm, mixing, paragraphs, quality, sharding, simhash, tokens, urls
-from quarry.llm.common import bitmap, components
+from quarry.llm.common import bitmap, components, short_batches
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -643,6 +644,24 @@ def test_contexts_of_tokens_are_those_of_a_plain_tree(spark):
                 at += 1
 
 
+def test_lm_keeps_tasks_small(spark, docs, monkeypatch):
+    """Keys of contexts take no Python worker beside the one that counts them, and texts reach Python in short batches, to the last job."""
+    rng = np.random.default_rng(5)
+    context, token = (np.append(rng.integers(0, 2**64, 50, dtype=np.uint64), np.uint64(0)) for _ in range(2))
+    df = spark.createDataFrame(pa.table({"context": context.view(np.int64), "token": token.view(np.int64)})).select(lm._appended(F.col("context"), F.col("token")).alias("key"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r[0] for r in df.collect()] == lm._append(context, token).view(np.int64).tolist()
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(lm, "materialise", lambda df, f=lm.materialise: seen.append(spark.conf.get(name)) or f(df))
+    got = lm.score(docs)
+    assert set(seen) == {"4m"} and spark.conf.get(name) == before
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    with short_batches(spark, "100k"):
+        sizes = spark.range(300, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("t")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) <= 20 and sum(r["n"] for r in sizes) == 300
+
+
 def test_lm_is_a_distribution(spark):
     words = spark.createDataFrame([("ab", 30), ("aab", 20), ("b", 50), (None, 10)], "word string, c long")
     tree = lm.grow(words, depth=3, least_share=0.01, gain=0.5)
