@@ -57,13 +57,15 @@ FOLLOW_SMOOTH = 50.0
 #: Bits of a token's hash that go into keys.
 TOKEN = (1 << 40) - 1
 HEAD = 200_000
-MODEL_HEAD = 1_000_000
+MODEL_HEAD = 2_000_000
 FLUSH = 250_000
 #: Contexts with more than this part of all tokens are cut; there are at most as many.
 HOT = 1024
 FLUSHED = 1 << 20
 #: Each text has a token at least, so a group of texts has no more texts than fit two bytes.
 CHUNK = 1 << 16
+#: Documents whose sums are packed together, as an exponent.
+BLOCK = 10
 
 
 def held_out(doc_id: Column) -> Column:
@@ -180,7 +182,10 @@ class _Places:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys; -1: not among them."""
-        out, open_, probe = np.full(len(keys), -1, np.int32), np.arange(len(keys)), np.uint64(0)
+        slot = (keys & self.mask).astype(np.int64)
+        at = self.at[slot]
+        out = np.where(self.keys[slot] == keys, at, np.int32(-1))
+        open_, probe = np.flatnonzero((out < 0) & (at >= 0)), np.uint64(1)
         while len(open_):
             slot = ((keys[open_] + probe) & self.mask).astype(np.int64)
             hit = (self.keys[slot] == keys[open_]) & (self.at[slot] >= 0)
@@ -343,52 +348,101 @@ def _appended(context: Column, token: Column) -> Column:
     return F.xxhash64(context.bitwiseXOR(token.bitwiseAND(F.lit(TOKEN))))
 
 
-def _before(hashes: np.ndarray, starts: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys): those of the places ``at`` with k tokens before them, and the key of these tokens. The start of a text is a token, written as an end."""
-    place = at - starts[np.searchsorted(starts, at, "right") - 1]
-    at = at[place >= k - 1]
-    keys = np.zeros(len(at), np.uint64)
-    ended = np.concatenate((_ENDED, hashes))
-    for j in range(k - 1, -1, -1):
-        keys = _append(keys, ended[at - j])
-    return at, keys
+def _words(tokens: list[bytes], ids: dict[bytes, int], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, hashes) of tokens: the hashes of those with an id are known, the others (-1) are hashed here."""
+    n = np.fromiter(map(ids.get, tokens, repeat(-1)), np.int64, len(tokens))
+    hashes, others = known[n], np.flatnonzero(n < 0)
+    hashes[others] = _hashes([tokens[k] for k in others.tolist()])
+    return n, hashes
 
 
-def _bucket(context: np.ndarray, token: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """Contexts stay whole in a bucket, but for the hot ones (in order), which are cut by 64 parts of their next tokens."""
+def _last(hashes: np.ndarray, starts: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, key) at every place for 1, 2, ... k tokens before it: the key of these tokens, and that of them and the place's own.
+
+    The start of a text is a token, written as an end. A place with fewer tokens before it is not to be used; ``_deep`` says which are.
+    A context is the key of one token less at the place before.
+    """
+    key = _append(np.zeros(len(hashes) + 1, np.uint64), np.concatenate((_ENDED, hashes)))
+    for _ in range(k):
+        context = key[:-1]
+        own = _append(context, hashes)
+        yield context, own
+        key = np.concatenate((own[:1], own))  # no place before the first has so many tokens before it
+
+
+def _deep(starts: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Which of n places have k tokens before them, the start of the text included."""
+    out = np.ones(n, bool)
+    for j in range(k - 1):
+        at = starts + j
+        out[at[at < n]] = False
+    return out
+
+
+def _order(key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Order by key, then low, where most keys are different."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    runs_ = np.zeros(len(order), bool)
+    runs_[1:] = same
+    runs_[:-1] |= same
+    some = order[runs_]
+    order[runs_] = some[np.lexsort((low[some], key[some]))]
+    return order
+
+
+def _spread(context: np.ndarray, token: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Hashes whose top bits are buckets. Contexts stay whole in a bucket, but for the hot ones (in order), which are cut by 64 parts of their next tokens."""
     part = np.zeros(len(context), np.uint64)
     if len(hot):
         known = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
         part[known] = (token[known] & np.uint64(63)) + np.uint64(1)
-    return (mixed(context + part) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    return mixed(context + part)
 
 
-def follow_counts(train: DataFrame, k: int, contexts, nexts, hot: np.ndarray, bits: int, listed: int, text: str = "text") -> DataFrame:
-    """(context, token, key, c): how often a token follows a context of k tokens, if ``listed`` times, of contexts and tokens in these (broadcast) bitmaps.
+def follow_counts(train: DataFrame, k: int, contexts, nexts, parents, hot: np.ndarray, bits: int, listed: int, words=None, text: str = "text") -> DataFrame:
+    """(context, token, c): how often a token follows a context of k tokens, if ``listed`` times, of contexts and tokens in these (broadcast) bitmaps.
 
-    Counts of a task travel packed in 2 ** bits buckets and are summed bucket by bucket.
+    A token that is not listed after the context's suffix (``parents``, a bitmap of keys; None: all are) is not listed after the context.
+    Counts of a task travel packed in 2 ** bits buckets and are summed bucket by bucket. ``words`` (broadcast) numbers words, all in ``nexts`` among
+    them, and has their hashes: other words are in no context and need none.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        ids, known = words.value if words else (None, _ENDED)
+        passed, ended = np.append(in_bitmap(nexts.value, known), False), in_bitmap(nexts.value, _ENDED)
 
         def rows() -> pa.RecordBatch:
             context, token = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = _bucket(context, token, hot, bits)
-            order = np.lexsort((token, context, bucket))
-            context, token, bucket = context[order], token[order], bucket[order]
+            spread = _spread(context, token, hot)
+            # One sort puts buckets, contexts and tokens in order; contexts that agree in 24 bits may mix, and then have several rows of one token.
+            order = np.argsort((spread & ~np.uint64(TOKEN)) | token)
+            context, token, spread = context[order], token[order], spread[order]
             first = run_starts(context, token)
             c = np.diff(first, append=len(context)).astype(np.uint32)
-            buckets, columns = packed(bucket[first], [context[first], low_bytes(token[first], 5), c])
+            buckets, columns = packed(spread[first] >> np.uint64(64 - bits), [context[first], low_bytes(token[first], 5), c])
             return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), *columns], ["bucket", "context", "token", "c"])
 
         for batch in batches:
             for _, starts, tokens in _flat(arrow_texts(batch)):
-                hashes = _hashes(tokens)
-                at, keys = _before(hashes, starts, np.flatnonzero(in_bitmap(nexts.value, hashes)), k)
-                known = in_bitmap(contexts.value, keys)
-                held.append((keys[known], hashes[at[known]] & np.uint64(TOKEN)))
+                if ids:
+                    n = np.fromiter(map(ids.get, tokens, repeat(-1)), np.int64, len(tokens))
+                    hashes, here = known[n], passed[n]
+                else:
+                    hashes = _hashes(tokens)
+                    here = in_bitmap(nexts.value, hashes)
+                *_, suffix, last = None, None, *_last(hashes, starts, k)
+                at = _deep(starts, len(hashes), k)
+                for _ in range(k + 1):
+                    at &= here
+                    here = np.concatenate((ended, here[:-1]))
+                at = np.flatnonzero(at)
+                at = at[in_bitmap(contexts.value, last[0][at])]
+                if parents:
+                    at = at[in_bitmap(parents.value, suffix[1][at])]
+                held.append((last[0][at], hashes[at] & np.uint64(TOKEN)))
                 size += len(held[-1][0])
                 if size > FLUSHED:
                     yield rows()
@@ -402,19 +456,23 @@ def follow_counts(train: DataFrame, k: int, contexts, nexts, hot: np.ndarray, bi
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 part = table.slice(a, b - a)
                 context, token = unpacked(part.column("context"), np.uint64), from_low_bytes(unpacked(part.column("token"), np.uint8), 5)
-                order = np.lexsort((token, context))
+                key = _append(context, token)
+                order = np.argsort(key)
+                first = run_starts(context[order], token[order])
+                if len(first) > len(run_starts(key[order])):  # two that differ share a key
+                    order = np.lexsort((token, context))
+                    first = run_starts(context[order], token[order])
                 context, token = context[order], token[order]
-                first = run_starts(context, token)
                 c = np.add.reduceat(unpacked(part.column("c"), np.uint32)[order].astype(np.int64), first)
                 first, c = first[c >= listed], c[c >= listed]
                 context, token = context[first], token[first]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (context, token, _append(context, token))), pa.array(c)], ["context", "token", "key", "c"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (context, token)), pa.array(c)], ["context", "token", "c"])
 
     blocks = train.select(F.col(text).alias("text")).mapInArrow(scan, "bucket int, context binary, token binary, c binary")
-    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "context long, token long, key long, c long")
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "context long, token long, c long")
 
 
-def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int = LEAST, listed: int = LISTED, gain: float = GAIN) -> DataFrame:
+def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int = LEAST, listed: int = LISTED, gain: float = GAIN, words=None) -> DataFrame:
     """(key, value, c): the retained contexts and their listed next tokens, from (word, c, share) of the root.
 
     log10 of a token's probability is that of its share in the root, the value of each retained context before it
@@ -438,15 +496,17 @@ def follow(train: DataFrame, unigrams: DataFrame, order: int = ORDER, least: int
             break
         allowed = spark.sparkContext.broadcast(bitmap(contexts.select("context"), bits_for(size, 32)))
         hot = np.sort(np.array([r[0] for r in contexts.where(F.col("total") > n / HOT).select("context").collect()], np.int64).view(np.uint64))
-        counted = follow_counts(train, k, allowed, passed, hot, bucket_bits(n), listed)
+        parents = spark.sparkContext.broadcast(bitmap(lower.select("parent"), bits_for(lower.count(), 32))) if k > 1 else None
+        counted = follow_counts(train, k, allowed, passed, parents, hot, bucket_bits(n), listed, words)
         grams = materialise(counted.join(contexts, "context").withColumn("parent", _appended(F.col("suffix"), F.col("token"))).join(lower, "parent"))
         sums = grams.groupBy("context", "total").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c") / F.col("total") / F.col("lower"))).alias("gain"))
         rest = F.col("total") - F.col("all") + FOLLOW_SMOOTH
         kept = materialise(sums.where(F.col("gain") >= gain).select("context", "total", rest.alias("rest"), F.log10(rest / (F.col("total") + FOLLOW_SMOOTH)).alias("leaves")))
+        key = _appended(F.col("context"), F.col("token"))  # not carried through the joins
         share = (F.col("c") + F.col("rest") * F.col("lower")) / (F.col("total") + FOLLOW_SMOOTH)
-        shares = materialise(grams.join(kept.drop("total"), "context").select("key", "c", "lower", share.alias("share"), "leaves"))
+        shares = materialise(grams.join(kept.drop("total"), "context").select(key.alias("key"), "c", "lower", share.alias("share"), "leaves"))
         model = model.union(kept.select(F.bitwise_not("context"), "leaves", "total")).union(shares.select("key", F.log10("share") - F.log10("lower") - F.col("leaves"), "c"))
-        longer = grams.where((F.col("c") >= least) & (F.col("token") != end)).select(F.col("key").alias("context"), F.col("parent").alias("suffix"), F.col("c").alias("total"))
+        longer = grams.where((F.col("c") >= least) & (F.col("token") != end)).select(key.alias("context"), F.col("parent").alias("suffix"), F.col("c").alias("total"))
         contexts = materialise(longer.join(kept.select(F.col("context").alias("suffix")), "suffix", "left_semi").select("context", "suffix", "total"))
         lower = shares.select(F.col("key").alias("parent"), F.col("share").alias("lower"))
         discard(grams)
@@ -459,8 +519,8 @@ class Follow:
     def __init__(self, keys: np.ndarray, values: np.ndarray, order: int, others: np.ndarray):
         self.places, self.values, self.order, self.others = _Places(keys.view(np.uint64)), values, order, others
 
-    def logs(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sums, places, keys): what the frequent part adds to log10 at each place, and the keys that the rest may have."""
+    def logs(self, hashes: np.ndarray, starts: np.ndarray, nexts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums, places, keys): what the frequent part adds to log10 at each place, and the keys that the rest may have. ``nexts``: which places' tokens may be listed at all."""
         sums, places, keys = np.zeros(len(hashes)), [], []
 
         def look(at: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -473,11 +533,12 @@ class Follow:
             return hit | maybe
 
         at = np.arange(len(hashes))
-        for k in range(1, self.order + 1):  # the suffixes of a retained context are retained
-            at, context = _before(hashes, starts, at, k)
-            known = look(at, ~context)
-            at, context = at[known], context[known]
-            look(at, _append(context, hashes[at]))
+        listed = np.ones(len(hashes), bool) if nexts is None else nexts.copy()
+        for k, (context, key) in enumerate(_last(hashes, starts, self.order), 1):
+            at = at[_deep(starts, len(hashes), k)[at]]
+            at = at[look(at, ~context[at])]  # the suffixes of a retained context are retained
+            here = at[listed[at]]  # what is listed after a context is listed after its suffix
+            listed[here] = look(here, key[here])
         return sums, np.concatenate(places), np.concatenate(keys).view(np.int64)
 
 
@@ -505,13 +566,15 @@ def _score(docs: DataFrame, text: str, id_column: str, head: int, model_head: in
     # Rare words are asked for by their hashes; should two of all words share one, they count among the head.
     shared = [r[0] for r in known_words.groupBy(F.xxhash64("word").alias("h")).agg(F.count("*").alias("k")).where("k > 1").collect()]
     frequent = pa.concat_tables([top_words, *([rare.where(F.xxhash64("word").isin(shared)).toArrow()] if shared else [])]).to_pandas()
-    ids = spark.sparkContext.broadcast({b"": 0, **{w.encode(): k + 1 for k, w in enumerate(frequent["word"])}})
+    ids = {b"": 0, **{w.encode(): k + 1 for k, w in enumerate(frequent["word"])}}
     counts = np.append(float(ends), frequent["c"].to_numpy(np.float64))
     spelt = speller.logs([None, *frequent["word"]])
     root = (counts + fresh * 10**spelt) / (n + fresh)
     del frequent, top_words
     share = (F.col("c") + fresh * F.pow(F.lit(10.0), "spelling")) / F.lit(n + fresh)
-    model = follow(train, _spelling(words.where(F.col("c") >= LEAST), speller).withColumn("share", share), order)
+    sent_words = spark.sparkContext.broadcast((ids, _hashes(list(ids))))
+    often = rare.where(F.col("c") >= LEAST).isEmpty()  # all words that may be listed have ids
+    model = follow(train, _spelling(words.where(F.col("c") >= LEAST), speller).withColumn("share", share), order, words=sent_words if often else None)
     top = _head(model, model_head)
     others = model.where(F.col("c") < (pc.min(top["c"]).as_py() or 0)) if len(top) else model
     marks = bitmap(others.select("key"), bits_for(others.count(), 32))
@@ -534,32 +597,36 @@ def _score(docs: DataFrame, text: str, id_column: str, head: int, model_head: in
             key, word = batch.column("key").to_numpy().view(np.uint64), batch.column("spelt").is_valid().to_numpy(zero_copy_only=False)
             c, value = batch.column("c").to_numpy(), np.array(batch.column("value"))
             value[word] = np.log10((c[word] + fresh * 10 ** sent_speller.value.logs(batch.column("spelt").drop_null().to_pylist())) / (n + fresh))
-            order = np.lexsort((key, word))
-            yield block(0, word[order], key[order], [value[order], c[order]], 0, batch.column("own").type)
+            for kind in (False, True):
+                at = np.flatnonzero(word == kind)
+                at = at[np.argsort(key[at])]
+                # Only a word's answer needs its count.
+                yield block(0, word[at], key[at], [value[at], c[at] if kind else np.zeros((len(at), 0), np.int64)], 0, batch.column("own").type)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shares, follow = sent.value
-        logs = np.log10(known + 1)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        logs, nexts = np.log10(known + 1), np.append(known >= LEAST, not often)
+        held: tuple[list, list] = ([], [])
         size, base = 0, 0
 
-        def asked(own: pa.DataType) -> pa.RecordBatch:
-            word, key, row = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((row, key, word))
-            word, key, row = word[order], key[order], row[order]
-            first = run_starts(word, key, row)
-            times = np.diff(first, append=len(row)).astype(np.uint32)
-            return block(1, word[first], key[first], [(row[first] - base).astype(np.uint16), times], base, own)
+        def asked(own: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for word, parts in enumerate(held):
+                key, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = _order(key, row)
+                key, row = key[order], row[order]
+                first = run_starts(key, row)
+                times = np.diff(first, append=len(row)).astype(np.uint32)
+                yield block(1, np.full(len(first), word == 1), key[first], [(row[first] - base).astype(np.uint16), times], base, own)
+                parts.clear()
 
         for batch in batches:
             row = batch.column("row").to_numpy()
             for first, starts, tokens in _flat(arrow_texts(batch)):
-                n = np.fromiter(map(ids.value.get, tokens, repeat(-1)), np.int64, len(tokens))
+                n, hashes = _words(tokens, *sent_words.value)
                 here, length = n >= 0, np.diff(starts, append=len(n))
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 plain = np.log10(np.where(here, shares[n], 1.0))
-                hashes = _hashes(tokens)
-                added, places, keys = follow.logs(hashes, starts)
+                added, places, keys = follow.logs(hashes, starts, nexts[n])
                 rows = row[first : first + len(starts)]
                 own = pa.StructArray.from_arrays(
                     [batch.column("doc_id").slice(first, len(starts)), batch.column("held_out").slice(first, len(starts)), pa.array(length), pa.array(sums((here & (known[n] > 0)).astype(np.int64))),
@@ -568,34 +635,39 @@ def _score(docs: DataFrame, text: str, id_column: str, head: int, model_head: in
                 spread = (mixed(rows.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
                 nothing = pa.nulls(len(rows), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.full(len(rows), 2, np.int32)), nothing, nothing, nothing, pa.array(rows), own], names)
-                if held and (size > FLUSHED or rows[-1] - base >= 1 << 16):
-                    yield asked(own.type)
-                    held.clear()
+                if held[0] and (size > FLUSHED or rows[-1] - base >= 1 << 16):
+                    yield from asked(own.type)
                     size = 0
                 of, rare = np.repeat(rows, length), np.flatnonzero(~here)
-                base = base if held else int(rows[0])
-                word = np.arange(len(rare) + len(keys)) < len(rare)
-                held.append((word, np.concatenate((hashes[rare], keys.view(np.uint64))), of[np.concatenate((rare, places))]))
-                size += len(word)
-        if held:
-            yield asked(own.type)
+                base = base if held[0] else int(rows[0])
+                held[0].append((keys.view(np.uint64), of[places]))
+                held[1].append((hashes[rare], of[rare]))
+                size += len(keys) + len(rare)
+        if held[0]:
+            yield from asked(own.type)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        """Adds up what is answered for a document here. The sums travel packed by groups of documents."""
+        held: tuple[list, list] = ([], [])
         size = 0
-        out = ["row", "unigram", "score", "more", "more_logs", "own"]
-
-        def sums(own: pa.DataType) -> pa.RecordBatch:
-            row, *added = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows, at = np.unique(row, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.bincount(at, x, len(rows))) for x in added), pa.nulls(len(rows), own)], out)
+        out = ["block", "rows", "score", "more", "more_logs", "row", "own"]
+
+        def sums(own: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for parts in held:
+                if parts:
+                    row, *added = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    rows, at = np.unique(row, return_inverse=True)
+                    blocks, packs = packed(rows >> BLOCK, [(rows & ((1 << BLOCK) - 1)).astype(np.uint16), *(np.bincount(at, x, len(rows)) for x in added)])
+                    packs += [pa.nulls(len(blocks), pa.binary())] * (4 - len(packs))
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks), *packs, pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), own)], out)
+                parts.clear()
 
         for table, starts in runs(batches, "bucket"):
             side, kind = table.column("side").to_numpy(), table.schema.field("own").type
             alone = table.filter(pa.array(side == 2)).combine_chunks()
-            zeros = pa.array(np.zeros(alone.num_rows))
             for own in alone.select(["row", "own"]).to_batches():
-                yield pa.RecordBatch.from_arrays([own.column("row"), *[zeros.slice(0, own.num_rows)] * 4, own.column("own")], out)
+                nothing = pa.nulls(own.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(own.column("row").to_numpy() >> BLOCK), *[nothing] * 4, *own.columns], out)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 part, own_side = table.slice(a, b - a), side[a:b]
                 given, asked = (part.filter(pa.array(own_side == k)) for k in (0, 1))
@@ -603,23 +675,43 @@ def _score(docs: DataFrame, text: str, id_column: str, head: int, model_head: in
                     continue
                 keys, mine = (from_low_bytes(unpacked(x.column("keys"), np.uint8), 7) for x in (given, asked))
                 order = np.argsort(keys)
-                keys, value, c = keys[order], unpacked(given.column("first"), np.float64)[order], unpacked(given.column("second"), np.int64)[order]
+                keys, value = keys[order], unpacked(given.column("first"), np.float64)[order]
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 hit = keys[at] == mine
                 at = at[hit]
                 each = [len(x) // 7 for x in asked.column("keys").to_pylist()]
                 row = (np.repeat(asked.column("row").to_numpy(), each) + unpacked(asked.column("first"), np.uint16))[hit]
                 times = unpacked(asked.column("second"), np.uint32)[hit].astype(np.float64)
-                word = float(part.column("bucket")[0].as_py() >> bits)
-                score = times * value[at]
-                held.append((row, word * score, score, word * times * (c[at] > 0), word * times * np.log10(c[at] + 1.0)))
+                if part.column("bucket")[0].as_py() >> bits:
+                    c = unpacked(given.column("second"), np.int64)[order]
+                    held[1].append((row, times * value[at], times * (c[at] > 0), times * np.log10(c[at] + 1.0)))
+                else:
+                    held[0].append((row, times * value[at]))
                 size += len(row)
                 if size > FLUSHED:
-                    yield sums(kind)
-                    held.clear()
+                    yield from sums(kind)
                     size = 0
-        if held:
-            yield sums(kind)
+        if size:
+            yield from sums(kind)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's own row with all that was added up for it."""
+        for table, starts in runs(batches, "block"):
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                part = table.slice(a, b - a)
+                mine = part.column("row").is_valid()
+                given, alone = part.filter(pc.invert(mine)), part.filter(mine).combine_chunks()
+
+                def added(column: str, given: pa.Table) -> np.ndarray:
+                    return np.bincount(unpacked(given.column("rows"), np.uint16), unpacked(given.column(column), np.float64), 1 << BLOCK)
+
+                at = alone.column("row").to_numpy() & ((1 << BLOCK) - 1)
+                words = given.filter(given.column("more").is_valid())
+                score, unigram, more, more_logs = (x[at] for x in (added("score", given), *(added(x, words) for x in ("score", "more", "more_logs"))))
+                own = dict(zip(own_names, alone.column("own").combine_chunks().flatten(), strict=True))
+                for x, plus in (("known", np.rint(more).astype(np.int64)), ("logs", more_logs), ("unigram", unigram), ("score", score)):
+                    own[x] = pc.add(own[x], pa.array(plus))
+                yield pa.RecordBatch.from_arrays([own[x] for x in own_names], own_names)
 
     schema = f"bucket int, side int, keys binary, first binary, second binary, row long, own {own_type}"
     read = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
@@ -627,7 +719,7 @@ def _score(docs: DataFrame, text: str, id_column: str, head: int, model_head: in
     said = rare.select(F.xxhash64("word").alias("key"), F.col("word").alias("spelt"), F.lit(0.0).alias("value"), "c", no_own)
     said = said.union(others.select("key", F.lit(None).cast("string"), "value", "c", no_own)).mapInArrow(answers, schema)
     met = read.mapInArrow(scan, schema).union(said).repartition("bucket").sortWithinPartitions("bucket")
-    each = met.mapInArrow(meet, f"row long, unigram double, score double, more double, more_logs double, own {own_type}").groupBy("row").agg(
-        *[F.max(f"own.{x}").alias(x) for x in own_names[:5]], *[(F.sum(x) + F.max(f"own.{x}")).alias(x) for x in ("unigram", "score")], F.sum("more").cast("long").alias("more"), F.sum("more_logs").alias("more_logs"))
-    base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    return materialise(each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score")))
+    sums = met.mapInArrow(meet, f"block long, rows binary, score binary, more binary, more_logs binary, row long, own {own_type}")
+    each = sums.repartition("block").sortWithinPartitions("block").mapInArrow(gather, own_type.removeprefix("struct<").removesuffix(">"))
+    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    return materialise(each.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.col("unigram").alias("unigram_score")))

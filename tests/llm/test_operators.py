@@ -662,6 +662,23 @@ def test_lm_keeps_tasks_small(spark, docs, monkeypatch):
     assert max(r["n"] for r in sizes) <= 20 and sum(r["n"] for r in sizes) == 300
 
 
+def test_lm_asks_for_and_counts_only_what_may_be_listed(spark):
+    """Nothing is asked after a token that has no list; the numbers of frequent words change no count, and documents' sums travel packed."""
+    follow = lm.Follow(np.zeros(0, np.int64), np.zeros(0), 3, np.full(1 << 15, 255, np.uint8))
+    hashes = lm._hashes([b"a", b"b", b"c", b"d", b""])
+    asked = [len(follow.logs(hashes, np.array([0]), np.full(5, x))[2]) for x in (True, False)]
+    assert asked == [2 * (5 + 4 + 3), 5 + 4 + 3]
+    key, low = np.array([3, 1, 3, 2, 3], np.uint64), np.array([2, 0, 1, 5, 1])
+    assert [(key[k], low[k]) for k in lm._order(key, low)] == sorted(zip(key, low, strict=True))
+    texts = ["x y z rare", "x y q", "x y z", "y z"] * 30
+    c = collections.Counter(x for t in texts for x in [*t.split(), None])
+    frame = spark.createDataFrame([(t, k, k / sum(c.values())) for t, k in c.items()], "word string, c long, share double")
+    train, ids = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), {b"": 0, b"x": 1, b"y": 2, b"z": 3}
+    words = spark.sparkContext.broadcast((ids, lm._hashes(list(ids))))
+    models = [sorted(map(tuple, lm.follow(train, frame, 3, 40, 3, 0.1, words=w).collect())) for w in (None, words)]
+    assert models[0] and models[0] == models[1]
+
+
 def test_lm_is_a_distribution(spark):
     words = spark.createDataFrame([("ab", 30), ("aab", 20), ("b", 50), (None, 10)], "word string, c long")
     tree = lm.grow(words, depth=3, least_share=0.01, gain=0.5)
