@@ -148,3 +148,26 @@ def test_centres_come_from_a_bounded_sample(spark, monkeypatch):
     assert seen == [40] and "xxhash64" in written[0] and "<=" in written[0]
     q = v.where("vec_id < 4").withColumnRenamed("vec_id", "qid")
     assert found(V.search(own, q, 3)) == found(V.scan(v, q, 3))
+
+
+def test_pairs_of_questions_and_blocks_are_not_broadcast(spark, table):
+    """They grow with the square of the table, and compressed files of them look small: Spark would gather them on the driver."""
+    _, df = asked(table)
+    own = V.build(table[1], n_lists=12, rows=20)
+    blocks, asks = V._blocks(own), V._asks(df, "qid", "embedding")
+    read = V.materialise(V._first_pieces(own, blocks, asks, 7))
+    hits = V._scored(own, blocks, asks, read, 7, V.DIGITS)
+    more = V._other_pieces(own, blocks, asks, V.materialise(hits), read, 7)
+    for made in (hits, more):
+        assert made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()  # as it ran
+        assert "SortMergeJoin [qid" in plan and "BroadcastHashJoin [qid" not in plan
+
+
+def test_lists_are_built_once_for_several_tables_of_queries(table, monkeypatch):
+    monkeypatch.setattr(V, "FEW", 10)
+    built = []
+    monkeypatch.setattr(V, "build", lambda *a, f=V.build, **b: built.append(1) or f(*a, **b))
+    sets = [asked(table, lambda i, k=k: i % 37 == k) for k in (1, 2)] + [asked(table, lambda i: i < 3)]
+    got = V.nearest_each(table[1], [q for _, q in sets], 5)
+    assert [found(x) for x in got] == [plain(table[0], queries, 5) for queries, _ in sets] and len(built) == 1
